@@ -38,8 +38,9 @@ def compare(spark, sf_dir, name, fn, sql):
         return f"ok: {len(got[1])}"
     if got[0] != want[0]:
         return f"MISMATCH columns {got[0]} vs {want[0]}"
-    extra = [r for r in got[1] if r not in set(want[1])][:3]
-    missing = [r for r in want[1] if r not in set(got[1])][:3]
+    left, right = set(got[1]), set(want[1])
+    extra = sorted(left - right)[:3]
+    missing = sorted(right - left)[:3]
     return f"MISMATCH rows {len(got[1])} vs {len(want[1])}; spark only {extra}; oracle only {missing}"
 
 

@@ -39,15 +39,17 @@ def ngrams(words: Column, low: int = 1, high: int = 1) -> Column:
     """Word n-grams for every length in ``low..high``, never crossing a document."""
     if low < 1 or high < low:
         raise ValueError(f"bad n-gram range: ({low}, {high})")
-    sizes = []
-    for n in range(low, high + 1):
+
+    def of_length(n: int) -> Column:
         if n == 1:
-            sizes.append(words)
-            continue
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        empty = F.array().cast("array<string>")
-        sizes.append(F.when(F.size(words) >= n, grams).otherwise(empty))
+            return words
+        room = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        grams = F.slice(words, 1, room)
+        for k in range(1, n):
+            grams = F.zip_with(grams, F.slice(words, k + 1, room), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    sizes = [of_length(n) for n in range(low, high + 1)]
     return sizes[0] if len(sizes) == 1 else F.concat(*sizes)
 
 

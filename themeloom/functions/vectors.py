@@ -32,10 +32,16 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(squared_distance(a, b))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)
+    return let(
+        v, lambda u: let(norm(u), lambda size: F.when(size > 0, F.transform(u, lambda x: x / size)).otherwise(u))
+    )
 
 
 def cosine(a: Column, b: Column) -> Column:

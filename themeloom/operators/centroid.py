@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -18,18 +21,28 @@ MICRO_CLUSTERS = 2000
 
 
 def kmeans_fit(
-    points: DataFrame, n_clusters: int, vector: str = "reduced", seed: int = 42, restarts: int = 10, max_iter: int = 300
+    points: DataFrame,
+    n_clusters: int,
+    vector: str = "reduced",
+    seed: int = 42,
+    restarts: int = 10,
+    max_iter: int = 300,
+    parallelism: int = 4,
 ) -> tuple[KMeansModel, float]:
-    """The best of several seeded runs and its inertia (sum of squared distances)."""
+    """The best of several seeded runs, some at a time, and its inertia (sum of squared distances)."""
     held = points.select(array_to_vector(as_doubles(F.col(vector))).alias("features")).persist()
+
+    def one(run: int) -> tuple[float, int, KMeansModel]:
+        model = KMeans(k=n_clusters, seed=seed + run, maxIter=max_iter, featuresCol="features").fit(held)
+        return model.summary.trainingCost, run, model
+
     try:
-        best, cost = None, float("inf")
-        for run in range(restarts):
-            model = KMeans(k=n_clusters, seed=seed + run, maxIter=max_iter, featuresCol="features").fit(held)
-            if best is None or model.summary.trainingCost < cost:
-                best, cost = model, model.summary.trainingCost
+        held.count()
+        with ThreadPoolExecutor(min(parallelism, restarts)) as pool:
+            runs = list(pool.map(inheritable_thread_target(held.sparkSession)(one), range(restarts)))
     finally:
         held.unpersist()
+    cost, _, best = min(runs, key=lambda r: r[:2])
     return best, cost
 
 

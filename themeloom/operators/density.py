@@ -78,9 +78,8 @@ def _near_pairs(left: DataFrame, right: DataFrame, eps: float, width: int) -> Da
         F.col("tile").alias("a_tile"), F.col("center").alias("a_center"), F.col("radius").alias("a_radius"), "cell"
     )
     for i in range(width):
-        around = around.withColumn("_s", F.explode(steps)).withColumn(
-            "cell", F.transform("cell", lambda c, j, i=i: F.when(j == i, c + F.col("_s")).otherwise(c))
-        ).drop("_s")
+        moved = [F.col("cell")[j] + F.col("_s") if j == i else F.col("cell")[j] for j in range(width)]
+        around = around.withColumn("_s", F.explode(steps)).withColumn("cell", F.array(*moved)).drop("_s")
     there = right.select(
         F.col("tile").alias("b_tile"), F.col("center").alias("b_center"), F.col("radius").alias("b_radius"), "cell"
     )

@@ -39,12 +39,9 @@ def hash_vectors(
         F.when(F.shiftright(bits, 16) % 2 == 0, 1).otherwise(-1).alias("_s"),
     )
     sums = hashed.groupBy(key, "_b").agg(F.sum("_s").cast("double").alias("_x"))
-    entry = F.when(F.col("_b").isNotNull(), F.struct("_b", "_x"))
-    cells = F.map_from_entries(F.collect_list(entry))
-    slots = F.sequence(F.lit(0), F.lit(width - 1))
-    return sums.groupBy(key).agg(cells.alias("_m")).select(
-        key, normalize(F.transform(slots, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))).alias(out)
-    )
+    slots = [F.coalesce(F.sum(F.when(F.col("_b") == i, F.col("_x"))), F.lit(0.0)) for i in range(width)]
+    dense = sums.groupBy(key).agg(*[c.alias(f"_{i}") for i, c in enumerate(slots)])
+    return dense.select(key, normalize(F.array(*[F.col(f"_{i}") for i in range(width)])).alias(out))
 
 
 def encode(

@@ -110,12 +110,12 @@ def silhouette_squared(
     )
     square = F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x)
     squares = held.groupBy(topic).agg(F.sum(square).alias("q"))
-    sums = sum_vectors(held, topic, "_v").join(squares, topic).withColumn("n", F.col("n").cast("double"))
+    sums = sum_vectors(held, topic, "_v").join(squares, topic).withColumn("size", F.col("n").cast("double"))
     left = _tile_points(held, [], key, "_v", (topic,), rows)
-    right = _tile_points(cut_lineage(sums), [], topic, "total", ("n", "q"), rows)
+    right = _tile_points(cut_lineage(sums), [], topic, "total", ("size", "q"), rows)
 
     def means(a: Block, b: Block) -> pd.DataFrame:
-        n, q = b.extra("n"), b.extra("q")
+        n, q = b.extra("size"), b.extra("q")
         part = (a.vecs**2).sum(1)[:, None] * n[None, :] + q[None, :] - 2.0 * (a.vecs @ b.vecs.T)
         own = a.extra(topic, np.int64)[:, None] == b.ids[None, :]
         held_own = own.any(axis=1)

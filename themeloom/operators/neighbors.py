@@ -143,9 +143,12 @@ def fuzzy_edges(graph: DataFrame, rounds: int = 64) -> DataFrame:
     is solved so that the strengths sum to log2(k); both directions combine as a + b - ab.
     The bisection runs inside one array expression per point.
     """
-    near = graph.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("near"))
+    near = graph.groupBy("src").agg(
+        F.collect_list(F.struct("dist", "dst")).alias("near"),
+        F.coalesce(F.min(F.when(F.col("dist") > 0, F.col("dist"))), F.lit(0.0)).alias("rho"),
+        F.avg("dist").alias("mean"),
+    )
     gaps = F.transform("near", lambda e: F.greatest(e["dist"] - F.col("rho"), F.lit(0.0)))
-    positive = F.filter("near", lambda e: e["dist"] > 0)
 
     def halve(state, _):
         mass = F.aggregate(
@@ -159,9 +162,7 @@ def fuzzy_edges(graph: DataFrame, rounds: int = 64) -> DataFrame:
 
     start = F.struct(F.lit(0.0).alias("low"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("mid"))
     weighed = (
-        near.withColumn("rho", F.coalesce(F.try_element_at(F.transform(positive, lambda e: e["dist"]), F.lit(1)), F.lit(0.0)))
-        .withColumn("gaps", gaps)
-        .withColumn("mean", F.aggregate("near", F.lit(0.0), lambda acc, e: acc + e["dist"]) / F.size("near"))
+        near.withColumn("gaps", gaps)
         .withColumn("solved", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)["mid"])
         .withColumn("sigma", F.greatest("solved", F.col("mean") * 1e-3, F.lit(1e-300)))
         .select("src", "rho", "sigma", F.explode("near").alias("e"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseMatrix
@@ -82,73 +85,96 @@ def truncated_svd(
     return reduced, spread / total if total > 0 else np.zeros(components)
 
 
+def _inner_products(df: DataFrame, vector: str) -> np.ndarray:
+    """``X^T X`` of an array column: one small matrix per task, summed by entry."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if len(pdf):
+                rows = np.stack(pdf[vector].to_numpy())
+                held = rows.T @ rows if held is None else held + rows.T @ rows
+        if held is not None:
+            yield pd.DataFrame({"m": [held.ravel()]})
+
+    cells = df.select(vector).mapInPandas(partial, "m array<double>").select(F.posexplode("m").alias("pos", "x"))
+    sums = cells.groupBy("pos").agg(F.sum("x").alias("x")).orderBy("pos").collect()
+    width = int(round(len(sums) ** 0.5))
+    return np.array([r["x"] for r in sums]).reshape(width, width)
+
+
+def _combine(column: str, turn: np.ndarray):
+    """``row @ turn`` for an array column and a small matrix."""
+    return F.array(
+        *[
+            F.aggregate(
+                F.zip_with(column, F.array(*[F.lit(float(x)) for x in turn[:, j]]), lambda a, b: a * b),
+                F.lit(0.0),
+                lambda acc, x: acc + x,
+            )
+            for j in range(turn.shape[1])
+        ]
+    )
+
+
 def spectral_layout(
-    edges: DataFrame, components: int = 5, rounds: int = 12, powers: int = 4, seed: int = 42
+    edges: DataFrame, components: int = 5, restarts: int = 2, depth: int = 6, seed: int = 42
 ) -> DataFrame:
     """``<id, reduced>``: leading non-trivial eigenvectors of the normalized weighted graph.
 
-    Orthogonal iteration: every step is one edge join and one grouped sum; only the small
-    Gram matrix (components + 1 squared) reaches the driver. Iterating on (I + S) / 2 keeps
-    all eigenvalues non-negative.
+    A restarted block Krylov iteration on (I + S) / 2: every step is one edge join and one
+    grouped sum; Rayleigh-Ritz over all steps needs only their inner products, a matrix of
+    (components + 1) * (depth + 1) squared, on the driver.
     """
     width = components + 1
     both = edges.select("u", "v", "w").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
     degree = cut_lineage(both.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("deg")))
     du = degree.select(F.col("id").alias("u"), F.col("deg").alias("deg_u"))
     dv = degree.select(F.col("id").alias("v"), F.col("deg").alias("deg_v"))
-    norm = cut_lineage(
-        both.join(du, "u").join(dv, "v").select("u", "v", (F.col("w") / F.sqrt(F.col("deg_u") * F.col("deg_v"))).alias("s"))
-    )
+    scale = F.col("w") / F.sqrt(F.col("deg_u") * F.col("deg_v"))
+    norm = cut_lineage(both.join(du, "u").join(dv, "v").select("u", "v", scale.alias("s")))
 
     def start(j: int):
         if j == 0:
             return F.sqrt("deg")
         return F.conv(F.substring(shuffle_key("id", seed + j), 1, 8), 16, 10).cast("double") / 2.0**32 - 0.5
 
-    names = [f"x{j}" for j in range(width)]
-    basis = cut_lineage(degree.select("id", *[start(j).alias(n) for j, n in enumerate(names)]))
-    for _ in range(rounds):
-        basis = _orthonormal(basis, names)
-        for _ in range(powers):
-            moved = norm.join(basis.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(
-                *[F.sum(F.col("s") * F.col(n)).alias(f"m_{n}") for n in names]
-            )
-            basis = basis.join(moved, "id").select("id", *[((F.col(n) + F.col(f"m_{n}")) / 2).alias(n) for n in names])
-        basis = cut_lineage(basis)
-    basis = cut_lineage(_orthonormal(basis, names))
-    # Rayleigh-Ritz: rotate to eigenvectors inside the converged subspace.
-    image = norm.join(basis.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(
-        *[F.sum(F.col("s") * F.col(n)).alias(f"m_{n}") for n in names]
-    )
-    sums = basis.join(image, "id").agg(
-        *[F.sum(F.col(a) * F.col(f"m_{b}")).alias(f"{a}_{b}") for a in names for b in names]
-    ).first()
-    small = np.array(sums, dtype=float).reshape(width, width)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    turn = turn[:, np.argsort(values)[::-1]][:, 1:width]
-    rotated = [sum(F.col(n) * float(turn[i, j]) for i, n in enumerate(names)) for j in range(components)]
-    laid = basis.select("id", *[c.alias(f"r{j}") for j, c in enumerate(rotated)])
-    ends = laid.agg(
-        *[f(f"r{j}").alias(f"{t}{j}") for j in range(components) for t, f in (("low", F.min), ("high", F.max))]
+    def step(krylov: DataFrame) -> DataFrame:
+        last = krylov.select(F.col("id").alias("v"), F.slice("x", -width, width).alias("y"))
+        sums = norm.join(last, "v").groupBy(F.col("u").alias("id")).agg(
+            *[F.sum(F.col("s") * F.col("y")[j]).alias(f"m{j}") for j in range(width)]
+        )
+        image = F.array(*[F.col(f"m{j}") for j in range(width)])
+        block = F.zip_with(F.slice("x", -width, width), image, lambda a, b: (a + b) / 2)
+        return cut_lineage(krylov.join(sums, "id").select("id", F.concat("x", block).alias("x")))
+
+    krylov = degree.select("id", F.array(*[start(j) for j in range(width)]).alias("x"))
+    for _ in range(restarts):
+        for _ in range(depth):
+            krylov = step(krylov)
+        gram = _inner_products(krylov, "x")
+        inner = gram[:-width, :-width]
+        image = gram[:-width, width:]
+        size = np.sqrt(np.maximum(np.diag(inner), 1e-300))
+        values, vectors = np.linalg.eigh(inner / np.outer(size, size))
+        keep = values > values.max() * 1e-10
+        basis = vectors[:, keep] / np.sqrt(values[keep]) / size[:, None]
+        small = basis.T @ ((image + image.T) / 2) @ basis
+        ritz, turn = np.linalg.eigh(small)
+        top = basis @ turn[:, np.argsort(ritz)[::-1][:width]]
+        padded = np.vstack([top, np.zeros((width, top.shape[1]))])
+        krylov = cut_lineage(krylov.select("id", _combine("x", padded).alias("x")))
+        width = padded.shape[1]
+    count = min(components, width - 1)
+    ends = krylov.agg(
+        *[f(F.col("x")[j + 1]).alias(f"{t}{j}") for j in range(count) for t, f in (("low", F.min), ("high", F.max))]
     ).first()
     scaled = []
-    for j in range(components):
+    for j in range(count):
         low, high = ends[f"low{j}"], ends[f"high{j}"]
         sign = 1.0 if high >= -low else -1.0
-        size = max(abs(low), abs(high)) or 1.0
-        scaled.append(F.col(f"r{j}") * (sign * 10.0 / size))
-    return laid.select("id", F.array(*scaled).alias("reduced"))
-
-
-def _orthonormal(basis: DataFrame, names: list[str]) -> DataFrame:
-    """Orthonormal columns by the inverse Cholesky factor of their Gram matrix."""
-    sums = basis.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in names for b in names]).first()
-    gram = np.array(sums, dtype=float).reshape(len(names), len(names))
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    turn = vectors / np.sqrt(np.maximum(values, values.max() * 1e-14 + 1e-300))
-    return basis.select(
-        "id", *[sum(F.col(n) * float(turn[i, j]) for i, n in enumerate(names)).alias(names[j]) for j in range(len(names))]
-    )
+        scaled.append(F.col("x")[j + 1] * (sign * 10.0 / (max(abs(low), abs(high)) or 1.0)))
+    return krylov.select("id", F.array(*scaled).alias("reduced"))
 
 
 def graph_layout(

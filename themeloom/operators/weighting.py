@@ -25,8 +25,9 @@ def explode_terms(
     ``outer`` keeps a row with a null term for documents that have none.
     """
     words = drop_stop_words(tokens(text), stop_words() if stop is None else stop)
-    terms = ngrams(words, *ngram_range)
-    return docs.select(*keep, (F.explode_outer if outer else F.explode)(terms).alias("term"))
+    held = docs.select(*keep, words.alias("_words"))
+    terms = ngrams(F.col("_words"), *ngram_range)
+    return held.select(*keep, (F.explode_outer if outer else F.explode)(terms).alias("term"))
 
 
 def remove_listed_terms(terms: DataFrame, listed: DataFrame, column: str = "term") -> DataFrame:

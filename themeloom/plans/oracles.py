@@ -121,15 +121,11 @@ def mmr(count: int, diversity: float) -> str:
     seen = "p1"
     for k in range(2, count + 1):
         steps.append(
-            f"""p{k} AS (SELECT topic, {k} AS k, arg_min(struct_pack(word := word, w := w, relevance := relevance), (-gain, rank)) AS s
-  FROM (SELECT r.topic, r.rank, r.word, r.w, r.relevance, {1 - diversity} * r.relevance
-    - {diversity} * max(list_cosine_similarity(r.w, o.s.w)) AS gain
-    FROM rel r JOIN ({seen}) o USING (topic) GROUP BY ALL HAVING NOT bool_or(r.word = o.s.word)) GROUP BY topic)"""
-            if k > 2
-            else f"""p2 AS (SELECT topic, 2 AS k, arg_min(struct_pack(word := word, w := w, relevance := relevance), (-gain, rank)) AS s
-  FROM (SELECT r.topic, r.rank, r.word, r.w, r.relevance, {1 - diversity} * r.relevance
-    - {diversity} * max(list_cosine_similarity(r.w, o.s.w)) AS gain
-    FROM rel r JOIN p1 o USING (topic) GROUP BY ALL HAVING NOT bool_or(r.word = o.s.word)) GROUP BY topic)"""
+            f"""g{k} AS (SELECT r.topic, r.rank, any_value(r.word) AS word, any_value(r.w) AS w, any_value(r.relevance) AS relevance,
+    {1 - diversity} * any_value(r.relevance) - {diversity} * max(list_cosine_similarity(r.w, o.s.w)) AS gain, bool_or(r.word = o.s.word) AS used
+    FROM rel r JOIN ({seen}) o ON o.topic = r.topic GROUP BY r.topic, r.rank),
+p{k} AS (SELECT topic, {k} AS k, arg_min(struct_pack(word := word, w := w, relevance := relevance), (-gain, rank)) AS s
+  FROM g{k} WHERE NOT used GROUP BY topic)"""
         )
         seen = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, k + 1))
     return ",\n".join(steps) + f"""
@@ -166,8 +162,8 @@ FREQUENT = r"""sz AS (SELECT topic, count(*) AS n FROM src WHERE topic >= 0 GROU
 f3 AS (SELECT topic, r, text FROM (SELECT topic, text, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS r FROM src WHERE topic >= 0) WHERE r <= 3),
 wd AS (SELECT topic, r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (
   SELECT topic, r, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM f3)),
-fw AS (SELECT topic, w, count(*) AS n, min((r, p)) AS at FROM wd WHERE regexp_full_match(w, '[a-z]{4,}') GROUP BY topic, w),
-fk AS (SELECT topic, w, k FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, at) AS k FROM fw) WHERE k <= 3),
+fw AS (SELECT topic, w, count(*) AS n, min((r, p)) AS seen FROM wd WHERE regexp_full_match(w, '[a-z]{4,}') GROUP BY topic, w),
+fk AS (SELECT topic, w, k FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, seen) AS k FROM fw) WHERE k <= 3),
 fn AS (SELECT topic, string_agg(w, ' & ' ORDER BY k) AS name FROM fk GROUP BY topic)"""
 
 SIL = """size AS (SELECT topic, count(*) AS n FROM vec WHERE topic >= 0 GROUP BY topic),
