@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from themeloom.functions.text import first_words, tokens
 from themeloom.functions.vectors import as_doubles, normalize
+from themeloom.session import spread
 
 WIDTH = 64
 
@@ -30,7 +31,7 @@ def hash_vectors(
     partial sums leave at most ``width`` rows per document for the shuffle; no dictionary is
     joined and no group exceeds ``width`` rows.
     """
-    words = df.select(key, F.explode_outer(tokens(text)).alias("_w"))
+    words = spread(df.select(key, text)).select(key, F.explode_outer(tokens(text)).alias("_w"))
     grams = words.select(key, F.explode_outer(_grams(F.col("_w"))).alias("_g"))
     bits = F.conv(F.substring(F.md5("_g"), 1, 8), 16, 10).cast("long")
     hashed = grams.select(
@@ -59,7 +60,7 @@ def encode(
     batch of strings to a matrix of floats.
     """
     run = predict_batch_udf(make_encoder, return_type=ArrayType(FloatType()), batch_size=batch_size)
-    vectors = df.select(key, run(F.col(text)).alias(out))
+    vectors = spread(df.select(key, text)).select(key, run(F.col(text)).alias(out))
     return vectors.withColumn(out, normalize(as_doubles(F.col(out)))) if unit else vectors
 
 

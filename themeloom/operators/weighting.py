@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.text import drop_stop_words, ngrams, stop_words, tokens
 from themeloom.operators.selection import assigned
+from themeloom.session import spread
 
 
 def explode_terms(
@@ -25,7 +26,7 @@ def explode_terms(
     ``outer`` keeps a row with a null term for documents that have none.
     """
     words = drop_stop_words(tokens(text), stop_words() if stop is None else stop)
-    held = docs.select(*keep, words.alias("_words"))
+    held = spread(docs.select(*keep, text)).select(*keep, words.alias("_words"))
     terms = ngrams(F.col("_words"), *ngram_range)
     return held.select(*keep, (F.explode_outer if outer else F.explode)(terms).alias("term"))
 

@@ -45,14 +45,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialize ``df`` on shared storage so a lost executor never replays earlier rounds."""
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, grouped by application."""
+    app = spark.sparkContext.applicationId
+    return os.path.join(shared_dir(spark), "tables", app, f"{name}-{uuid.uuid4().hex}")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` on shared storage so that a lost executor never replays earlier rounds."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager)
+    return df.checkpoint()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that is known to be small.
+
+    A small file is often one split. Where the size estimate fills the splits of all cores, as
+    on any large table, the rows stay where they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < cores * split else df

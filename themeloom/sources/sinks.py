@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def write_vectors(df: DataFrame, path: str, columns: list[str] | None = None) -> str:
@@ -29,8 +31,6 @@ def write_document_info(info: DataFrame, path: str) -> None:
 
 def write_parameters(spark: SparkSession, parameters: dict, path: str) -> None:
     """Run parameters as one JSON record."""
-    import json
-
     spark.createDataFrame([(json.dumps(parameters, sort_keys=True),)], "value string").write.mode("overwrite").text(path)
 
 
