@@ -67,8 +67,7 @@ def _grid_tiles(
     placed = points.withColumn("cell", _cell(vector, dims, side))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("_chunks"))
     placed = placed.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64(key), F.col("_chunks")))
-    packed = cut_lineage(pack(placed, ["cell", "chunk"], key, vector, extras))
-    return consecutive(packed, ["cell", "chunk"], "tile")
+    return cut_lineage(pack(placed, ["cell", "chunk"], key, vector, extras))
 
 
 def _near_pairs(left: DataFrame, right: DataFrame, eps: float, width: int) -> DataFrame:

@@ -37,11 +37,7 @@ def _tile_points(points: DataFrame, groups: list[str], key: str, vector: str, ex
     else:
         chunks = max(1, math.ceil(points.count() / rows))
         placed = points.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)))
-    packed = pack(placed, [*groups, "chunk"], key, vector, extras)
-    number = F.col("chunk").cast("long")
-    if groups:
-        number = F.shiftleft(F.col(groups[0]).cast("long"), 32) + number
-    return cut_lineage(packed.withColumn("tile", number))
+    return cut_lineage(pack(placed, [*groups, "chunk"], key, vector, extras))
 
 
 def silhouette_samples(

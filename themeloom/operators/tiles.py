@@ -53,11 +53,12 @@ def block_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def pack(df: DataFrame, tile: list[str], key: str, vector: str, extras: tuple[str, ...] = ()) -> DataFrame:
     """One row per group of the ``tile`` columns: packed keys, vectors and extra numbers (bigint
-    or double), plus centre and radius. Groups must be bounded by construction."""
+    or double), plus centre and radius. Groups must be bounded by construction. A tile is named
+    by its smallest key."""
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     width = {c: np.int64 if fields[c] == "bigint" else np.float64 for c in extras}
     kinds = ", ".join(f"{c} {fields[c]}" for c in tile)
-    schema = f"{kinds}, n int, ids binary, vecs binary, center array<double>, radius double" + "".join(
+    schema = f"tile long, {kinds}, n int, ids binary, vecs binary, center array<double>, radius double" + "".join(
         f", {c} binary" for c in extras
     )
 
@@ -65,7 +66,7 @@ def pack(df: DataFrame, tile: list[str], key: str, vector: str, extras: tuple[st
         pdf = pdf.sort_values(key)
         vecs = np.stack(pdf[vector].to_numpy()).astype(np.float64)
         center = vecs.mean(axis=0)
-        row = {c: [pdf[c].iloc[0]] for c in tile}
+        row = {"tile": [int(pdf[key].iloc[0])], **{c: [pdf[c].iloc[0]] for c in tile}}
         row.update(
             n=[len(pdf)],
             ids=[pdf[key].to_numpy(np.int64).tobytes()],
@@ -194,13 +195,9 @@ def cell_tiles(
     summary = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).orderBy("cell").collect()
     cells = np.array([r["cell"] for r in summary])
     chunks = {r["cell"]: math.ceil(r["n"] / tile_rows) for r in summary}
-    offsets, at = {}, 0
-    for cell in cells:
-        offsets[cell], at = at, at + chunks[cell]
     size_of = F.create_map(*[F.lit(int(x)) for c in cells for x in (c, chunks[c])])
-    start_of = F.create_map(*[F.lit(int(x)) for c in cells for x in (c, offsets[c])])
-    tile = F.element_at(start_of, F.col("cell")) + F.pmod(F.xxhash64(key), F.element_at(size_of, F.col("cell")))
-    tiles = cut_lineage(pack(placed.withColumn("tile", tile.cast("long")), ["tile", "cell"], key, vector, extras))
+    chunk = F.pmod(F.xxhash64(key), F.element_at(size_of, F.col("cell")))
+    tiles = cut_lineage(pack(placed.withColumn("chunk", chunk), ["cell", "chunk"], key, vector, extras))
     return CellTiles(
         tiles,
         cells,
