@@ -13,6 +13,7 @@ from themeloom.functions.vectors import as_doubles, cosine, mean_vectors
 from themeloom.operators.embedding import embed_terms
 from themeloom.operators.selection import assigned
 from themeloom.operators.weighting import top_words
+from themeloom.session import cut_lineage
 
 
 def candidate_words(scores: DataFrame, count: int = 50, topic: str = "topic") -> DataFrame:
@@ -33,6 +34,7 @@ def word_relevance(
     **options,
 ) -> DataFrame:
     """``<topic, rank, word, vector, relevance>``: cosine of each candidate with its centroid."""
+    candidates = cut_lineage(candidates)
     vectors = embed_terms(candidates, encoder, "word", "vector", **options).withColumnRenamed("term", "word")
     return (
         candidates.join(vectors, "word").join(centroids.select(topic, "centroid"), topic)

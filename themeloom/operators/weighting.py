@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.text import drop_stop_words, ngrams, stop_words, tokens
 from themeloom.operators.selection import assigned
-from themeloom.session import spread
+from themeloom.session import cut_lineage, spread
 
 
 def explode_terms(
@@ -57,6 +57,18 @@ def count_terms(
     return terms.groupBy(topic, "term").agg(F.count("term").alias("n"))
 
 
+def counted_terms(
+    docs: DataFrame,
+    text: str = "text",
+    topic: str = "topic",
+    stop: tuple[str, ...] | None = None,
+    ngram_range: tuple[int, int] = (1, 1),
+) -> DataFrame:
+    """``count_terms`` as a stored table: every weight derives from counts, so texts are read and
+    split once, whatever follows."""
+    return cut_lineage(count_terms(docs, text, topic, stop, ngram_range))
+
+
 def topic_totals(counts: DataFrame, topic: str = "topic") -> DataFrame:
     """``<topic, words>``; a topic without words counts as one word."""
     return counts.groupBy(topic).agg(F.greatest(F.sum("n"), F.lit(1)).alias("words"))
@@ -171,7 +183,7 @@ def weigh_terms(
     stop: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """``<topic, term, score>`` under the chosen weighting."""
-    counts = count_terms(docs, text, topic, stop, ngram_range)
+    counts = counted_terms(docs, text, topic, stop, ngram_range)
     scores = ctfidf(counts, topic)
     if not use_bm25:
         return scores.select(topic, "term", "score")

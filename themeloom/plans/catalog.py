@@ -109,13 +109,13 @@ def topic_texts(spark, path):
 
 @query
 def topic_word_totals(spark, path):
-    counts = weighting.count_terms(source_docs(spark, path))
+    counts = weighting.counted_terms(source_docs(spark, path))
     return weighting.topic_totals(counts).withColumn("mean_words", r6(weighting.mean_topic_words(counts).scalar()))
 
 
 @query
 def term_frequencies(spark, path):
-    counts = weighting.count_terms(source_docs(spark, path))
+    counts = weighting.counted_terms(source_docs(spark, path))
     return weighting.term_frequency(counts).select("topic", "term", "n", F.round("tf", 9).alias("tf"))
 
 
@@ -126,13 +126,13 @@ def term_topic_frequencies(spark, path):
 
 @query
 def ctfidf_scores(spark, path):
-    scores = weighting.ctfidf(weighting.count_terms(source_docs(spark, path)))
+    scores = weighting.ctfidf(weighting.counted_terms(source_docs(spark, path)))
     return scores.select("topic", "term", "n", F.round("tf", 9).alias("tf"), "df", F.round("score", 9).alias("score"))
 
 
 @query
 def bm25_scores(spark, path):
-    counts = weighting.count_terms(source_docs(spark, path))
+    counts = weighting.counted_terms(source_docs(spark, path))
     weighed = weighting.bm25(weighting.ctfidf(counts), topics=counts.select("topic").distinct())
     return weighed.select("topic", "term", r6("bm25").alias("bm25"))
 
@@ -140,7 +140,7 @@ def bm25_scores(spark, path):
 @query
 def bm25_counts(spark, path):
     """BM25 over raw counts with other parameters."""
-    counts = weighting.count_terms(source_docs(spark, path))
+    counts = weighting.counted_terms(source_docs(spark, path))
     weighed = weighting.bm25(counts.filter(F.col("term").isNotNull()), 1.2, 0.5, value="n", topics=counts.select("topic").distinct())
     return weighed.select("topic", "term", r6("bm25").alias("bm25"))
 
@@ -151,7 +151,7 @@ def vocabulary(spark, path):
 
 
 def _ranked(docs: DataFrame, count: int = 10) -> DataFrame:
-    return weighting.top_words(weighting.ctfidf(weighting.count_terms(docs)), count)
+    return weighting.top_words(weighting.ctfidf(weighting.counted_terms(docs)), count)
 
 
 @query
@@ -297,7 +297,7 @@ def l2_normalize(spark, path):
 
 @query
 def candidate_vectors(spark, path):
-    words = keywords.candidate_words(weighting.ctfidf(weighting.count_terms(source_docs(spark, path))))
+    words = keywords.candidate_words(weighting.ctfidf(weighting.counted_terms(source_docs(spark, path))))
     vectors = embedding.embed_terms(words, term="word")
     return vectors.select("term", F.posexplode("vector").alias("pos", "x")).select("term", "pos", r6("x").alias("x"))
 
@@ -313,13 +313,13 @@ def attached_vectors(spark, path):
 
 def _relevance(spark, path):
     docs = vector_docs(spark, path)
-    candidates = keywords.candidate_words(weighting.ctfidf(weighting.count_terms(docs)))
+    candidates = keywords.candidate_words(weighting.ctfidf(weighting.counted_terms(docs)))
     return keywords.word_relevance(candidates, keywords.topic_centroids(docs))
 
 
 @query
 def keyword_candidates(spark, path):
-    scores = weighting.ctfidf(weighting.count_terms(source_docs(spark, path)))
+    scores = weighting.ctfidf(weighting.counted_terms(source_docs(spark, path)))
     return keywords.candidate_words(scores, 50).withColumn("score", F.round("score", 9))
 
 
