@@ -70,20 +70,34 @@ def _grid_tiles(
     return cut_lineage(pack(placed, ["cell", "chunk"], key, vector, extras))
 
 
+def _adjacent(df: DataFrame, width: int) -> DataFrame:
+    """Every row once per grid cell equal or adjacent to its own."""
+    steps = F.array(*[F.lit(s).cast("long") for s in (-1, 0, 1)])
+    for i in range(width):
+        moved = [F.col("cell")[j] + F.col("_s") if j == i else F.col("cell")[j] for j in range(width)]
+        df = df.withColumn("_s", F.explode(steps)).withColumn("cell", F.array(*moved)).drop("_s")
+    return df
+
+
 def _near_pairs(left: DataFrame, right: DataFrame, eps: float, width: int) -> DataFrame:
     """Tile pairs in equal or adjacent grid cells whose balls come within eps."""
-    steps = F.array(*[F.lit(s).cast("long") for s in (-1, 0, 1)])
-    around = left.select(
+    here = left.select(
         F.col("tile").alias("a_tile"), F.col("center").alias("a_center"), F.col("radius").alias("a_radius"), "cell"
     )
-    for i in range(width):
-        moved = [F.col("cell")[j] + F.col("_s") if j == i else F.col("cell")[j] for j in range(width)]
-        around = around.withColumn("_s", F.explode(steps)).withColumn("cell", F.array(*moved)).drop("_s")
     there = right.select(
         F.col("tile").alias("b_tile"), F.col("center").alias("b_center"), F.col("radius").alias("b_radius"), "cell"
     )
     gap = distance(F.col("a_center"), F.col("b_center")) - F.col("a_radius") - F.col("b_radius")
-    return around.join(there, "cell").filter(gap <= eps * (1 + 1e-9)).select("a_tile", "b_tile")
+    near = _adjacent(here, width).join(there, "cell").filter(gap <= eps * (1 + 1e-9))
+    return near.select("a_tile", "b_tile")
+
+
+def _undecided(tiles: DataFrame, width: int) -> DataFrame:
+    """Tiles in cells whose surroundings hold more than one node; elsewhere nothing is left to
+    link, however crowded it is."""
+    ranges = tiles.groupBy("cell").agg(F.min("node_low").alias("low"), F.max("node_high").alias("high"))
+    around = _adjacent(ranges, width).groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return tiles.join(around.filter("low < high").select("cell"), "cell", "left_semi")
 
 
 def _forest_in_block(rows: np.ndarray, cols: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame | None:
@@ -150,26 +164,24 @@ def dbscan(
         return _forest_in_block(*np.nonzero(found), ga, gb)
 
     def linked(tiles: DataFrame) -> DataFrame:
-        pairs = _near_pairs(tiles, tiles, eps, len(dims)).filter("a_tile <= b_tile")
+        open_ = _undecided(tiles, len(dims))
+        pairs = _near_pairs(open_, open_, eps, len(dims)).filter("a_tile <= b_tile")
         return map_pairs(pairs, tiles, tiles, link, "u long, v long")
 
-    few = core.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(shuffle_key("rep", 3))))
-    quick = _grid_tiles(few.filter(F.col("_r") <= 8).drop("_r"), "rep", "v", ("node",), dims, side, rows)
-    first = connected_components(linked(quick))
-    core = core.join(first.withColumnRenamed("id", "node"), "node", "left").select(
-        "rep", "v", F.coalesce("root", "node").alias("node")
-    )
-    full = _grid_tiles(core, "rep", "v", ("node",), dims, side, rows)
-    second = cut_lineage(connected_components(linked(full)))
-    core = cut_lineage(
-        core.join(second.withColumnRenamed("id", "node"), "node", "left").select(
-            "rep", "v", F.coalesce("root", "node").alias("node")
-        )
-    )
-    numbers = consecutive(core.select("node").distinct(), ["node"], out)
+    def merged(core: DataFrame, roots: DataFrame) -> DataFrame:
+        found = core.join(roots.withColumnRenamed("id", "node"), "node", "left")
+        return found.select("rep", "v", F.coalesce("root", "node").alias("node"))
+
+    if core.count() > 8 * rows:
+        few = core.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(shuffle_key("rep", 3))))
+        quick = _grid_tiles(few.filter(F.col("_r") <= 8).drop("_r"), "rep", "v", ("node",), dims, side, rows)
+        core = cut_lineage(merged(core, connected_components(linked(quick))))
     settled = _grid_tiles(core, "rep", "v", ("node",), dims, side, rows)
-    loose = placed.filter("NOT crowded").join(core.select("rep"), "rep", "left_anti")
-    loose = _grid_tiles(loose, "rep", "v", ("copies",), dims, side, rows)
+    roots = cut_lineage(connected_components(linked(settled)))
+    if roots.head(1):
+        core = cut_lineage(merged(core, roots))
+        settled = _grid_tiles(core, "rep", "v", ("node",), dims, side, rows)
+    numbers = consecutive(core.select("node").distinct(), ["node"], out)
 
     def lowest(a: Block, b: Block) -> pd.DataFrame | None:
         inside = block_distances(a.vecs, b.vecs) <= eps
@@ -180,9 +192,10 @@ def dbscan(
         least = np.where(inside, node[None, :], np.iinfo(np.int64).max).min(axis=1)
         return pd.DataFrame({"rep": a.ids[hit], "node": least[hit]})
 
-    border = map_pairs(_near_pairs(loose, settled, eps, len(dims)), loose, settled, lowest, "rep long, node long")
+    border = map_pairs(_near_pairs(sparse, settled, eps, len(dims)), sparse, settled, lowest, "rep long, node long")
+    border = border.groupBy("rep").agg(F.min("node").alias("node")).join(core.select("rep"), "rep", "left_anti")
     labels = (
-        core.select("rep", "node").unionByName(border.groupBy("rep").agg(F.min("node").alias("node"))).join(numbers, "node")
+        core.select("rep", "node").unionByName(border).join(numbers, "node")
     ).select("rep", out)
     return members.join(labels, "rep", "left").select(key, F.coalesce(F.col(out), F.lit(-1)).cast("int").alias(out))
 

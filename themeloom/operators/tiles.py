@@ -53,13 +53,13 @@ def block_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def pack(df: DataFrame, tile: list[str], key: str, vector: str, extras: tuple[str, ...] = ()) -> DataFrame:
     """One row per group of the ``tile`` columns: packed keys, vectors and extra numbers (bigint
-    or double), plus centre and radius. Groups must be bounded by construction. A tile is named
-    by its smallest key."""
+    or double, the former with their range), plus centre and radius. Groups must be bounded by
+    construction. A tile is named by its smallest key."""
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     width = {c: np.int64 if fields[c] == "bigint" else np.float64 for c in extras}
     kinds = ", ".join(f"{c} {fields[c]}" for c in tile)
     schema = f"tile long, {kinds}, n int, ids binary, vecs binary, center array<double>, radius double" + "".join(
-        f", {c} binary" for c in extras
+        f", {c} binary" + (f", {c}_low long, {c}_high long" if width[c] is np.int64 else "") for c in extras
     )
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -74,7 +74,10 @@ def pack(df: DataFrame, tile: list[str], key: str, vector: str, extras: tuple[st
             center=[center],
             radius=[float(np.sqrt(((vecs - center) ** 2).sum(1)).max())],
         )
-        row.update({c: [pdf[c].to_numpy(width[c]).tobytes()] for c in extras})
+        for c in extras:
+            row[c] = [pdf[c].to_numpy(width[c]).tobytes()]
+            if width[c] is np.int64:
+                row[f"{c}_low"], row[f"{c}_high"] = [int(pdf[c].min())], [int(pdf[c].max())]
         return pd.DataFrame(row)
 
     return df.select(*tile, key, vector, *extras).groupBy(*tile).applyInPandas(build, schema)
