@@ -414,7 +414,7 @@ def parsed_replies(spark, path):
 
 def _echo_generator():
     """A stand-in for a text generator: echoes the prompt and names the topic by its last keyword;
-    refuses every prompt that holds no letter q, answers without JSON when there is no z."""
+    refuses, answers without JSON or answers well by the length of the first keyword."""
 
     def run(prompts, max_new_tokens, temperature):
         out = []
