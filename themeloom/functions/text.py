@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
@@ -17,7 +18,12 @@ CHUNK_PATTERN = "([^" + SPACE_CLASS + "]+)"
 
 @lru_cache(maxsize=None)
 def stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark's stop-word list for a language."""
+    """Spark's stop-word list for a language.
+
+    The English one lies beside this file (fixed values), so that it needs neither a session nor Spark's jars.
+    """
+    if language == "english":
+        return tuple((Path(__file__).parent / "english_stop_words.txt").read_text().split())
     return tuple(StopWordsRemover.loadDefaultStopWords(language))
 
 

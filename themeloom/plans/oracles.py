@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
-import pyspark
-
+from themeloom.functions.text import stop_words
 from themeloom.operators.naming import (
     DOCUMENT_TASK,
     DOMAIN_HINTS,
@@ -19,15 +13,6 @@ from themeloom.operators.naming import (
 from themeloom.plans.catalog import DBSCAN_EPS, DBSCAN_MIN, DOMAINS
 
 
-@lru_cache(maxsize=1)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark's list, read from its own jar so that no session is needed."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as archive:
-        text = archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return tuple(w.strip() for w in text.splitlines() if w.strip())
-
-
 def lit(text: str) -> str:
     """A SQL string literal, with line breaks spelled out."""
     return "(" + " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in text.split("\n")) + ")"
@@ -47,7 +32,7 @@ PT = "pt AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBL
 
 
 def stops() -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words())
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
 
 
 def terms(base: str) -> str:
