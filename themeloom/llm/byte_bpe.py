@@ -124,13 +124,13 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from themeloom.llm.byte_bpe import codec
-        from themeloom.llm.word_ids import portions
+        from themeloom.llm.word_ids import filled, portions
 
         pieces = codec(ranks, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for low, high in portions(texts, 2_000_000):
-                found = pieces.encode(texts[low:high])
+            texts = filled(batch.column(1))
+            for low, high in portions(texts, 4_000_000):
+                found = pieces.encode(texts.slice(low, high - low).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), pa.array([i.tobytes() for i in found], pa.binary()), pa.array(list(map(len, found)), pa.int64())],
                     names=["doc_id", "ids", "n_tokens"],

@@ -130,14 +130,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from themeloom.llm.packing import PIECES
-        from themeloom.llm.word_ids import encoder, portions
+        from themeloom.llm.word_ids import encoder, filled, portions
 
         words, seen = encoder(tokenizer), {}
         for batch in batches:
-            parts, doc_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+            parts, doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), filled(batch.column(2))
             for low, high in portions(texts):
-                ids, sizes = words.encode(texts[low:high], end)
+                ids, sizes = words.encode(texts.slice(low, high - low), end)
                 ids, at, rows = ids.astype("<u4"), 0, []
                 for n, size in enumerate(sizes.tolist(), low):
                     for start in range(0, size, window):

@@ -98,13 +98,13 @@ def token_rows(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", t
     python_ready(docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from themeloom.llm.word_ids import encoder, portions
+        from themeloom.llm.word_ids import encoder, filled, portions
 
         words = encoder(tokenizer)
         for batch in batches:
-            doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            doc_ids, texts = batch.column(0), filled(batch.column(1))
             for low, high in portions(texts):
-                ids, sizes = words.encode(texts[low:high], end)
+                ids, sizes = words.encode(texts.slice(low, high - low), end)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
                 ids = ids.astype(kind)
                 yield pa.RecordBatch.from_arrays(
@@ -126,10 +126,9 @@ def id_counts(rows: DataFrame, kind: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(ids, kind), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 

@@ -1,9 +1,10 @@
 """Token ids of whole texts by ``word_bpe_49k.json``, with one library call per distinct word.
 
-That tokenizer cuts at white space before anything else, so the ids of a text are the ids of its
-white-space separated words in turn. Plain Latin words are cut to its pieces here and go to the
-library's model; all others pass through the whole library pipeline. Words repeat, so each worker keeps the ids of the words it has
-met, up to ``limit`` words, and starts again beyond that; the ids do not depend on it.
+That tokenizer cuts at white space before anything else, and between letters or digits and symbols, so
+the ids of a text are the ids of its parts in turn. Each batch is cut to parts and its distinct parts are
+found by Arrow. Plain Latin parts go straight to the library's model; all others pass through the whole
+library pipeline. Each worker keeps the ids of the parts it has met, up to ``limit`` of them, and starts
+again beyond that; the ids do not depend on it.
 """
 
 from __future__ import annotations
@@ -12,9 +13,16 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: str.split() cuts at these four, the tokenizer does not; such a text is encoded in one piece.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "[\x1c-\x1f]"
+#: A capital whose mark may compose with the small letter only, and the one capital whose small form ends
+#: in a mark: where they occur, only white space cuts.
+_MARKED = r"[A-Z]\p{M}|\x{0130}"
+#: A place where the tokenizer always cuts; marks may still compose with what stands before them.
+_EDGE = r"([\p{L}\p{N}])([^\s\p{L}\p{N}\p{M}])"
 #: Words of printable ASCII and accented Latin letters in composed form: only lower case and the
 #: tokenizer's own cut to pieces are left to do before its model sees them.
 _ACCENTED = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
@@ -36,19 +44,6 @@ _LETTERS = byte_letters()
 _HELD: dict[tuple[str, int], WordEncoder] = {}
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-
 class WordEncoder:
     def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,7 +57,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.first = np.empty(1 << 14, np.int64)
         self.size = np.empty(1 << 14, np.int64)
@@ -76,20 +71,22 @@ class WordEncoder:
         return ids
 
     def _ids(self, words: list[str]) -> list[tuple[int, ...]]:
-        out, odd, piece = [], [], self._piece
+        out, odd, piece, model = [], [], self._piece, self.model.tokenize
         for n, word in enumerate(words):
-            if _PLAIN.fullmatch(word):
+            if word.isascii() and word.isalpha():
+                out.append([t.id for t in model(word.lower())])
+            elif _PLAIN.fullmatch(word):
                 parts = _PIECES.findall(word.lower())
-                out.append(piece(parts[0]) if len(parts) == 1 else tuple([i for x in parts for i in piece(x)]))
+                out.append(piece(parts[0]) if len(parts) == 1 else [i for x in parts for i in piece(x)])
             else:
                 out.append(())
                 odd.append(n)
         for n, e in zip(odd, self.tokenizer.encode_batch_fast([words[n] for n in odd], add_special_tokens=False), strict=True):
-            out[n] = tuple(e.ids)
+            out[n] = e.ids
         return out
 
-    def _learn(self) -> None:
-        new, self.numbers.new = self.numbers.new, []
+    def _learn(self, new: list[str]) -> None:
+        self.numbers.update(zip(new, range(self.words, self.words + len(new)), strict=True))
         for low in range(0, len(new), 5000):
             part = self._ids(new[low : low + 5000])
             sizes = np.fromiter(map(len, part), np.int64, len(part))
@@ -105,18 +102,25 @@ class WordEncoder:
             self.words += len(part)
             self.used += total
 
-    def word_numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words of all texts as numbers into ``first`` and ``size``, and how many each text has."""
+    def word_numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of all texts as numbers into ``first`` and ``size``, and how many each text has."""
         if self.words > self.limit or self.used > 16 * self.limit:
             self.clear()
         if len(self.pieces) > self.limit:
             self.pieces = {}
-        split = [[t] if _ODD.search(t) else t.split() for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        number = self.numbers.__getitem__
-        found = np.fromiter((i for words in split for i in map(number, words)), np.int64, int(counts.sum()))
-        self._learn()
-        return found, counts
+        if pc.any(pc.match_substring_regex(texts, _ODD)).as_py():
+            odd = pc.match_substring_regex(texts, _ODD).to_pylist()
+            split = pa.array([[t] if o else t.split() for t, o in zip(texts.to_pylist(), odd, strict=True)], pa.list_(pa.string()))
+        else:
+            if not pc.any(pc.match_substring_regex(texts, _MARKED)).as_py():
+                texts = pc.ascii_lower(pc.replace_substring_regex(texts, _EDGE, r"\1 \2"))
+            split = pc.utf8_split_whitespace(texts)
+        parts = split.flatten().dictionary_encode()
+        words = parts.dictionary.to_pylist()
+        # white space at an end of a text leaves an empty part there, which has no ids
+        self._learn([w for w in words if w not in self.numbers])
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        return number[parts.indices.to_numpy()], np.diff(split.offsets.to_numpy()).astype(np.int64)
 
     def spell(self, found: np.ndarray) -> np.ndarray:
         """The ids of numbered words in turn."""
@@ -124,7 +128,7 @@ class WordEncoder:
         shift = np.repeat(self.first[found] - (np.cumsum(size) - size), size)
         return self.flat[shift + np.arange(len(shift))]
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end`` after each text, and the number of ids of each text with it."""
         found, words = self.word_numbers(texts)
         ids = self.spell(found)
@@ -140,13 +144,17 @@ def encoder(path: str, limit: int = 500_000) -> WordEncoder:
     return _HELD[path, limit]
 
 
-def portions(texts: list[str], chars: int = 4_000_000):
-    """Slices of the list with about ``chars`` characters each (one text at least)."""
-    low = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= chars:
-            yield low, i + 1
-            low, held = i + 1, 0
-    if low < len(texts):
-        yield low, len(texts)
+def portions(texts: pa.Array, size: int = 16_000_000):
+    """Ranges of rows with about ``size`` bytes of text each (one row at least)."""
+    held = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(texts):
+        high = int(np.searchsorted(held, (held[low - 1] if low else 0) + size, "right"))
+        high = max(high, low + 1)
+        yield low, high
+        low = high
+
+
+def filled(texts: pa.Array) -> pa.Array:
+    """Texts with nulls as empty ones."""
+    return pc.fill_null(texts, "")
