@@ -55,3 +55,13 @@ def ascii_lower(text):
     return F.when(plain, F.lower(text)).otherwise(
         F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     )
+
+
+def let(value, body):
+    """``body`` over a value that is worked out once for the row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def split_words(text, separators: str = BLANKS):
+    """The words of a text; a null text has none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators, -1), "")
