@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import byte_bpe, packing, quality_rules, simhash, token_files
+from themeloom.llm import byte_bpe, licenses, packing, quality_rules, sharding, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_license_scan": licenses.op2_license_scan,
     "op5_token_file": token_files.op5_token_file,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_sharding": sharding.op8_sharding,
     "op9_packing": packing.op9_packing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.ORACLE}
+    return {"op2_license_scan": licenses.oracle(), "op6_quality_rules": quality_rules.ORACLE}
