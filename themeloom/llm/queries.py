@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import byte_bpe, embedding_dedup, licenses, packing, quality_rules, sharding, simhash, token_files
+from themeloom.llm import byte_bpe, embedding_dedup, licenses, packing, quality_classifier, quality_rules, sharding, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lattice_dedup": embedding_dedup.op4_lattice_dedup,
     "op5_token_file": token_files.op5_token_file,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_knn_quality": quality_classifier.op7_knn_quality,
     "op8_sharding": sharding.op8_sharding,
     "op9_packing": packing.op9_packing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
