@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import byte_bpe, embedding_dedup, licenses, packing, quality_classifier, quality_rules, sharding, simhash, token_files
+from themeloom.llm import byte_bpe, embedding_dedup, licenses, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_attention_lm": lm_scoring.op3_attention_lm,
     "op4_lattice_dedup": embedding_dedup.op4_lattice_dedup,
     "op5_token_file": token_files.op5_token_file,
     "op6_quality_rules": quality_rules.op6_quality_rules,
