@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH, WINDOW, STRIDE = 16, 32, 24
+WIDTH, WINDOW, STRIDE = 16, 16, 12
 CLASSES, FREQUENT = 64, 2048
 SMOOTH = 0.1
 
@@ -26,7 +26,7 @@ class Vocabulary:
         self.kind = np.empty(len(counts), np.int64)
         self.kind[order] = group
         mass = np.bincount(self.kind, total, CLASSES)
-        self.within = np.log(total / mass[self.kind])
+        self.within = np.log(total / mass[self.kind])  # natural, as all logs here
         self.prior = np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(np.float32)
         self.row = FREQUENT + self.kind
         self.row[order[:FREQUENT]] = np.arange(min(FREQUENT, len(counts)))
@@ -40,34 +40,35 @@ def start(prior: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
     return w | {"b": prior.astype(np.float32)}
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_EARLIER = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 def forward(w: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
     """All values for windows of embedding rows, shape (windows, WINDOW); padding at the end changes nothing before it."""
     x = w["e"][rows] + w["p"]
     q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-    s = q @ k.transpose(0, 2, 1)
-    s *= 1 / np.sqrt(WIDTH)
-    s += _MASK
-    s -= s.max(2, keepdims=True)
+    s = (q * np.float32(1 / np.sqrt(WIDTH))) @ k.transpose(0, 2, 1)
+    # bounded instead of shifted by the largest, which saves two passes
+    np.clip(s, -40, 40, out=s)
     np.exp(s, out=s)
+    s *= _EARLIER
     s /= s.sum(2, keepdims=True)
     c = s @ v
     return {"x": x, "q": q, "k": k, "v": v, "a": s, "c": c, "h": x + c @ w["o"]}
 
 
-def log_classes(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
-    z = h @ w["u"] + w["b"]
-    z -= z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
+def logits(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    z = h @ w["u"]
+    z += w["b"]
+    return np.clip(z, -60, 60, out=z)
 
 
 def gradients(w: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean loss over real places."""
     f = forward(w, rows)
     n = max(1, int(real.sum()))
-    dz = np.exp(log_classes(w, f["h"]))
+    dz = np.exp(logits(w, f["h"]))
+    dz /= dz.sum(-1, keepdims=True)
     at = np.indices(rows.shape)
     dz[at[0], at[1], kinds] -= 1
     dz *= real[..., None] / np.float32(n)
@@ -108,32 +109,49 @@ def windows(ids: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray,
     The first window of a text scores all its places, later ones the last STRIDE, so each id is scored
     once, with at least WINDOW - STRIDE ids before it where the text has them.
     """
+    sizes = sizes.astype(np.int32)
     many = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
     text = np.repeat(np.arange(len(sizes)), many)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    first = (np.cumsum(sizes) - sizes)[text]
-    local = nth[:, None] * STRIDE + np.arange(WINDOW)
+    nth = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+    first = (np.cumsum(sizes) - sizes).astype(np.int32)[text]
+    local = nth[:, None] * np.int32(STRIDE) + np.arange(WINDOW, dtype=np.int32)
     inside = local < sizes[text][:, None]
-    place = np.where(inside, first[:, None] + local, -1)
+    place = np.where(inside, first[:, None] + local, np.int32(-1))
     fresh = inside & ((nth[:, None] == 0) | (np.arange(WINDOW) >= WINDOW - STRIDE))
-    before = np.where(inside & (local > 0), place - 1, -1)
-    return np.where(fresh, place, -1), before, text
+    before = np.where(inside & (local > 0), place - 1, np.int32(-1))
+    return np.where(fresh, place, np.int32(-1)), before, text
 
 
-def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, begin: int, chunk: int = 512) -> np.ndarray:
-    """log10 probability of each text."""
+def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, begin: int, chunk: int = 1024) -> np.ndarray:
+    """log10 probability of each text; texts are taken together up to some 200,000 ids, so memory follows one text."""
+    ends = np.cumsum(sizes)
+    out = []
+    low = 0
+    while low < len(sizes):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + 200_000, "right")))
+        out.append(_score(w, vocabulary, ids[done : ends[high - 1]], sizes[low:high], begin, chunk))
+        low = high
+    return np.concatenate([np.empty(0), *out]) / np.log(10)
+
+
+def _score(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, begin: int, chunk: int) -> np.ndarray:
     target, before, text = windows(ids, sizes, begin)
-    row, kind = vocabulary.row[ids], vocabulary.kind[ids]
+    row, kind, within = vocabulary.row[ids], vocabulary.kind[ids], vocabulary.within[ids]
+    # one row more, for the start of a text
+    row = np.append(row, vocabulary.row[begin])
     out = np.zeros(len(sizes))
     for low in range(0, len(text), chunk):
-        t, b = target[low : low + chunk], before[low : low + chunk]
-        h = forward(w, np.where(b < 0, vocabulary.row[begin], row[b]))["h"]
+        t = target[low : low + chunk]
+        h = forward(w, row[before[low : low + chunk]])["h"]
         real = t >= 0
-        chances = log_classes(w, h[real])
         places = t[real]
-        value = chances[np.arange(len(places)), kind[places]] + vocabulary.within[ids[places]]
-        out += np.bincount(np.broadcast_to(text[low : low + chunk, None], t.shape)[real], value, len(sizes))
-    return out / np.log(10)
+        z = logits(w, h[real])
+        value = z[np.arange(len(places)), kind[places]]
+        np.exp(z, out=z)
+        value = value - np.log(z.sum(1)) + within[places]
+        out += np.bincount(np.repeat(text[low : low + chunk], real.sum(1)), value, len(sizes))
+    return out
 
 
 def train_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, begin: int, adam: Adam, batch: int = 128) -> None:

@@ -23,7 +23,7 @@ TRAIN_ONE_IN = 64
 #: Models trained side by side, and rounds of training and averaging.
 REPLICAS, ROUNDS = 16, 2
 #: The most frequent words, whose counts every task holds; rarer ones meet their counts in a join.
-FREQUENT_WORDS = 100_000
+FREQUENT_WORDS = 200_000
 ALPHA = 0.1
 END = 2
 
@@ -139,9 +139,10 @@ def score_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
             texts = filled(batch.column("text"))
             for low, high in portions(texts):
                 some = texts.slice(low, high - low)
-                ids, sizes = held.encode(some, END)
                 lists = word_lists(some)
                 parts = lists.flatten().dictionary_encode()
+                # words end where the tokenizer cuts, so the ids of a text are those of its words
+                ids, sizes = held.joined(held.part_numbers(parts), np.diff(lists.offsets.to_numpy()).astype(np.int64), END)
                 at = np.array([place.get(w, -1) for w in parts.dictionary.to_pylist()], np.int64)[parts.indices.to_numpy()]
                 text_of = np.repeat(np.arange(high - low), np.diff(lists.offsets.to_numpy()))
                 per_text = lambda values: np.bincount(text_of, values, high - low)  # noqa: B023, E731
@@ -167,9 +168,9 @@ def score_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
         "scored",
     )
     # words out of the most frequent ones are rare by their own count, so no key of this join is hot
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    rare = scored.select("row", F.explode("rare").alias("word"))
     known = rare.join(counts, "word").groupBy("row").agg(
-        F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + ALPHA)).alias("rare_logs")
+        F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + ALPHA)).alias("rare_logs")
     )
     end_known, end_log = int(ends > 0), float(np.log10(ends + ALPHA))
     out = scored.drop("rare").join(known, "row", "left").withColumn("n_known", F.col("n_known") + F.coalesce("rare_known", F.lit(0)))

@@ -45,7 +45,7 @@ _HELD: dict[tuple[str, int], WordEncoder] = {}
 
 
 class WordEncoder:
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -104,10 +104,6 @@ class WordEncoder:
 
     def word_numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The parts of all texts as numbers into ``first`` and ``size``, and how many each text has."""
-        if self.words > self.limit or self.used > 16 * self.limit:
-            self.clear()
-        if len(self.pieces) > self.limit:
-            self.pieces = {}
         if pc.any(pc.match_substring_regex(texts, _ODD)).as_py():
             odd = pc.match_substring_regex(texts, _ODD).to_pylist()
             split = pa.array([[t] if o else t.split() for t, o in zip(texts.to_pylist(), odd, strict=True)], pa.list_(pa.string()))
@@ -116,11 +112,19 @@ class WordEncoder:
                 texts = pc.ascii_lower(pc.replace_substring_regex(texts, _EDGE, r"\1 \2"))
             split = pc.utf8_split_whitespace(texts)
         parts = split.flatten().dictionary_encode()
+        return self.part_numbers(parts), np.diff(split.offsets.to_numpy()).astype(np.int64)
+
+    def part_numbers(self, parts: pa.DictionaryArray) -> np.ndarray:
+        """Parts as numbers into ``first`` and ``size``. Parts are texts between places where the tokenizer cuts;
+        white space at an end of a text leaves an empty part there, which has no ids."""
+        if self.words > self.limit or self.used > 16 * self.limit:
+            self.clear()
+        if len(self.pieces) > self.limit:
+            self.pieces = {}
         words = parts.dictionary.to_pylist()
-        # white space at an end of a text leaves an empty part there, which has no ids
         self._learn([w for w in words if w not in self.numbers])
         number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        return number[parts.indices.to_numpy()], np.diff(split.offsets.to_numpy()).astype(np.int64)
+        return number[parts.indices.to_numpy()]
 
     def spell(self, found: np.ndarray) -> np.ndarray:
         """The ids of numbered words in turn."""
@@ -130,14 +134,17 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end`` after each text, and the number of ids of each text with it."""
-        found, words = self.word_numbers(texts)
+        return self.joined(*self.word_numbers(texts), end)
+
+    def joined(self, found: np.ndarray, words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of texts of so many numbered parts, ``end`` after each."""
         ids = self.spell(found)
         upto = np.concatenate([[0], np.cumsum(self.size[found])])[np.cumsum(words)]
         sizes = np.diff(upto, prepend=0)
         return np.insert(ids, upto, end), sizes + 1
 
 
-def encoder(path: str, limit: int = 500_000) -> WordEncoder:
+def encoder(path: str, limit: int = 250_000) -> WordEncoder:
     """The encoder of this worker for a tokenizer file."""
     if (path, limit) not in _HELD:
         _HELD[path, limit] = WordEncoder(path, limit)
