@@ -22,7 +22,7 @@ from themeloom.llm.token_files import token_rows
 TRAIN_ONE_IN = 64
 #: Models trained side by side, and rounds of training and averaging.
 REPLICAS, ROUNDS = 16, 2
-#: The most frequent words, whose counts every task holds; rarer ones meet their counts in a join.
+#: At most so many of the most frequent words have their counts in every task; rarer ones meet their counts in a join.
 FREQUENT_WORDS = 200_000
 ALPHA = 0.1
 END = 2
@@ -69,6 +69,18 @@ def subword_counts(words: DataFrame, tokenizer: str) -> DataFrame:
     return words.select("word", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def frequent_from(counts: DataFrame, most: int = FREQUENT_WORDS) -> int:
+    """The least count that at most ``most`` words reach, from how many words have each count."""
+    words = 0
+    reached = None
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
+        words += r.words
+        if words > most:
+            break
+        reached = r.n
+    return reached if reached is not None else 1 << 62
+
+
 def trained(rows: DataFrame, id_counts: np.ndarray, rounds: int = ROUNDS) -> bytes:
     """Weights after rounds of side-by-side training on ``rows`` (ids) and averaging by the ids seen."""
     from themeloom.llm.attention import Vocabulary, from_bytes, start, to_bytes
@@ -116,7 +128,7 @@ def score_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_train, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
     log_total = float(np.log10(n_train + ALPHA * (distinct + 1)))
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect()
+    top = counts.filter(F.col("n") >= frequent_from(counts)).collect()
     top_words, top_logs = [r.word for r in top], np.log10(np.array([r.n for r in top], float) + ALPHA)
     id_counts = np.zeros(max(Tokenizer.from_file(tokenizer).get_vocab_size(), END + 1), np.int64)
     for r in subword_counts(counts, tokenizer).collect():
