@@ -117,6 +117,13 @@ def apply_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.struct("*").alias("row"), judge(F.col(text).cast("string")).alias("rules"))
 
 
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``apply_rules`` that are kept. The verdict is worked out once: a filter on it would be
+    pushed below the projection and judge every text a second time."""
+    kept = F.filter(F.array(judge(F.col(text).cast("string"))), lambda r: r["kept"])
+    return docs.select(F.struct("*").alias("row"), F.explode_outer(kept).alias("rules")).filter("rules IS NOT NULL")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_rules(read(spark, sf_dir, "documents"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept"]
