@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +19,24 @@ from themeloom.session import spread
 WIDTH = 64
 
 
-def _grams(word):
-    """Character 3-grams of a word between angle brackets."""
-    framed = F.concat(F.lit("<"), word, F.lit(">"))
-    return F.transform(F.sequence(F.lit(1), F.length(framed) - 2), lambda i: F.substring(framed, i, F.lit(3)))
+class _WordVectors:
+    """Signed sums of the character 3-grams of words, each word worked out once per task."""
+
+    def __init__(self, width: int, limit: int = 200_000):
+        self.width, self.limit, self.held = width, limit, {}
+
+    def of(self, word: str) -> np.ndarray:
+        found = self.held.get(word)
+        if found is None:
+            found = np.zeros(self.width)
+            framed = f"<{word}>"
+            for i in range(len(framed) - 2):
+                bits = int(md5(framed[i : i + 3].encode()).hexdigest()[:8], 16)
+                found[bits % self.width] += 1 if (bits >> 16) % 2 == 0 else -1
+            if len(self.held) >= self.limit:
+                self.held.clear()
+            self.held[word] = found
+        return found
 
 
 def hash_vectors(
@@ -27,22 +44,28 @@ def hash_vectors(
 ) -> DataFrame:
     """``<key, out>``: unit vectors by signed feature hashing of character 3-grams.
 
-    A document is the sum of its words' grams. A document's grams sit in one partition, so the
-    partial sums leave at most ``width`` rows per document for the shuffle; no dictionary is
-    joined and no group exceeds ``width`` rows.
+    A document is the sum of its words' grams between angle brackets, so its vector depends on its own row
+    only: one pass without a shuffle. Words are cut in the JVM.
     """
-    words = spread(df.select(key, text)).select(key, F.explode_outer(tokens(text)).alias("_w"))
-    grams = words.select(key, F.explode_outer(_grams(F.col("_w"))).alias("_g"))
-    bits = F.conv(F.substring(F.md5("_g"), 1, 8), 16, 10).cast("long")
-    hashed = grams.select(
-        key,
-        F.pmod(bits, F.lit(width)).cast("int").alias("_b"),
-        F.when(F.shiftright(bits, 16) % 2 == 0, 1).otherwise(-1).alias("_s"),
-    )
-    sums = hashed.groupBy(key, "_b").agg(F.sum("_s").cast("double").alias("_x"))
-    slots = [F.coalesce(F.sum(F.when(F.col("_b") == i, F.col("_x"))), F.lit(0.0)) for i in range(width)]
-    dense = sums.groupBy(key).agg(*[c.alias(f"_{i}") for i, c in enumerate(slots)])
-    return dense.select(key, normalize(F.array(*[F.col(f"_{i}") for i in range(width)])).alias(out))
+    kind = df.schema[key].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _WordVectors(width)
+        for batch in batches:
+            lists = batch.column(1).fill_null([])
+            parts = lists.flatten().dictionary_encode()
+            matrix = np.array([words.of(w) for w in parts.dictionary.to_pylist()]).reshape(-1, width)
+            at, sums = parts.indices.to_numpy(), np.zeros((len(batch), width))
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            for row, end in enumerate(ends):
+                start = ends[row - 1] if row else 0
+                for low in range(start, end, 10_000):
+                    sums[row] += matrix[at[low : min(end, low + 10_000)]].sum(0)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * width, pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, out])
+
+    summed = df.select(key, tokens(text).alias("_w")).mapInArrow(work, f"`{key}` {kind}, `{out}` array<double>")
+    return summed.select(key, normalize(F.col(out)).alias(out))
 
 
 def encode(

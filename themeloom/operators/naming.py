@@ -13,28 +13,28 @@ from themeloom.functions.vectors import as_doubles, distance
 from themeloom.operators.keywords import topic_centroids
 from themeloom.operators.selection import assigned, sample_per_topic
 
+# What a namer is told: what it sees, what the answer is for, its form, and what to do without enough evidence.
 KEYWORD_TASK = (
-    "You name topics. Below are the keywords of one topic, strongest first.\n"
-    "Answer with a short noun phrase that reads naturally, as specific as the keywords allow.\n"
-    "Add nothing they do not support; when unsure, prefer a broader name. No slogans, no emojis.\n"
+    "Input: terms that set one group of texts apart, the most telling one first.\n"
+    "Output: a heading under which a reader would look for this group, in the language of the terms.\n"
+    "If the terms point in several directions, head the list with what the first ones share.\n"
 )
 DOCUMENT_TASK = (
-    "You name topics. Below are typical documents of one topic.\n"
-    "Answer with a short noun phrase for what they have in common, as specific as they allow.\n"
-    "Name the subject, not the mood; add nothing they do not support. No slogans, no emojis.\n"
+    "Input: a few texts from the middle of one group.\n"
+    "Output: a heading under which a reader would look for all of them, in their language.\n"
+    "Details that only one text mentions do not belong in the heading.\n"
 )
+# The names of the domains.
 DOMAIN_HINTS = {
-    "customer_reviews": (
-        "Setting: customer reviews. Frequent subjects are quality, ease of use, size, price, delivery, "
-        "packaging, support, returns and reliability. Stay neutral.\n"
-    ),
-    "customer_complaints": "Setting: customer complaints. Name the problem in a factual tone.\n",
-    "social_media": "Setting: social media. Name the event, campaign or subject, not the platform.\n",
+    "customer_reviews": "The texts are reviews: the heading says which side of the product or service they judge.\n",
+    "customer_complaints": "The texts are complaints: the heading says what went wrong.\n",
+    "social_media": "The texts are posts: the heading says what is being talked about.\n",
 }
-GENERAL_HINT = "Setting: general.\n"
+GENERAL_HINT = "The texts may be of any kind.\n"
+# The two keys of a reply.
 REPLY_FORMAT = (
-    "Reply with one JSON object and nothing else:\n"
-    '{"topic_name": "two to six words", "reasoning": "one short sentence"}\n'
+    "Write one line of JSON with the heading and the evidence for it:\n"
+    '{"topic_name": "...", "reasoning": "..."}\n'
 )
 
 
@@ -160,7 +160,9 @@ def parse_reply(reply: Column) -> Column:
     whole = F.json_object_keys(reply).isNotNull() & F.endswith(F.trim(reply), F.lit("}"))
 
     def field(name: str) -> Column:
-        loose = F.regexp_extract(reply, '"' + name + r'"\s*:\s*"([^"]+)"', 1)
+        # a backslash takes the next character along, so an escaped quote does not end the value
+        loose = F.regexp_extract(reply, '"' + name + r'"\s*:\s*"((?:\\.|[^"\\])*)', 1)
+        loose = F.regexp_replace(loose, r'\\(["\\/])', "$1")
         return F.trim(F.when(whole, F.coalesce(parsed[name], F.lit(""))).otherwise(loose))
 
     return F.struct(field("topic_name").alias("name"), field("reasoning").alias("reasoning"))

@@ -17,13 +17,15 @@ def topic_sizes(labels: DataFrame, topic: str = "topic") -> DataFrame:
 def topic_info(labels: DataFrame, ranked: DataFrame, topic: str = "topic") -> DataFrame:
     """``<Topic, Count, Name, Representation, Top_words>``, largest first.
 
-    Topics without ranked words do not appear, apart from the outlier row.
+    Counts sum to the documents: a topic without ranked words appears with empty texts.
     """
     sizes = topic_sizes(labels, topic)
+    nested = F.coalesce("words", F.array().cast("array<struct<word:string,score:double>>"))
     words = F.transform(F.col("words"), lambda w: w["word"])
     found = (
-        nest_words(ranked, topic)
-        .join(sizes.filter(F.col(topic) != OUTLIER), topic)
+        sizes.filter(F.col(topic) != OUTLIER)
+        .join(nest_words(ranked, topic), topic, "left")
+        .withColumn("words", nested)
         .select(
             F.col(topic).cast("int").alias("Topic"),
             F.col("n").alias("Count"),
@@ -35,6 +37,7 @@ def topic_info(labels: DataFrame, ranked: DataFrame, topic: str = "topic") -> Da
     outliers = sizes.filter(F.col(topic) == OUTLIER).select(
         F.col(topic).cast("int").alias("Topic"),
         F.col("n").alias("Count"),
+        # fixed values: the texts of the outlier row
         F.lit("Outliers").alias("Name"),
         F.lit("Documents not assigned to any topic").alias("Representation"),
         F.array().cast("array<struct<word:string,score:double>>").alias("Top_words"),

@@ -66,9 +66,9 @@ SHOWN = "string_agg(printf('%s=%.6f', word, score), ' ' ORDER BY rank)"
 def info(base: str) -> str:
     return f"""sz AS (SELECT topic, count(*) AS n FROM {base} GROUP BY topic)
 SELECT topic::INTEGER AS "Topic", n AS "Count",
-  string_agg(word, '_' ORDER BY rank) FILTER (rank <= 3) AS "Name",
-  string_agg(word, ', ' ORDER BY rank) FILTER (rank <= 5) AS "Representation", {SHOWN} AS "Top_words"
-FROM rk JOIN sz USING (topic) GROUP BY topic, n
+  coalesce(string_agg(word, '_' ORDER BY rank) FILTER (rank <= 3), '') AS "Name",
+  coalesce(string_agg(word, ', ' ORDER BY rank) FILTER (rank <= 5), '') AS "Representation", coalesce({SHOWN}, '') AS "Top_words"
+FROM sz LEFT JOIN rk USING (topic) WHERE topic <> -1 GROUP BY topic, n
 UNION ALL SELECT -1, n, 'Outliers', 'Documents not assigned to any topic', '' FROM sz WHERE topic = -1"""
 
 
