@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom import ThemeModel, run
-from themeloom.operators import embedding, keywords, naming
+from themeloom.operators import embedding, keywords, naming, reports
 from themeloom.sources import documents, sinks
 
 FIVE = [(1, 'a "quoted"\nline'), (2, "tab\there"), (3, "été"), (4, "comma, here"), (5, "plain")]
@@ -139,3 +139,30 @@ def test_model_end_to_end(spark, tmp_path):
         ThemeModel().topics()
     with pytest.raises(ValueError):
         run(spark, f"{tmp_path}/docs.parquet", clustering={"method": "kmeans"}, reduction={"method": "pca", "components": 2})
+
+
+def test_escaped_quotes_in_broken_replies(spark):
+    replies = [('text before {"topic_name": "The \\"big\\" one", "reasoning": "as said"} after',), ('{"topic_name": "cut off',)]
+    got = spark.createDataFrame(replies, "reply string").select(naming.parse_reply(F.col("reply")).alias("p")).select("p.*").collect()
+    assert [r.name for r in got] == ['The "big" one', "cut off"]
+
+
+def test_csv_in_several_tasks(spark, tmp_path):
+    path = f"{tmp_path}/many.csv"
+    with open(path, "w") as out:
+        out.write("doc_id,text\n" + "".join(f"{i},some words here\n" for i in range(60_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        split = documents.read_csv(spark, path, "doc_id long, text string", multi_line=False)
+        assert split.rdd.getNumPartitions() > 3 and split.count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_topics_without_words_keep_their_count(spark):
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, -1)], "doc_id long, topic int")
+    ranked = spark.createDataFrame([(0, 1, "cats", 0.5)], "topic int, rank int, word string, score double")
+    info = {r["Topic"]: r for r in reports.topic_info(labels, ranked).collect()}
+    assert {t: r["Count"] for t, r in info.items()} == {0: 2, 1: 1, -1: 1}
+    assert info[1]["Name"] == "" and info[1]["Top_words"] == []

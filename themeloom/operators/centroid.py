@@ -58,7 +58,7 @@ def kmeans(
 ) -> tuple[DataFrame, float]:
     """``<key, out>`` and the inertia; every point gets a topic."""
     if n_clusters is None:
-        raise ValueError("n_clusters must be specified for k-means")
+        raise ValueError("k-means needs the number of clusters (n_clusters)")
     model, cost = kmeans_fit(points, n_clusters, vector, seed, restarts, max_iter)
     features = points.select(key, array_to_vector(as_doubles(F.col(vector))).alias("features"))
     return model.setPredictionCol(out).transform(features).select(key, F.col(out).cast("int").alias(out)), cost
@@ -114,7 +114,7 @@ def ward(
     plain ward; beyond that k-means first condenses the points on the cluster.
     """
     if n_clusters is None:
-        raise ValueError("n_clusters must be specified for agglomerative clustering")
+        raise ValueError("merging clusters needs the number to stop at (n_clusters)")
     members, distinct = collapse_copies(points, key, vector)
     members, distinct = cut_lineage(members), cut_lineage(distinct)
     total = distinct.count()
@@ -162,14 +162,14 @@ def cluster_vectors(
         return dbscan(points, key=key, vector=vector, out=out, **options)
     if name == "agglomerative":
         if n_clusters is None:
-            raise ValueError("n_clusters must be specified for agglomerative clustering")
+            raise ValueError("merging clusters needs the number to stop at (n_clusters)")
         linkage = options.pop("linkage", "ward")
         if linkage == "ward":
             return ward(points, n_clusters, key, vector, out, seed, **options)
         if linkage == "single":
             return single_linkage(points, n_clusters, key, vector, out)
-        raise ValueError(f"Unknown linkage: {linkage}. Choose from: 'ward', 'single'")
-    raise ValueError(f"Unknown method: {method}. Choose from: 'hdbscan', 'kmeans', 'dbscan', 'agglomerative'")
+        raise ValueError(f"no linkage named {linkage!r}; there are ward and single")
+    raise ValueError(f"no clustering named {method!r}; there are agglomerative, dbscan, hdbscan and kmeans")
 
 
 def cluster_summary(labels: DataFrame, topic: str = "topic") -> DataFrame:

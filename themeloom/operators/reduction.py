@@ -212,4 +212,4 @@ def reduce_vectors(
         return pca(df, components, vector, out)[0]
     if name == "svd":
         return truncated_svd(df, components, vector, out)[0]
-    raise ValueError(f"Unknown method: {method}. Choose from: 'graph', 'pca', 'svd'")
+    raise ValueError(f"no reduction named {method!r}; there are graph, pca and svd")

@@ -72,7 +72,7 @@ def plane_points(df: DataFrame, vector: str, key: str = "doc_id", check: bool =
             if seen["low"] != seen["high"]:
                 raise ValueError(f"vectors differ in width: {seen['low']} to {seen['high']}")
             if seen["low"] < 2:
-                raise ValueError(f"Need at least 2 dims, got {seen['low']}")
+                raise ValueError(f"a chart takes vectors of two or more numbers, these have {seen['low']}")
     return df.withColumns(
         {"x": F.element_at(vector, 1).cast("double"), "y": F.element_at(vector, 2).cast("double")}
     )

@@ -64,7 +64,7 @@ class ThemeModel:
 
     def _need(self) -> None:
         if self.ranked is None:
-            raise ValueError("Model has not been fitted yet!")
+            raise ValueError("call fit() first")
 
     def topics(self) -> DataFrame:
         """``<topic, words array<struct<word, score>>>``."""

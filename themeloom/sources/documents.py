@@ -10,14 +10,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = ",") -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep)
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = ",", multi_line: bool = True
+) -> DataFrame:
+    """Records with a header. Fields with line breaks need ``multi_line``, which reads a file in one task;
+    without it a large file is split."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("sep", sep)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    return read_csv(spark, path, schema, sep="\t")
+def read_tsv(spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    return read_csv(spark, path, schema, "\t", multi_line)
 
 
 def _starts_with_bracket(spark: SparkSession, path: str) -> bool:
@@ -88,18 +92,18 @@ def load_documents(
 ) -> DataFrame:
     """Read a document table; the format is ``fmt`` or the lower-cased suffix of ``path``."""
     if not _exists(spark, path):
-        raise FileNotFoundError(f"File not found: {path}")
+        raise FileNotFoundError(f"nothing to read at {path}")
     name = path.rstrip("/").rsplit("/", 1)[-1]
     kind = (fmt or (name.rsplit(".", 1)[1] if "." in name else "")).lower().lstrip(".")
     if kind not in READERS:
-        raise ValueError(f"Unsupported file type: {kind!r}. Supported types: {', '.join(sorted(READERS))}")
+        raise ValueError(f"no reader for {kind!r} files; there are readers for {', '.join(sorted(READERS))}")
     return READERS[kind](spark, path, schema)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Stored vectors ``<doc_id, embedding>``; an absent path is an error."""
     if not _exists(spark, path):
-        raise FileNotFoundError(f"File not found: {path}")
+        raise FileNotFoundError(f"nothing to read at {path}")
     return spark.read.parquet(path)
 
 
