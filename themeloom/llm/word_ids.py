@@ -151,7 +151,7 @@ def encoder(path: str, limit: int = 250_000) -> WordEncoder:
     return _HELD[path, limit]
 
 
-def portions(texts: pa.Array, size: int = 16_000_000):
+def portions(texts: pa.Array, size: int = 8_000_000):
     """Ranges of rows with about ``size`` bytes of text each (one row at least)."""
     held = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     low = 0
