@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import as_doubles
 from themeloom.operators.density import dbscan, hdbscan, single_linkage
-from themeloom.operators.tiles import collapse_copies
+from themeloom.operators.selection import shuffle_key
+from themeloom.operators.tiles import block_squares, collapse_copies
 from themeloom.session import cut_lineage
 
 # Bound of the centres merged on the driver.
@@ -70,10 +73,7 @@ def _ward(centers: np.ndarray, sizes: np.ndarray, n_clusters: int) -> np.ndarray
     centers, sizes = centers.copy(), sizes.astype(float).copy()
     home = np.arange(m)
     alive = np.ones(m, bool)
-    square = ((centers[:, None, :] - centers[None, :, :]) ** 2).sum(-1) if m <= 512 else None
-    if square is None:
-        norms = (centers**2).sum(1)
-        square = np.maximum(norms[:, None] + norms[None, :] - 2 * centers @ centers.T, 0.0)
+    square = block_squares(centers, centers)[0]
     growth = square * (sizes[:, None] * sizes[None, :]) / (sizes[:, None] + sizes[None, :])
     np.fill_diagonal(growth, np.inf)
     near = growth.argmin(axis=1)
@@ -99,6 +99,57 @@ def _ward(centers: np.ndarray, sizes: np.ndarray, n_clusters: int) -> np.ndarray
     return home
 
 
+def micro_clusters(distinct: DataFrame, centers: np.ndarray, vector: str, max_iter: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Centres moved to the weighted means of their points until they rest, with their weights, and
+    ``<rep, micro>``: the number of the centre of each point of ``distinct <rep, vector, copies>``.
+
+    Each task sends one sum a centre. Centres that lose all their points are dropped.
+    """
+
+    def nearest(pdf: pd.DataFrame, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        vecs = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+        return vecs, np.concatenate([block_squares(vecs[i : i + 1024], held)[0].argmin(axis=1) for i in range(0, len(vecs), 1024)])
+
+    def summed(held: np.ndarray):
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums, weight = np.zeros(held.shape), np.zeros(len(held))
+            for pdf in batches:
+                if len(pdf):
+                    vecs, at = nearest(pdf, held)
+                    copies = pdf["copies"].to_numpy(np.float64)
+                    np.add.at(sums, at, vecs * copies[:, None])
+                    weight += np.bincount(at, copies, len(held))
+            used = np.flatnonzero(weight)
+            if len(used):
+                yield pd.DataFrame({"micro": used, "weight": weight[used], "total": list(sums[used])})
+
+        return work
+
+    rows = distinct.select("rep", vector, "copies")
+    for _ in range(max(1, max_iter)):
+        parts = rows.mapInPandas(summed(centers), "micro long, weight double, total array<double>")
+        cells = parts.select("micro", "weight", F.posexplode("total").alias("pos", "x")).groupBy("micro", "pos").agg(
+            F.sum("weight").alias("weight"), F.sum("x").alias("x")
+        )
+        moved = cells.groupBy("micro").agg(
+            F.first("weight").alias("weight"), F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("total")
+        ).orderBy("micro").collect()
+        before = centers[[r["micro"] for r in moved]]
+        sizes = np.array([r["weight"] for r in moved])
+        centers = np.array([[p["x"] for p in r["total"]] for r in moved]) / sizes[:, None]
+        scale = max(1.0, float(np.abs(centers).max()))
+        if len(before) == len(sizes) and np.abs(centers - before).max() <= 1e-9 * scale:
+            break
+    resting = centers
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"rep": pdf["rep"], "micro": nearest(pdf, resting)[1]})
+
+    return centers, sizes, cut_lineage(rows.mapInPandas(place, "rep long, micro long"))
+
+
 def ward(
     points: DataFrame,
     n_clusters: int | None = None,
@@ -107,39 +158,35 @@ def ward(
     out: str = "topic",
     seed: int = 42,
     micro: int = MICRO_CLUSTERS,
+    max_iter: int = 20,
 ) -> DataFrame:
-    """``<key, out>``: ward merges over at most ``micro`` weighted centres.
+    """``<key, out>``: ward merges over ``micro`` weighted centres, numbered by their place.
 
-    Up to ``micro`` distinct vectors the centres are the vectors themselves and the result is
-    plain ward; beyond that k-means first condenses the points on the cluster.
+    The centres start as the ``micro`` distinct vectors of lowest hash and are moved to the means of
+    their points on the cluster. With no more distinct vectors than centres nothing moves, and the
+    result is that of plain ward; the way is the same at every size.
     """
     if n_clusters is None:
         raise ValueError("merging clusters needs the number to stop at (n_clusters)")
+    if micro < n_clusters:
+        raise ValueError(f"micro ({micro}) must be at least n_clusters ({n_clusters})")
     members, distinct = collapse_copies(points, key, vector)
     members, distinct = cut_lineage(members), cut_lineage(distinct)
     total = distinct.count()
     if n_clusters < 1 or n_clusters > total:
         raise ValueError(f"n_clusters must lie between 1 and the number of distinct vectors, got {n_clusters}")
-    if total <= micro:
-        rows = distinct.orderBy("rep").collect()
-        centers = np.array([r[vector] for r in rows], dtype=float)
-        home = _ward(centers, np.array([r["copies"] for r in rows]), n_clusters)
-        small = [(int(r["rep"]), int(h)) for r, h in zip(rows, home)]
-        placed = members
-        column = "rep"
-    else:
-        model, _ = kmeans_fit(points, max(micro, n_clusters), vector, seed, restarts=1, max_iter=20)
-        features = points.select(key, array_to_vector(as_doubles(F.col(vector))).alias("features"))
-        placed = cut_lineage(model.setPredictionCol("rep").transform(features).select(F.col(key).cast("long").alias(key), F.col("rep").cast("long").alias("rep")))
-        sizes = {r["rep"]: r["n"] for r in placed.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).collect()}
-        used = sorted(sizes)
-        centers = np.array(model.clusterCenters())[used]
-        home = _ward(centers, np.array([sizes[u] for u in used]), min(n_clusters, len(used)))
-        small = [(int(u), int(h)) for u, h in zip(used, home)]
-        column = "rep"
+    chosen = distinct.orderBy(shuffle_key("rep", seed), "rep").limit(micro).select("rep", vector).collect()
+    chosen = sorted(chosen, key=lambda r: r["rep"])
+    centers, sizes, placed = micro_clusters(distinct, np.array([r[vector] for r in chosen], dtype=float), vector, max_iter)
+    if len(centers) < n_clusters:
+        raise ValueError(f"only {len(centers)} centres kept points; raise micro ({micro}) to get {n_clusters} clusters")
+    home = _ward(centers, sizes, n_clusters)
+    small = list(enumerate(home.tolist()))
     number = {h: i for i, h in enumerate(sorted({h for _, h in small}))}
-    mapping = points.sparkSession.createDataFrame([(u, number[h]) for u, h in small], f"{column} long, {out} int")
-    return placed.join(mapping, column).select(key, out)
+    # at most micro rows
+    mapping = points.sparkSession.createDataFrame([(u, number[h]) for u, h in small], f"micro long, {out} int")
+    labels = placed.join(F.broadcast(mapping), "micro").select("rep", out)
+    return members.join(labels, "rep").select(key, out)
 
 
 def cluster_vectors(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from themeloom.functions.vectors import as_doubles, distance
+from themeloom.functions.vectors import as_doubles, distance, normalize
 from themeloom.operators import graph
 from themeloom.operators.graph import DisjointSets, connected_components, consecutive, in_one_task, minimum_forest
 from themeloom.operators.neighbors import _nearest_distinct
@@ -19,11 +19,11 @@ from themeloom.operators.tiles import (
     TILE_ROWS,
     Block,
     CellTiles,
-    block_distances,
     cell_tiles,
     collapse_copies,
     map_pairs,
     pack,
+    within,
 )
 from themeloom.session import cut_lineage
 
@@ -109,6 +109,13 @@ def _forest_in_block(rows: np.ndarray, cols: np.ndarray, a: np.ndarray, b: np.nd
     return pd.DataFrame(kept, columns=["u", "v"]) if kept else None
 
 
+def _measured(points: DataFrame, vector: str, metric: str) -> DataFrame:
+    """Cosine distance is half the squared Euclidean distance of unit vectors."""
+    if metric not in ("euclidean", "cosine"):
+        raise ValueError(f"no metric named {metric!r}; there are cosine and euclidean")
+    return points if metric == "euclidean" else points.withColumn(vector, normalize(as_doubles(F.col(vector))))
+
+
 def dbscan(
     points: DataFrame,
     eps: float = 0.5,
@@ -117,6 +124,7 @@ def dbscan(
     vector: str = "reduced",
     out: str = "topic",
     tile_rows: int | None = None,
+    metric: str = "euclidean",
 ) -> DataFrame:
     """``<key, out>``: exact DBSCAN labels, numbered by smallest core key; noise is -1.
 
@@ -124,8 +132,9 @@ def dbscan(
     any distance: a fine cell with ``min_samples`` points is all core and connected. Tiles
     then count neighbours of the remaining points, link groups of core points (first a few
     points per fine cell, then all, skipping tiles already in one component) and give border
-    points the smallest label in reach.
+    points the smallest label in reach. Under the cosine metric ``eps`` is a cosine distance.
     """
+    points, eps = _measured(points, vector, metric), math.sqrt(2 * eps) if metric == "cosine" else eps
     rows = tile_rows or TILE_ROWS
     members, distinct = collapse_copies(points, key, vector)
     members, distinct = cut_lineage(members), cut_lineage(distinct.withColumnRenamed(vector, "v"))
@@ -146,7 +155,7 @@ def dbscan(
     sparse = _grid_tiles(placed.filter("NOT crowded"), "rep", "v", ("copies",), dims, side, rows)
 
     def reach(a: Block, b: Block) -> pd.DataFrame:
-        inside = block_distances(a.vecs, b.vecs) <= eps
+        inside = within(a.vecs, b.vecs, eps)
         return pd.DataFrame({"rep": a.ids, "part": inside @ b.extra("copies")})
 
     counted = map_pairs(_near_pairs(sparse, everything, eps, len(dims)), sparse, everything, reach, "rep long, part double")
@@ -160,7 +169,7 @@ def dbscan(
         ga, gb = a.extra("node", np.int64), b.extra("node", np.int64)
         if len(ga) and (ga == ga[0]).all() and (gb == ga[0]).all():
             return None
-        found = (block_distances(a.vecs, b.vecs) <= eps) & (ga[:, None] != gb[None, :])
+        found = within(a.vecs, b.vecs, eps) & (ga[:, None] != gb[None, :])
         return _forest_in_block(*np.nonzero(found), ga, gb)
 
     def linked(tiles: DataFrame) -> DataFrame:
@@ -172,10 +181,9 @@ def dbscan(
         found = core.join(roots.withColumnRenamed("id", "node"), "node", "left")
         return found.select("rep", "v", F.coalesce("root", "node").alias("node"))
 
-    if core.count() > 8 * rows:
-        few = core.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(shuffle_key("rep", 3))))
-        quick = _grid_tiles(few.filter(F.col("_r") <= 8).drop("_r"), "rep", "v", ("node",), dims, side, rows)
-        core = cut_lineage(merged(core, connected_components(linked(quick))))
+    few = core.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(shuffle_key("rep", 3))))
+    quick = _grid_tiles(few.filter(F.col("_r") <= 8).drop("_r"), "rep", "v", ("node",), dims, side, rows)
+    core = cut_lineage(merged(core, connected_components(linked(quick))))
     settled = _grid_tiles(core, "rep", "v", ("node",), dims, side, rows)
     roots = cut_lineage(connected_components(linked(settled)))
     if roots.head(1):
@@ -184,7 +192,7 @@ def dbscan(
     numbers = consecutive(core.select("node").distinct(), ["node"], out)
 
     def lowest(a: Block, b: Block) -> pd.DataFrame | None:
-        inside = block_distances(a.vecs, b.vecs) <= eps
+        inside = within(a.vecs, b.vecs, eps)
         hit = inside.any(axis=1)
         if not hit.any():
             return None
@@ -250,8 +258,6 @@ def _tree_edges(grid: CellTiles) -> DataFrame:
     tiles = grid.tiles
     same = tiles.select(F.col("tile").alias("a_tile"), F.col("tile").alias("b_tile"))
     own = cut_lineage(map_pairs(same, tiles, tiles, _pair_tree, TREE))
-    if tiles.count() == 1:
-        return own
 
     def head(a: Block, b: Block) -> pd.DataFrame:
         core = a.extra("core")
@@ -673,6 +679,7 @@ def hdbscan(
     tile_rows: int | None = None,
     max_cells: int | None = None,
     local_limit: int | None = None,
+    metric: str = "euclidean",
 ) -> DataFrame:
     """``<key, out>``: HDBSCAN labels, numbered by smallest key; noise is -1.
 
@@ -682,11 +689,13 @@ def hdbscan(
     leaves its cluster at the rank where its component first reached ``min_cluster_size``.
     """
     if selection not in ("eom", "leaf"):
-        raise ValueError(f"Unknown selection: {selection}. Choose from: 'eom', 'leaf'")
+        raise ValueError(f"no selection named {selection!r}; there are eom and leaf")
     if min_cluster_size < 2:
         raise ValueError("min_cluster_size must be at least 2")
     limit = graph.LOCAL_EDGES if local_limit is None else local_limit
-    raw, nodes, members = spanning_tree(points, min_samples, key, vector, tile_rows, max_cells)
+    raw, nodes, members = spanning_tree(_measured(points, vector, metric), min_samples, key, vector, tile_rows, max_cells)
+    if metric == "cosine":
+        raw, nodes = raw.withColumn("w", F.col("w") * F.col("w") / 2), nodes.withColumn("core", F.col("core") * F.col("core") / 2)
     tree = cut_lineage(consecutive(raw, ["w", "u", "v"], "at"))
     joins = cut_lineage(_joining_edges(tree, nodes, min_cluster_size, limit))
     ju = joins.select(F.col("id").alias("u"), F.col("at").alias("ju"))

@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import distance, normalize
-from themeloom.operators.tiles import Block, CellTiles, block_distances, cell_tiles, collapse_copies, map_pairs
+from themeloom.operators.tiles import Block, CellTiles, block_squares, cell_tiles, collapse_copies, map_pairs, pair_distances
 from themeloom.session import cut_lineage
 
 
 def _nearest_in_block(a: Block, b: Block, k: int) -> pd.DataFrame | None:
     """The k nearest points of ``b`` for each point of ``a`` (not itself), ties by id."""
-    apart = block_distances(a.vecs, b.vecs)
+    apart, slack = block_squares(a.vecs, b.vecs)
     apart[a.ids[:, None] == b.ids[None, :]] = np.inf
     width = min(k, apart.shape[1])
     edge = np.partition(apart, width - 1, axis=1)[:, width - 1]
-    rows, cols = np.nonzero((apart <= edge[:, None]) & np.isfinite(apart))
+    # all that rounding may have put behind the edge stay until the exact distance decides
+    rows, cols = np.nonzero((apart <= edge[:, None] + 2 * slack) & np.isfinite(apart))
     if not len(rows):
         return None
-    exact = np.sqrt(((a.vecs[rows] - b.vecs[cols]) ** 2).sum(axis=1))
+    exact = pair_distances(a.vecs[rows], b.vecs[cols])
     order = np.lexsort((b.ids[cols], exact, rows))
     rows, cols, exact = rows[order], cols[order], exact[order]
     starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
@@ -43,8 +44,6 @@ def _nearest_distinct(grid: CellTiles, k: int) -> DataFrame:
     tiles = grid.tiles
     same = tiles.select(F.col("tile").alias("a_tile"), F.col("tile").alias("b_tile"))
     local = map_pairs(same, tiles, tiles, lambda a, b: _nearest_in_block(a, b, k), EDGES)
-    if grid.sizes.sum() == 1 or tiles.count() == 1:
-        return local
     order = np.argsort(grid.spans(), axis=1)
     reached = np.take_along_axis(grid.sizes[None, :].repeat(len(grid.cells), 0), order, 1).cumsum(axis=1)
     first = np.minimum((reached < k + 1).sum(axis=1), len(grid.cells) - 1)
@@ -54,8 +53,9 @@ def _nearest_distinct(grid: CellTiles, k: int) -> DataFrame:
     def farthest(a: Block, b: Block) -> pd.DataFrame | None:
         if len(a.ids) <= k:
             return None
-        apart = block_distances(a.vecs, a.vecs)
-        return pd.DataFrame({"a_tile": [a.value("tile")], "own": [float(np.partition(apart, k, axis=1)[:, k].max())]})
+        squares, slack = block_squares(a.vecs, a.vecs)
+        own = np.sqrt(np.partition(squares, k, axis=1)[:, k].max() + slack)
+        return pd.DataFrame({"a_tile": [a.value("tile")], "own": [float(own)]})
 
     own = map_pairs(same, tiles, tiles, farthest, "a_tile long, own double")
     heads = tiles.select("tile", "cell", "center", "radius")
@@ -89,7 +89,7 @@ def knn_graph(
     searched once and expanded at the end.
     """
     if metric not in ("euclidean", "cosine"):
-        raise ValueError(f"Unknown metric: {metric}. Choose from: 'euclidean', 'cosine'")
+        raise ValueError(f"no metric named {metric!r}; there are cosine and euclidean")
     if k < 1:
         raise ValueError("k must be at least 1")
     if metric == "cosine":
@@ -122,8 +122,10 @@ def knn_graph(
 
 
 def core_distances(graph: DataFrame, min_samples: int = 5) -> DataFrame:
-    """``<id, core>``: distance to the ``min_samples``-th neighbour (self not counted)."""
-    return graph.filter(F.col("rank") == min_samples).select(F.col("src").alias("id"), F.col("dist").alias("core"))
+    """``<id, core>``: distance to the ``min_samples``-th neighbour (self not counted), or to the
+    farthest one where a point has fewer."""
+    near = graph.filter(F.col("rank") <= min_samples)
+    return near.groupBy(F.col("src").alias("id")).agg(F.max("dist").alias("core"))
 
 
 def mutual_reachability(graph: DataFrame, cores: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.functions.vectors import as_doubles, distance
+from themeloom.functions.vectors import as_doubles
 from themeloom.operators.selection import shuffle_key
 from themeloom.session import cut_lineage
 
@@ -40,15 +40,43 @@ def collapse_copies(points: DataFrame, key: str, vector: str) -> tuple[DataFrame
     return members, distinct.select("rep", vector, "copies")
 
 
+def block_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances between the rows of two blocks, and how far rounding may put them off.
+
+    Both blocks are moved to the centre of the second one first, so that points far from the
+    origin do not lose their differences.
+    """
+    origin = b.mean(axis=0)
+    a, b = a - origin, b - origin
+    left, right = (a * a).sum(1), (b * b).sum(1)
+    slack = 4.0 * (a.shape[1] + 4) * np.finfo(float).eps * (left.max(initial=0.0) + right.max(initial=0.0))
+    return np.maximum(left[:, None] + right[None, :] - 2.0 * (a @ b.T), 0.0), float(slack)
+
+
 def block_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances between the rows of two blocks."""
-    if a.shape[1] <= 8:
-        out = np.zeros((len(a), len(b)))
-        for i in range(a.shape[1]):
-            out += (a[:, i, None] - b[None, :, i]) ** 2
-        return np.sqrt(out)
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(squares, 0.0))
+    """Euclidean distances between the rows of two blocks, as near as rounding allows.
+
+    For sums and bounds. Where a distance decides, use ``within`` or work it out again.
+    """
+    return np.sqrt(block_squares(a, b)[0])
+
+
+def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between paired rows, from their differences."""
+    return np.sqrt(((a - b) ** 2).sum(axis=1))
+
+
+def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows of two blocks are at most ``eps`` apart; pairs too near to the edge for rounding
+    are decided by their differences."""
+    squares, slack = block_squares(a, b)
+    slack += 4.0 * np.finfo(float).eps * eps * eps
+    inside = squares <= eps * eps
+    rows, cols = np.nonzero(np.abs(squares - eps * eps) <= slack)
+    for low in range(0, len(rows), 100_000):
+        r, c = rows[low : low + 100_000], cols[low : low + 100_000]
+        inside[r, c] = pair_distances(a[r], b[c]) <= eps
+    return inside
 
 
 def pack(df: DataFrame, tile: list[str], key: str, vector: str, extras: tuple[str, ...] = ()) -> DataFrame:
@@ -142,12 +170,14 @@ class CellTiles:
 
     def gaps(self) -> np.ndarray:
         """Lower bound of the distance between points of two cells."""
-        apart = block_distances(self.pivots, self.pivots)
+        squares, slack = block_squares(self.pivots, self.pivots)
+        apart = np.sqrt(np.maximum(squares - slack, 0.0))
         return np.maximum(apart - self.reach[:, None] - self.reach[None, :], 0.0)
 
     def spans(self) -> np.ndarray:
         """Upper bound of the distance between points of two cells."""
-        return block_distances(self.pivots, self.pivots) + self.reach[:, None] + self.reach[None, :]
+        squares, slack = block_squares(self.pivots, self.pivots)
+        return np.sqrt(squares + slack) + self.reach[:, None] + self.reach[None, :]
 
     def cell_pairs(self, keep: np.ndarray, columns: dict[str, np.ndarray] | None = None) -> DataFrame:
         """Kept cell pairs as a table (at most MAX_CELLS squared rows), with values per pair."""
@@ -184,16 +214,10 @@ def cell_tiles(
         for pdf in batches:
             if len(pdf):
                 vecs = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                apart = block_distances(vecs, pivots)
-                cell = apart.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype(np.int32), reach=apart[np.arange(len(vecs)), cell])
-
-    placed = points.select(key, vector, *extras)
-    if count > 1:
-        placed = placed.mapInPandas(nearest, f"{fields}, cell int, reach double")
-    else:
-        first = F.array(*[F.lit(float(x)) for x in pivots[0]])
-        placed = placed.withColumns({"cell": F.lit(0), "reach": distance(F.col(vector), first)})
+                cell = block_squares(vecs, pivots)[0].argmin(axis=1)
+                yield pdf.assign(cell=cell.astype(np.int32), reach=pair_distances(vecs, pivots[cell]))
+
+    placed = points.select(key, vector, *extras).mapInPandas(nearest, f"{fields}, cell int, reach double")
     placed = cut_lineage(placed)
     summary = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).orderBy("cell").collect()
     cells = np.array([r["cell"] for r in summary])
