@@ -680,6 +680,7 @@ def hdbscan(
     max_cells: int | None = None,
     local_limit: int | None = None,
     metric: str = "euclidean",
+    cluster_selection_method: str | None = None,
 ) -> DataFrame:
     """``<key, out>``: HDBSCAN labels, numbered by smallest key; noise is -1.
 
@@ -688,6 +689,7 @@ def hdbscan(
     piece per leaf cluster, and merging the pieces by rank gives the condensed tree. A point
     leaves its cluster at the rank where its component first reached ``min_cluster_size``.
     """
+    selection = cluster_selection_method or selection  # two names of one setting
     if selection not in ("eom", "leaf"):
         raise ValueError(f"no selection named {selection!r}; there are eom and leaf")
     if min_cluster_size < 2:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,17 +119,21 @@ def _combine(column: str, turn: np.ndarray):
 
 
 def spectral_layout(
-    edges: DataFrame, components: int = 5, restarts: int = 2, depth: int = 6, seed: int = 42
+    edges: DataFrame, components: int = 5, restarts: int = 12, depth: int = 6, seed: int = 42, tolerance: float = 1e-3
 ) -> DataFrame:
     """``<id, reduced>``: leading non-trivial eigenvectors of the normalized weighted graph.
 
     A restarted block Krylov iteration on (I + S) / 2: every step is one edge join and one
     grouped sum; Rayleigh-Ritz over all steps needs only their inner products, a matrix of
-    (components + 1) * (depth + 1) squared, on the driver.
+    (components + 1) * (depth + 1) squared, on the driver. It goes on until every eigenvector's
+    residual is at most ``tolerance``; if ``restarts`` restarts do not reach it, a warning says how
+    far it got. A graph without edges gives no rows.
     """
     width = components + 1
     both = edges.select("u", "v", "w").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
     degree = cut_lineage(both.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("deg")))
+    if not degree.head(1):
+        return degree.select("id", F.array_repeat(F.lit(0.0), components).alias("reduced"))
     du = degree.select(F.col("id").alias("u"), F.col("deg").alias("deg_u"))
     dv = degree.select(F.col("id").alias("v"), F.col("deg").alias("deg_v"))
     scale = F.col("w") / F.sqrt(F.col("deg_u") * F.col("deg_v"))
@@ -161,10 +166,18 @@ def spectral_layout(
         basis = vectors[:, keep] / np.sqrt(values[keep]) / size[:, None]
         small = basis.T @ ((image + image.T) / 2) @ basis
         ritz, turn = np.linalg.eigh(small)
-        top = basis @ turn[:, np.argsort(ritz)[::-1][:width]]
+        first = np.argsort(ritz)[::-1][:width]
+        top, found = basis @ turn[:, first], ritz[first]
+        # |M y - r y|^2 from inner products alone
+        parts = [np.einsum("ij,ik,kj->j", top, m, top) for m in (gram[width:, width:], (image + image.T) / 2, inner)]
+        residual = float(np.sqrt(np.maximum(parts[0] - 2 * found * parts[1] + found**2 * parts[2], 0.0)).max())
         padded = np.vstack([top, np.zeros((width, top.shape[1]))])
         krylov = cut_lineage(krylov.select("id", _combine("x", padded).alias("x")))
         width = padded.shape[1]
+        if residual <= tolerance:
+            break
+    else:
+        warnings.warn(f"spectral layout stopped at a residual of {residual:.2g}, above {tolerance:.2g}", stacklevel=2)
     count = min(components, width - 1)
     ends = krylov.agg(
         *[f(F.col("x")[j + 1]).alias(f"{t}{j}") for j in range(count) for t, f in (("low", F.min), ("high", F.max))]
@@ -186,12 +199,20 @@ def graph_layout(
     vector: str = "embedding",
     out: str = "reduced",
     seed: int = 42,
+    min_dist: float = 0.0,
 ) -> DataFrame:
-    """Neighbour graph -> fuzzy weights -> spectral layout, joined back by key."""
+    """Neighbour graph -> fuzzy weights -> spectral layout, joined back by key.
+
+    A point without neighbours stays, at the origin. ``min_dist`` is accepted for its usual value 0
+    only: this layout has no step that pushes points apart.
+    """
+    if min_dist:
+        raise ValueError("the spectral layout places points by eigenvectors; min_dist other than 0 has no effect in it")
     graph = cut_lineage(knn_graph(df, n_neighbors, key, vector, metric))
     edges = cut_lineage(fuzzy_edges(graph))
     laid = spectral_layout(edges, components, seed=seed).withColumnRenamed("id", key).withColumnRenamed("reduced", out)
-    return df.join(laid, key)
+    width = laid.agg(F.max(F.size(out))).first()[0] or components
+    return df.join(laid, key, "left").withColumn(out, F.coalesce(out, F.array_repeat(F.lit(0.0), width)))
 
 
 def reduce_vectors(

@@ -33,7 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 DOMAINS = ("customer_reviews", "customer_complaints", "social_media", "other")
-DBSCAN_EPS, DBSCAN_MIN = 0.015, 5
+DBSCAN_EPS, DBSCAN_MIN, COSINE_EPS = 0.015, 5, 0.7
 
 
 def query(fn: Query) -> Query:
@@ -339,6 +339,17 @@ def refined_keywords(spark, path):
     return keywords.refine_by_similarity(_relevance(spark, path)).withColumn("score", r6("score"))
 
 
+def _described(spark, path) -> ThemeModel:
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    return ThemeModel().describe(docs, labelled_vectors(spark, path).withColumn("reduced", F.col("embedding")))
+
+
+@query
+def model_refined(spark, path):
+    """The model's own refinement after describing given labels."""
+    return _described(spark, path).refine().ranked.withColumn("score", r6("score"))
+
+
 @query
 def mmr_words(spark, path):
     return keywords.refine_by_diversity(_relevance(spark, path)).withColumn("score", r6("score"))
@@ -391,6 +402,12 @@ def prompt_documents(spark, path):
     return prompts.select("topic", "prompt")
 
 
+@query
+def document_names(spark, path):
+    """Names from representative documents where no generator answers."""
+    return _described(spark, path).name(by="documents", domain=_domain()).select("topic", "name")
+
+
 def _replies(docs: DataFrame) -> DataFrame:
     """Replies of four kinds, by document: whole JSON, JSON cut short, loose text, an object without
     the name."""
@@ -542,6 +559,24 @@ def chart_tables(spark, path):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@query
+def chart_table_content(spark, path):
+    """Every row of the written charts, as text."""
+    docs = cut_lineage(vector_docs(spark, path).withColumn("reduced", F.col("embedding")))
+    out = scratch_path(spark, "charts")
+    charts.chart_tables(docs, cut_lineage(_ranked(docs)), path=out)
+
+    def back(name: str, item, shown) -> DataFrame:
+        return spark.read.parquet(f"{out}/charts/{name}").select(F.lit(name).alias("chart"), item.alias("item"), shown.alias("shown"))
+
+    number = F.col("topic").cast("string")
+    points = back("points_2d", F.col("doc_id").cast("string"), F.format_string("%.6f %.6f %d", "x", "y", "topic"))
+    sizes = back("topic_distribution", number, F.format_string("%d", "n"))
+    place = F.format_string("%d %d %s %.6f", "grid_row", "grid_col", "word", "score")
+    words = back("topic_words_grid", F.concat_ws("-", "topic", "rank"), place)
+    return points.unionByName(sizes).unionByName(words)
+
+
 # ---- files ----------------------------------------------------------------------------------
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -669,6 +704,21 @@ def reduction_variance(spark, path):
     return spread.agg(r6(F.sum("v")).alias("total_variance"))
 
 
+@query
+def reduction_spectrum(spark, path):
+    """Power sums of the variances that the returned ratios stand for; they equal traces of powers of the
+    covariance matrix, so a wrong ratio shows."""
+    vectors = labelled_vectors(spark, path)
+    width = vectors.select(F.size("embedding")).first()[0]
+    _, ratios = reduction.pca(vectors, width)
+    cells = vectors.select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.var_samp("x").alias("v"))
+    total = cells.agg(F.sum("v").alias("total"))
+    held = total.select("total", F.explode(F.array(*[F.lit(float(x)) for x in ratios])).alias("ratio"))
+    variance = F.col("ratio") * F.col("total")
+    powers = F.explode(F.array(*[F.struct(F.lit(k).alias("power"), F.pow(variance, F.lit(k)).alias("v")) for k in (1, 2, 3)]))
+    return held.select(powers.alias("p")).groupBy("p.power").agg(r6(F.sum("p.v")).alias("value"))
+
+
 @query
 def knn_graph(spark, path):
     graph = neighbors.knn_graph(labelled_vectors(spark, path), 15, metric="cosine")
@@ -706,6 +756,19 @@ def dbscan_labels(spark, path):
     return density.dbscan(plane(spark, path), DBSCAN_EPS, DBSCAN_MIN)
 
 
+@query
+def dbscan_cosine(spark, path):
+    """All coordinates, cosine distance, many tiles."""
+    return density.dbscan(labelled_vectors(spark, path), COSINE_EPS, DBSCAN_MIN, vector="embedding", tile_rows=64, metric="cosine")
+
+
+@query
+def knn_graph_tiles(spark, path):
+    """The neighbour graph again with tiles small enough that pruning and pair joins take part."""
+    graph = neighbors.knn_graph(labelled_vectors(spark, path), 15, metric="cosine", tile_rows=64)
+    return graph.select("src", "dst", "rank", r6("dist").alias("dist"))
+
+
 @query
 def core_distance(spark, path):
     graph = neighbors.knn_graph(labelled_vectors(spark, path), 5)
@@ -787,3 +850,28 @@ def saved_model(spark, path):
     for other in counts[1:]:
         out_df = out_df.unionByName(other)
     return out_df
+
+
+@query
+def saved_model_content(spark, path):
+    """Every row of a saved run read back, as text."""
+    model = _described(spark, path)
+    out = scratch_path(spark, "model")
+    model.save(out)
+
+    def rows(df: DataFrame, part: str, item, shown) -> DataFrame:
+        return df.select(F.lit(part).alias("part"), item.cast("string").alias("item"), shown.alias("shown"))
+
+    def vectors(name: str) -> DataFrame:
+        first = F.format_string("%d %.6f %.6f", F.size(name), F.element_at(name, 1), F.element_at(name, -1))
+        return rows(spark.read.parquet(f"{out}/{'embeddings' if name == 'embedding' else name}.parquet"), name, F.col("doc_id"), first)
+
+    info = sources.read_csv(spark, f"{out}/topic_info", "Topic int, Count bigint, Name string, Representation string, Top_words string")
+    docs = sources.read_csv(spark, f"{out}/document_info", "doc_id bigint, Document string, Topic int, Document_Length int")
+    return (
+        rows(info, "topic_info", F.col("Topic"), F.concat_ws(" ", "Count", "Name", "Representation"))
+        .unionByName(rows(docs, "document_info", F.col("doc_id"), F.concat_ws(" ", "Topic", "Document_Length", F.md5("Document"))))
+        .unionByName(vectors("embedding"))
+        .unionByName(vectors("reduced"))
+        .unionByName(rows(spark.read.json(f"{out}/parameters"), "parameters", F.lit("seed"), F.col("seed").cast("string")))
+    )

@@ -8,12 +8,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.operators import charts, metrics, reports
+from themeloom.operators import charts, keywords, metrics, naming, reports
 from themeloom.operators.centroid import cluster_vectors
 from themeloom.operators.embedding import embed
 from themeloom.operators.reduction import reduce_vectors
 from themeloom.operators.selection import limit_documents, pick_text
-from themeloom.operators.weighting import nest_words, top_words, weigh_terms
+from themeloom.operators.weighting import nest_words, top_words, weigh_terms, words_only
 from themeloom.session import cut_lineage, shared_dir
 from themeloom.sources import sinks
 from themeloom.sources.documents import load_documents
@@ -71,6 +71,41 @@ class ThemeModel:
         self._need()
         return nest_words(self.ranked)
 
+    def refine(
+        self, count: int = 10, candidates: int = 50, diversity: float | None = None, encoder: Callable | str | None = None
+    ) -> "ThemeModel":
+        """Re-rank each topic's words by similarity to its centroid, or with ``diversity`` (0 to 1) by
+        maximal marginal relevance. ``encoder`` must be the one the documents' vectors came from."""
+        self._need()
+        kind = encoder or self.embedding.get("encoder", "hash")
+        options = {"width": self.embedding["width"]} if "width" in self.embedding else {}
+        words = keywords.candidate_words(self.scores, candidates)
+        relevance = keywords.word_relevance(words, keywords.topic_centroids(self.points), kind, **options)
+        if diversity is None:
+            refined = keywords.refine_by_similarity(relevance, count)
+        else:
+            refined = keywords.refine_by_diversity(relevance, count, diversity)
+        self.ranked = cut_lineage(refined)
+        return self
+
+    def name(self, make_generator: Callable | None = None, domain: str = "other", by: str = "keywords", **options) -> DataFrame:
+        """``<topic, name, reasoning>`` from ``keywords`` or ``documents``; without a generator, names made of words."""
+        self._need()
+        words = words_only(nest_words(self.ranked))
+        if by == "keywords":
+            prompts = naming.keyword_prompts(words, domain)
+            replies = naming.generate(prompts, make_generator, **options) if make_generator else None
+            return naming.names_from_keywords(prompts, replies)
+        if by != "documents":
+            raise ValueError(f"names come from keywords or documents, not {by!r}")
+        chosen = cut_lineage(naming.representative_documents(self.points))
+        prompts = naming.document_prompts(chosen, words, domain)
+        if make_generator:
+            replies = naming.generate(prompts, make_generator, **options)
+        else:
+            replies = prompts.select("topic", F.lit("").alias("reply"), F.lit(True).alias("failed"))
+        return naming.names_from_documents(prompts, chosen, replies)
+
     def topic_info(self) -> DataFrame:
         self._need()
         return reports.topic_info(self.points, self.ranked)

@@ -12,7 +12,7 @@ from themeloom.operators.naming import (
     KEYWORD_TASK,
     REPLY_FORMAT,
 )
-from themeloom.plans.catalog import DBSCAN_EPS, DBSCAN_MIN, DOMAINS
+from themeloom.plans.catalog import COSINE_EPS, DBSCAN_EPS, DBSCAN_MIN, DOMAINS
 
 
 def lit(text: str) -> str:
@@ -32,6 +32,16 @@ DV = "dv AS (SELECT d.doc_id, d.text, v.v, v.topic FROM documents d JOIN vec v U
 CELL = """cell AS (SELECT doc_id, topic, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM vec)"""
 PT = "pt AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
 
+#: DBSCAN labels from pt <id> and near <a, b>.
+DENSE = f"""core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {DBSCAN_MIN}),
+            link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+            reach(root, id) AS (SELECT id, id FROM core UNION SELECT r.root, l.b FROM reach r JOIN link l ON l.a = r.id),
+            comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+            number AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS topic FROM (SELECT DISTINCT root FROM comp)),
+            lab AS (SELECT near.a AS id, min(root) AS root FROM near JOIN comp ON comp.id = near.b GROUP BY near.a),
+            mine AS (SELECT id, root FROM comp UNION ALL SELECT id, root FROM lab WHERE id NOT IN (SELECT id FROM core))
+            SELECT pt.id AS doc_id, coalesce(topic, -1)::INTEGER AS topic FROM pt LEFT JOIN mine USING (id) LEFT JOIN number USING (root)"""
+
 
 def stops() -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
@@ -221,7 +231,7 @@ def prim(distance: str) -> str:
 @lru_cache(maxsize=1)
 def oracles() -> dict[str, str]:
     s, v = f"WITH {SRC}", f"WITH {VEC}"
-    return {
+    made = {
         "document_tokens": f"""SELECT doc_id, len(t)::INTEGER AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5
             FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM documents)""",
         "stopword_antijoin": f"{s}, {terms('src').replace('WHERE topic >= 0', '')} SELECT doc_id, count(*) AS n_kept, count(DISTINCT term) AS n_distinct FROM kept GROUP BY doc_id",
@@ -345,6 +355,20 @@ def oracles() -> dict[str, str]:
         "saved_model": f"""{v}, {DV} SELECT 'topic_info' AS part, count(DISTINCT topic) AS n_rows FROM dv UNION ALL SELECT 'document_info', count(*) FROM dv
             UNION ALL SELECT 'embeddings', count(*) FROM dv UNION ALL SELECT 'reduced', count(*) FROM dv UNION ALL SELECT 'parameters', 1""",
         "reduction_variance": f"{v}, {CELL} SELECT round(sum(s), 6) AS total_variance FROM (SELECT var_samp(x) AS s FROM cell GROUP BY pos)",
+        "reduction_spectrum": f"""{v}, {CELL}, cov AS (SELECT a.pos AS i, b.pos AS j, covar_samp(a.x, b.x) AS c FROM cell a JOIN cell b USING (doc_id) GROUP BY ALL)
+            SELECT 1 AS power, round(sum(c), 6) AS value FROM cov WHERE i = j UNION ALL SELECT 2, round(sum(c * c), 6) FROM cov
+            UNION ALL SELECT 3, round(sum(a.c * b.c * d.c), 6) FROM cov a JOIN cov b ON b.i = a.j JOIN cov d ON d.i = b.j AND d.j = a.i""",
+        "chart_table_content": f"""{v}, {DV}, {ranked('dv')}, pts AS (SELECT * FROM dv ORDER BY md5('23:' || doc_id), doc_id LIMIT 12000)
+            SELECT 'points_2d' AS chart, doc_id::VARCHAR AS item, printf('%.6f %.6f %d', v[1], v[2], topic) AS shown FROM pts
+            UNION ALL SELECT 'topic_distribution', topic::VARCHAR, count(*)::VARCHAR FROM dv WHERE topic >= 0 GROUP BY topic
+            UNION ALL SELECT 'topic_words_grid', topic || '-' || rank, printf('%d %d %s %.6f', i // 3 + 1, i % 3 + 1, word, score)
+            FROM (SELECT *, dense_rank() OVER (ORDER BY topic) - 1 AS i FROM rk) WHERE rank <= 7 AND i < 9""",
+        "saved_model_content": f"""{v}, {DV}, {ranked('dv')}, ti AS ({info('dv').replace("sz AS (", "WITH sz AS (", 1)})
+            SELECT 'topic_info' AS part, "Topic"::VARCHAR AS item, concat_ws(' ', "Count", "Name", "Representation") AS shown FROM ti
+            UNION ALL SELECT 'document_info', doc_id::VARCHAR, concat_ws(' ', topic, len(regexp_extract_all(text, '{CHUNK}')), md5(text)) FROM dv
+            UNION ALL SELECT unnest(['embedding', 'reduced']), doc_id::VARCHAR, printf('%d %.6f %.6f', len(v), v[1], v[len(v)]) FROM dv
+            UNION ALL SELECT 'parameters', 'seed', '42'""",
+        "document_names": f"""{v}, {DV}, {ranked('dv')} SELECT topic, string_agg(word, ' & ' ORDER BY rank) FILTER (rank <= 3) AS name FROM rk GROUP BY topic""",
         "knn_graph": f"{v}, {KNN.format(d=COSINE, k=15)} SELECT src, dst, rank, round(dist, 6) AS dist FROM nn",
         "fuzzy_edges": f"WITH RECURSIVE {VEC}, {KNN.format(d=COSINE, k=15)}, {FUZZY}",
         "core_distance": f"{v}, {KNN.format(d=EUCLID, k=5)} SELECT src AS id, round(dist, 6) AS core FROM nn WHERE rank = 5",
@@ -361,13 +385,9 @@ def oracles() -> dict[str, str]:
             nm AS (SELECT g, row_number() OVER (ORDER BY min(id)) - 1 AS topic FROM run GROUP BY g)
             SELECT id AS doc_id, topic::INTEGER AS topic FROM run JOIN nm USING (g)""",
         "dbscan_labels": f"""WITH RECURSIVE {PT}, near AS (SELECT a.id AS a, b.id AS b FROM pt a JOIN pt b
-              ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {DBSCAN_EPS}),
-            core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {DBSCAN_MIN}),
-            link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
-            reach(root, id) AS (SELECT id, id FROM core UNION SELECT r.root, l.b FROM reach r JOIN link l ON l.a = r.id),
-            comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
-            number AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS topic FROM (SELECT DISTINCT root FROM comp)),
-            lab AS (SELECT near.a AS id, min(root) AS root FROM near JOIN comp ON comp.id = near.b GROUP BY near.a),
-            mine AS (SELECT id, root FROM comp UNION ALL SELECT id, root FROM lab WHERE id NOT IN (SELECT id FROM core))
-            SELECT pt.id AS doc_id, coalesce(topic, -1)::INTEGER AS topic FROM pt LEFT JOIN mine USING (id) LEFT JOIN number USING (root)""",
+              ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {DBSCAN_EPS}), {DENSE}""",
+        "dbscan_cosine": f"""WITH RECURSIVE pt AS (SELECT vec_id AS id, embedding::DOUBLE[] AS p FROM embeddings), near AS (SELECT a.id AS a, b.id AS b
+              FROM pt a JOIN pt b ON 1 - list_cosine_similarity(a.p, b.p) <= {COSINE_EPS}), {DENSE}""",
     }
+    # the same results on another way
+    return made | {"model_refined": made["refined_keywords"], "knn_graph_tiles": made["knn_graph"]}

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app: str = "themeloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -40,9 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not _is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="themeloom-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="themeloom-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -108,9 +108,19 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attach_vectors(
-    docs: DataFrame, vectors: DataFrame, doc_key: str = "doc_id", vector_key: str = "doc_id"
+    docs: DataFrame, vectors: DataFrame, doc_key: str = "doc_id", vector_key: str = "doc_id", missing: str = "drop"
 ) -> DataFrame:
-    """Pair documents with vectors computed earlier, by key."""
+    """Pair documents with vectors computed earlier, by key.
+
+    ``missing`` says what becomes of documents without a vector: ``drop`` leaves them out, ``keep`` gives
+    them nulls, ``error`` stops and tells how many there are.
+    """
+    if missing not in ("drop", "keep", "error"):
+        raise ValueError(f"missing must be drop, keep or error, got {missing!r}")
     if vector_key != doc_key:
         vectors = vectors.withColumnRenamed(vector_key, doc_key)
-    return docs.join(vectors, doc_key)
+    if missing == "error":
+        lost = docs.join(vectors, doc_key, "left_anti").count()
+        if lost:
+            raise ValueError(f"{lost} documents have no vector")
+    return docs.join(vectors, doc_key, "left" if missing == "keep" else "inner")
