@@ -253,3 +253,43 @@ def test_kmeans_and_dispatch(spark):
         centroid.cluster_vectors(table(spark, v), "kmeans")
     with pytest.raises(ValueError):
         centroid.cluster_vectors(table(spark, v), "other")
+
+
+def test_neighbours_and_dbscan_far_from_the_origin(spark):
+    """Rounding of large squares must not decide: wide vectors shifted by a million."""
+    v = np.random.default_rng(8).normal(size=(300, 16)) + 1e6
+    d = pairwise(v)
+    want = {(i, int(j)) for i in range(len(v)) for j in np.argsort(np.where(np.arange(len(v)) == i, np.inf, d[i]), kind="stable")[:4]}
+    got = neighbors.knn_graph(table(spark, v), 4, vector="reduced", tile_rows=64)
+    assert {(r.src, r.dst) for r in got.collect()} == want
+    eps = float(np.sort(d, axis=1)[:, 4].mean())
+    assert labels(density.dbscan(table(spark, v), eps, 4, tile_rows=64)) == list(plain_dbscan(d, eps, 4))
+
+
+def test_cosine_metric_and_setting_names(spark):
+    v = np.random.default_rng(9).normal(size=(150, 6))
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    got = labels(density.dbscan(table(spark, v), 0.2, 4, metric="cosine"))
+    assert got == list(plain_dbscan(pairwise(u), np.sqrt(0.4), 4))
+    with pytest.raises(ValueError):
+        density.dbscan(table(spark, v), 0.2, 4, metric="other")
+    with pytest.raises(ValueError):
+        density.hdbscan(table(spark, v), cluster_selection_method="other")
+
+
+def test_core_distance_of_few_points(spark):
+    graph_ = neighbors.knn_graph(table(spark, np.array([[0.0], [1.0], [3.0]])), 5, vector="reduced")
+    got = {r.id: r.core for r in neighbors.core_distances(graph_, 5).collect()}
+    assert got == {0: 3.0, 1: 2.0, 2: 3.0}
+
+
+def test_ward_is_one_way_at_every_size(spark):
+    """More vectors than centres: the groups of well separated points are found all the same."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(60, 2)) * 0.1 + c for c in ([0, 0], [9, 0], [0, 9])])
+    got = labels(centroid.ward(table(spark, v), 3, micro=12))
+    assert len(got) == len(v)
+    assert [len({got[i] for i in range(s, s + 60)}) for s in (0, 60, 120)] == [1, 1, 1]
+    assert len(set(got)) == 3
+    with pytest.raises(ValueError):
+        centroid.ward(table(spark, v), 3, micro=2)

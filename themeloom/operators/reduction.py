@@ -119,14 +119,14 @@ def _combine(column: str, turn: np.ndarray):
 
 
 def spectral_layout(
-    edges: DataFrame, components: int = 5, restarts: int = 12, depth: int = 6, seed: int = 42, tolerance: float = 1e-3
+    edges: DataFrame, components: int = 5, restarts: int = 12, depth: int = 6, seed: int = 42, tolerance: float = 0.02
 ) -> DataFrame:
     """``<id, reduced>``: leading non-trivial eigenvectors of the normalized weighted graph.
 
     A restarted block Krylov iteration on (I + S) / 2: every step is one edge join and one
     grouped sum; Rayleigh-Ritz over all steps needs only their inner products, a matrix of
     (components + 1) * (depth + 1) squared, on the driver. It goes on until every eigenvector's
-    residual is at most ``tolerance``; if ``restarts`` restarts do not reach it, a warning says how
+    residual is at most ``tolerance`` (eigenvalues lie between 0 and 1); if ``restarts`` restarts do not reach it, a warning says how
     far it got. A graph without edges gives no rows.
     """
     width = components + 1
