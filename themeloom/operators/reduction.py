@@ -119,7 +119,7 @@ def _combine(column: str, turn: np.ndarray):
 
 
 def spectral_layout(
-    edges: DataFrame, components: int = 5, restarts: int = 12, depth: int = 6, seed: int = 42, tolerance: float = 0.02
+    edges: DataFrame, components: int = 5, restarts: int = 6, depth: int = 6, seed: int = 42, tolerance: float = 1e-3
 ) -> DataFrame:
     """``<id, reduced>``: leading non-trivial eigenvectors of the normalized weighted graph.
 
