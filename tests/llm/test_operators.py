@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from themeloom.llm import byte_bpe, embedding_dedup, licenses, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, token_files
-from themeloom.llm.attention import Vocabulary, forward, gradients, logits, score_texts, start
+from themeloom.llm.attention import Vocabulary, forward, gradients, logits, score_texts, start, windows
 from themeloom.llm.common import stored
 from themeloom.llm.graph import components
 from themeloom.llm.lattice import decode, shortest
@@ -164,6 +164,25 @@ def test_attention_gradients_and_distribution():
     assert both[0] == pytest.approx(score_texts(w, v, long, np.array([100]), 2)[0])
 
 
+def test_attention_context():
+    sizes = np.array([100, 1, 33, 32])
+    target, before, text = windows(np.zeros(166, np.int64), sizes, 2)
+    assert sorted(target[target >= 0]) == list(range(166))
+    first = (np.cumsum(sizes) - sizes)[text]
+    # ids read at or before each scored place, of its own text: all there are, or at least eight
+    at = np.argwhere(target >= 0)
+    seen = {int(target[i, j]): (int((before[i, : j + 1] >= first[i]).sum()), int(target[i, j] - first[i])) for i, j in at}
+    assert all(n == earlier if earlier < 32 else 8 < n <= 32 for n, earlier in seen.values())
+    assert max(n for n, _ in seen.values()) == 32
+    # the 17th id and on still hear of the first
+    v = Vocabulary(np.arange(300))
+    w = start(v.prior)
+    a, b = np.full(30, 7), np.full(30, 7)
+    b[0] = 290
+    tail = lambda ids: score_texts(w, v, ids, np.array([30]), 2)[0] - score_texts(w, v, ids[:29], np.array([29]), 2)[0]
+    assert abs(tail(a) - tail(b)) > 1e-6
+
+
 def test_lm_base_score(docs, rows, empty):
     got = lm_scoring.score_documents(docs, WORD).collect()
     split = lambda t: (t or "").encode().lower().split() + [None]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH, WINDOW, STRIDE = 16, 16, 12
+WIDTH, WINDOW, STRIDE = 16, 32, 24
 CLASSES, FREQUENT = 64, 2048
 SMOOTH = 0.1
 
@@ -44,14 +44,15 @@ _EARLIER = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 def forward(w: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
-    """All values for windows of embedding rows, shape (windows, WINDOW); padding at the end changes nothing before it."""
-    x = w["e"][rows] + w["p"]
+    """All values for windows of embedding rows, at most WINDOW wide; padding at the end changes nothing before it."""
+    wide = rows.shape[1]
+    x = w["e"][rows] + w["p"][:wide]
     q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
     s = (q * np.float32(1 / np.sqrt(WIDTH))) @ k.transpose(0, 2, 1)
     # bounded instead of shifted by the largest, which saves two passes
     np.clip(s, -40, 40, out=s)
     np.exp(s, out=s)
-    s *= _EARLIER
+    s *= _EARLIER[:wide, :wide]
     s /= s.sum(2, keepdims=True)
     c = s @ v
     return {"x": x, "q": q, "k": k, "v": v, "a": s, "c": c, "h": x + c @ w["o"]}
@@ -84,7 +85,8 @@ def gradients(w: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, rea
     for name, d in (("q", dq), ("k", dk), ("v", dv)):
         g[name] = flat(f["x"]).T @ flat(d)
     dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    g["p"] = dx.sum(0)
+    g["p"] = np.zeros_like(w["p"])
+    g["p"][: rows.shape[1]] = dx.sum(0)
     g["e"] = np.zeros_like(w["e"])
     np.add.at(g["e"], rows.ravel(), flat(dx))
     return g
