@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from themeloom.llm import byte_bpe, embedding_dedup, licenses, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, token_files
-from themeloom.llm.attention import Vocabulary, forward, gradients, logits, score_texts, start, windows
+from themeloom.llm.attention import Vocabulary, forward, gradients, logits, score_texts, start, to_bytes, windows
 from themeloom.llm.common import stored
 from themeloom.llm.graph import components
 from themeloom.llm.lattice import decode, shortest
@@ -195,6 +195,28 @@ def test_lm_base_score(docs, rows, empty):
     assert lm_scoring.score_documents(empty, WORD).count() == 0
 
 
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PORTION", 50)
+    seen = []
+    plain = lm_scoring.trained
+    monkeypatch.setattr(lm_scoring, "trained", lambda portions, counts: seen.append(portions) or plain(portions, counts))
+    rows = [(i, f"text {i} of some words") for i in range(40)] + [(5, "text 5 of some words")] * 30
+    out = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORD)
+    assert out.count() == 70
+    parts, got = seen[0].collect(), Counter()
+    for p in parts:
+        ids, at = np.frombuffer(p.ids, "<u4"), 0
+        for n in np.frombuffer(p.sizes, "<u4"):
+            got[tuple(ids[at : at + n])] += 1
+            at += n
+        assert at == len(ids) <= 130
+    assert got == Counter(tuple(ids_of(t)) for d, t in rows if zlib.crc32(str(d).encode()) % 10)
+    assert len({p.portion for p in parts}) > 3
+    # a small corpus trains too: the weights leave their start
+    counts = np.ones(len(Tokenizer.from_file(WORD).get_vocab()), np.int64)
+    assert plain(seen[0], counts) != to_bytes(start(Vocabulary(counts).prior))
+
+
 def test_lattice():
     rng = np.random.default_rng(2)
     assert len(shortest()) == 240 and {int((s**2).sum()) for s in shortest()} == {8}

@@ -1,8 +1,9 @@
 """Scoring documents by a causal self-attention model over subword ids, beside a smoothed word baseline.
 
-Word counts, and from them the counts of all subword ids, cover every training document. The attention weights
-are trained on a fixed share of the training documents, which grows with the corpus, by REPLICAS models that
-start alike and are averaged after each round. All texts are then scored whole.
+Word counts, and from them the counts of all subword ids, cover every training document, and so does the training
+of the attention weights: the training documents are dealt into portions of about PORTION ids, so their number grows
+with the corpus; in each round a model for each portion starts from the common weights and the models are averaged.
+All texts are then scored whole.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 from themeloom.llm.common import hold_out, python_ready, read, stored
 from themeloom.llm.token_files import token_rows
 
-#: One of so many training documents (by hash of the id) trains the attention weights; its cost bounds the share.
-TRAIN_ONE_IN = 64
-#: Models trained side by side, and rounds of training and averaging.
-REPLICAS, ROUNDS = 16, 2
+#: Ids that one model trains on between averagings, about; rounds of training and averaging.
+PORTION, ROUNDS = 1 << 19, 2
+#: Sums of weights that reach the driver in a round, at most.
+SUMS = 16
 #: At most so many of the most frequent words have their counts in every task; rarer ones meet their counts in a join.
 FREQUENT_WORDS = 200_000
 ALPHA = 0.1
@@ -81,8 +82,36 @@ def frequent_from(counts: DataFrame, most: int = FREQUENT_WORDS) -> int:
     return reached if reached is not None else 1 << 62
 
 
-def trained(rows: DataFrame, id_counts: np.ndarray, rounds: int = ROUNDS) -> bytes:
-    """Weights after rounds of side-by-side training on ``rows`` (ids) and averaging by the ids seen."""
+def portions_of(rows: DataFrame, n_ids: int) -> DataFrame:
+    """``portion``, ``sizes``, ``ids``: all texts of ``rows`` (doc_id, ids), dealt by their hash into portions of about
+    PORTION ids; what one task has to read at a time is one portion or one text."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n = None, [], 0
+
+        def packed() -> pa.RecordBatch:
+            sizes = np.array([len(x) // 4 for x in held], "<u4").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([sizes]), pa.array([b"".join(held)])], names=["portion", "sizes", "ids"])
+
+        for batch in batches:
+            for portion, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                # many equal rows fall into one portion, which is cut then
+                if held and (portion != now or n >= 2 * PORTION):
+                    yield packed()
+                    held, n = [], 0
+                now = portion
+                held.append(ids)
+                n += len(ids) // 4
+        if held:
+            yield packed()
+
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(max(1, -(-n_ids // PORTION)))).alias("portion"), "doc_id", "ids")
+    dealt = dealt.repartition("portion").sortWithinPartitions("portion", "doc_id", "ids")
+    return dealt.select("portion", "ids").mapInArrow(pack, "portion long, sizes binary, ids binary")
+
+
+def trained(portions: DataFrame, id_counts: np.ndarray, rounds: int = ROUNDS) -> bytes:
+    """Weights after rounds of training a model on each portion and averaging them by the ids seen."""
     from themeloom.llm.attention import Vocabulary, from_bytes, start, to_bytes
 
     weights = start(Vocabulary(id_counts).prior)
@@ -90,23 +119,32 @@ def trained(rows: DataFrame, id_counts: np.ndarray, rounds: int = ROUNDS) -> byt
         raw = to_bytes(weights)
 
         def train(batches: Iterator[pa.RecordBatch], raw=raw, rate=0.01 / (1 + number)) -> Iterator[pa.RecordBatch]:
-            from themeloom.llm.attention import Adam, Vocabulary, from_bytes, start, to_bytes, train_texts
+            from themeloom.llm.attention import Adam, Vocabulary, from_bytes, start, train_texts
+
+            vocabulary, total, seen, last = Vocabulary(id_counts), 0.0, 0, 0
+            for batch in batches:
+                for portion, sizes, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = from_bytes(raw, start(vocabulary.prior))
+                    ids = np.frombuffer(ids, "<u4").astype(np.int64)
+                    train_texts(own, vocabulary, ids, np.frombuffer(sizes, "<u4").astype(np.int64), END, Adam(rate))
+                    total = total + len(ids) * np.concatenate([own[k].ravel() for k in sorted(own)]).astype(np.float64)
+                    seen, last = seen + len(ids), portion
+            if seen:
+                yield pa.RecordBatch.from_pydict({"part": [last % SUMS], "total": [total.tobytes()], "n": [seen]})
 
-            vocabulary, adam, seen = Vocabulary(id_counts), Adam(rate), 0
-            own = from_bytes(raw, start(vocabulary.prior))
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, seen = 0.0, 0
             for batch in batches:
-                texts = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(0).to_pylist()]
-                if texts:
-                    train_texts(own, vocabulary, np.concatenate(texts), np.array(list(map(len, texts))), END, adam)
-                    seen += sum(map(len, texts))
+                for one, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    total, seen = total + np.frombuffer(one), seen + n
             if seen:
-                yield pa.RecordBatch.from_pydict({"weights": [to_bytes(own)], "n": [seen]})
+                yield pa.RecordBatch.from_pydict({"total": [total.tobytes()], "n": [seen]})
 
-        found = rows.select("ids").mapInArrow(train, "weights binary, n long").collect()
+        sums = portions.select("portion", "sizes", "ids").mapInArrow(train, "part long, total binary, n long")
+        found = sums.repartition(SUMS, "part").select("total", "n").mapInArrow(add, "total binary, n long").collect()
         if found:
-            total = sum(r.n for r in found)
-            parts = [(from_bytes(bytes(r.weights), weights), r.n / total) for r in found]
-            weights = {k: sum(p[k] * share for p, share in parts).astype(np.float32) for k in weights}
+            mean = sum(np.frombuffer(r.total) for r in found) / sum(r.n for r in found)
+            weights = from_bytes(mean.astype("<f4").tobytes(), weights)
     return to_bytes(weights)
 
 
@@ -115,8 +153,8 @@ def score_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
 
     Null texts count as empty: their one token is the end. Documents with a null id are neither held out nor
     learned from. Repeated ids are rows of their own, each counted. An empty table gives no rows; without
-    training documents all words are unknown. The driver holds FREQUENT_WORDS words, one count an id, and
-    REPLICAS sets of weights.
+    training documents all words are unknown and the weights stay as they start. The driver holds FREQUENT_WORDS
+    words, one count an id, and SUMS sets of weights.
     """
     from tokenizers import Tokenizer
 
@@ -134,8 +172,7 @@ def score_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     for r in subword_counts(counts, tokenizer).collect():
         id_counts[r.id] = r.n
     id_counts[END] += ends
-    share = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(TRAIN_ONE_IN)) == 0)
-    raw = trained(stored(token_rows(share, tokenizer, END).repartition(REPLICAS), "train-ids"), id_counts)
+    raw = trained(stored(portions_of(token_rows(learn, tokenizer, END), int(id_counts.sum())), "train-ids"), id_counts)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from themeloom.llm.attention import Vocabulary, from_bytes, score_texts, start
