@@ -1,6 +1,7 @@
 """The operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 
 import base64
+import bisect
 import hashlib
 import random
 import zlib
@@ -302,6 +303,19 @@ def test_sharding(spark, docs, rows, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_splitters_of_many_targets(spark):
+    rng = random.Random(11)
+    rows = [(rng.getrandbits(64) - (1 << 63), i, rng.randint(1, 9)) for i in range(9000)] + [(77, i - 500, 5) for i in range(1000)]
+    keys = spark.createDataFrame(rows, "h long, d long, size long")
+    total = sum(r[2] for r in rows)
+    targets = [total * k // 1801 for k in range(1, 1801)]
+    got = sharding.splitters(keys, targets, [0.0] * 1800)
+    rows.sort()
+    below = np.cumsum([0, *(r[2] for r in rows)])
+    at = [bisect.bisect_left(rows, (h, d)) for h, d in got]
+    assert all(abs(below[i] - t) == np.abs(below - t).min() for i, t in zip(at, targets, strict=True))
+
+
 def test_packing_plan():
     rng = random.Random(8)
     for histogram in ({}, {4096: 3}, {1: 5000}, {2049: 7}, Counter(min(4096, 1 + int(rng.expovariate(1 / 900))) for _ in range(5000))):

@@ -19,38 +19,40 @@ BITS = 12
 TOLERANCE = 0.005
 #: Bytes that one task sorts, and the most ranges a table is cut to (a range then grows with the table).
 RANGE_BYTES, MOST_RANGES = 16 << 20, 4096
+#: Cells that one round of probes counts at most, as long as that leaves one bit a round.
+COUNTS = 1 << 17
 LOW = -(1 << 63)
 
 
 def splitters(keys: DataFrame, targets: list[int], slack: list[float]) -> list[tuple[int, int]]:
     """For each target the (hash, id) below which nearest to so many bytes lie, by counting rounds.
 
-    ``keys``: h, d, size. The driver holds counts of the cells that contain a target, so at most
-    2**BITS of each. A target inside rows of one (hash, id) takes the nearer end of them.
+    ``keys``: h, d, size. The driver holds counts of the cells that contain a target, at most COUNTS of them
+    or two for each cell. A target inside rows of one (hash, id) takes the nearer end of them.
     """
     done: list[tuple[int, int] | None] = [None] * len(targets)
     # cells still to refine: (field, first key, bits left, hash or None) -> bytes below it
     cells: dict[tuple, tuple[int, list[int]]] = {("h", LOW, 64, None): (0, list(range(len(targets))))}
     while cells:
-        field = next(iter(cells))[0]
-        groups = [c for c in cells if c[0] == field]
-        step = {c: max(0, c[2] - BITS) for c in groups}
-        place = F.lit(None).cast("long")
-        number = F.lit(None).cast("int")
-        for i, c in enumerate(groups):
-            high = c[1] + (1 << c[2]) - 1
-            inside = F.col(field).between(c[1], high)
-            if field == "d":
-                inside = inside & (F.col("h") == c[3])
-            # the difference may pass the sign bit; shifting first keeps it small
-            cell = F.shiftright(field, step[c]) - F.lit(c[1] >> step[c])
-            place = F.when(inside, cell).otherwise(place)
-            number = F.when(inside, F.lit(i)).otherwise(number)
-        counted = keys.select(number.alias("g"), place.alias("c"), "size").filter("g IS NOT NULL").groupBy("g", "c").agg(F.sum("size").alias("n")).collect()
-        nexts: dict[tuple, tuple[int, list[int]]] = {c: v for c, v in cells.items() if c[0] != field}
+        field, _, bits, _ = next(iter(cells))
+        groups = [c for c in cells if (c[0], c[2]) == (field, bits)]
+        left = max(0, bits - max(1, min(BITS, (COUNTS // len(groups)).bit_length() - 1)))
+        step = dict.fromkeys(groups, left)
+        # cells are found by a join on the bits that are settled, however many there are; a shift by 64 would be one by 0
+        settled = (lambda key: F.shiftright(key, bits)) if bits < 64 else (lambda key: F.lit(0).cast("long"))  # noqa: B023
+        rows = [(i, c[1] >> bits if bits < 64 else 0, c[3]) for i, c in enumerate(groups)]
+        table = F.broadcast(keys.sparkSession.createDataFrame(rows, "g int, s long, of long"))
+        on = settled(F.col(field)) == F.col("s")
+        inside = keys.join(table, on & (F.col("h") == F.col("of")) if field == "d" else on)
+        cell = F.shiftright(field, left) - F.shiftleft("s", bits - left) if bits < 64 else F.shiftright(field, left) - F.lit(LOW >> left)
+        counted = inside.select("g", cell.alias("c"), "size").groupBy("g", "c").agg(F.sum("size").alias("n")).collect()
+        by_group: dict[int, list[tuple[int, int]]] = {}
+        for r in counted:
+            by_group.setdefault(r.g, []).append((r.c, r.n))
+        nexts: dict[tuple, tuple[int, list[int]]] = {c: v for c, v in cells.items() if c not in step}
         for i, c in enumerate(groups):
             below, wanted = cells[c]
-            found = sorted((r.c, r.n) for r in counted if r.g == i)
+            found = sorted(by_group.get(i, []))
             for k in wanted:
                 edge = below
                 for cell, n in found:
