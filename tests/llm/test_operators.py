@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from themeloom.llm import byte_bpe, embedding_dedup, licenses, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, token_files
+from themeloom.llm import byte_bpe, embedding_dedup, licenses, lm_scoring, packing, quality_classifier, quality_rules, sharding, shingle_dedup, simhash, token_files
 from themeloom.llm.attention import Vocabulary, forward, gradients, logits, score_texts, start, to_bytes, windows
 from themeloom.llm.common import stored
 from themeloom.llm.graph import components
@@ -386,3 +386,30 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in docs.collect()) == list(enumerate(clean))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, bytes(r.ids)) for r in out) == sorted((i, raw(ids_of(t))) for i, t in enumerate(clean))
+
+
+@pytest.mark.parametrize("chunk", [1000, 5])
+def test_near_dedup_of_edited_copies(spark, monkeypatch, chunk):
+    monkeypatch.setattr(shingle_dedup, "CHUNK", chunk)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for g in range(30):
+        base = [word() for _ in range(120)]
+        for c in range(12 if g == 0 else 4):
+            own = list(base)
+            for at in rng.sample(range(120), c % 4):
+                own[at] = word()
+            rows.append((len(rows), " ".join(own)))
+    rows += [(900, None), (901, " "), (902, "two words"), (903, "Two words"), (None, rows[0][1])]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w) for w in ((t or "").lower().split() for _, t in rows)]
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    link = [[j for j in range(len(rows)) if near(sets[i], sets[j])] for i in range(len(rows))]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[j] for j in link[i]) for i in range(len(rows))]
+    want = {(d, rows[r][0]) for (d, _), r in zip(rows, root, strict=True)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in shingle_dedup.near_duplicates(docs).collect()} == want
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == {d for d, c in want if d == c} | {None}
