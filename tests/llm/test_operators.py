@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from themeloom.llm import byte_bpe, embedding_dedup, licenses, lm_scoring, packing, quality_classifier, quality_rules, sharding, shingle_dedup, simhash, token_files
+from themeloom.llm import byte_bpe, embedding_dedup, licenses, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, token_files
 from themeloom.llm.attention import Vocabulary, forward, gradients, logits, score_texts, start, to_bytes, windows
 from themeloom.llm.common import stored
 from themeloom.llm.graph import components
@@ -88,7 +88,7 @@ def test_links_of_a_dense_group_and_of_chunks(spark, monkeypatch):
     rng = random.Random(1)
     fps = {0x0123456789ABCDEF ^ sum(1 << b for b in rng.sample(range(64), 2)) for _ in range(40)} | {rng.getrandbits(64) for _ in range(40)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    got = {r.node: r.root for r in components(simhash.links(simhash.distance_table(spark.createDataFrame([(f,) for f in signed], "fp long")))).collect()}
     un = lambda x: x & ((1 << 64) - 1)
     root = {f: f for f in signed}
     for _ in signed:
@@ -388,28 +388,53 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, bytes(r.ids)) for r in out) == sorted((i, raw(ids_of(t))) for i, t in enumerate(clean))
 
 
-@pytest.mark.parametrize("chunk", [1000, 5])
-def test_near_dedup_of_edited_copies(spark, monkeypatch, chunk):
-    monkeypatch.setattr(shingle_dedup, "CHUNK", chunk)
+def test_every_pair_within_the_radius_meets_and_passes():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000, dtype=np.uint64)
+    a[:2] = 0, np.uint64(1) << np.uint64(63)
+    for bits in (0, 1, 2, 3):
+        flip = np.zeros(len(a), np.uint64)
+        for row in range(len(a)):
+            for b in rng.choice(64, bits, replace=False):
+                flip[row] |= np.uint64(1) << np.uint64(b)
+        b = a ^ flip
+        da, db = simhash.distances(a), simhash.distances(b)
+        assert (da[:, 0] == np.bitwise_count(a)).all() and np.abs(da.astype(int) - db).max() <= bits
+        assert (simhash.meeting_keys(da, 3) == simhash.meeting_keys(db, 3)).any(1).all()
+        assert simhash.near(a, b, da.astype(np.int8), db.astype(np.int8), 3).all()
+    chance = simhash.near(a, np.roll(a, 1), da.astype(np.int8), np.roll(da, 1, 0).astype(np.int8), 3)
+    # only the first two, which differ in one bit
+    assert np.flatnonzero(chance).tolist() == [1]
+
+
+def test_near_dedup_of_edited_copies(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
     rows = []
     for g in range(30):
-        base = [word() for _ in range(120)]
+        base = [word() for _ in range(400)]
         for c in range(12 if g == 0 else 4):
             own = list(base)
-            for at in rng.sample(range(120), c % 4):
+            for at in rng.sample(range(400), c % 4):
                 own[at] = word()
             rows.append((len(rows), " ".join(own)))
-    rows += [(900, None), (901, " "), (902, "two words"), (903, "Two words"), (None, rows[0][1])]
-    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w) for w in ((t or "").lower().split() for _, t in rows)]
-    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
-    link = [[j for j in range(len(rows)) if near(sets[i], sets[j])] for i in range(len(rows))]
+    # copies without an id, other texts under one id, repeated rows
+    rows += [(900, None), (901, " "), (902, "two words"), (903, "Two words"), (None, rows[0][1]), (None, "alone and unnamed"), (5, "another text"), (950, "same row"), (950, "same row")]
+    fps = [simhash.fingerprint((t or "").encode()) for _, t in rows]
     root = list(range(len(rows)))
     for _ in rows:
-        root = [min(root[j] for j in link[i]) for i in range(len(rows))]
-    want = {(d, rows[r][0]) for (d, _), r in zip(rows, root, strict=True)}
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(r) for r in shingle_dedup.near_duplicates(docs).collect()} == want
-    kept = corpus_pipeline.near_dedup(spark, docs, "")
-    assert {r.doc_id for r in kept.collect()} == {d for d, c in want if d == c} | {None}
+        root = [min(root[j] for j in range(len(rows)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(rows))]
+    groups = {}
+    for (d, t), r in zip(rows, root, strict=True):
+        groups.setdefault(r, []).append((d is None, d, t))
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(6), "").collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept) == sorted(min(g, key=lambda x: (x[0], x[1] or 0))[:2] for g in groups.values())
+    assert len(kept) < len(rows) // 2 + 5
+
+
+def test_scaled_vectors_and_null_ids(spark):
+    """Squares that run over or under lose no link; a row without an id is not kept; clashing columns play no part."""
+    rows = [(1, [1e200, 1e200], 0, 5), (2, [1e-200, 1e-200], 0, 5), (None, [1.0, 1.0], 0, 5), (3, [1.0, -1.0], 0, 5), (None, [5.0, 0.1], 1, 5)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links int")
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (None, 2, 1, False), (3, 0, 3, True), (None, 0, None, False)], key=str)

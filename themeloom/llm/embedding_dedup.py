@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from themeloom.llm.common import python_ready, read, stored
 from themeloom.llm.graph import components
+from themeloom.operators.joins import join_heavy
 
 THRESHOLD = 0.93
 #: At a cosine of 0.93 a pair meets in one table with a chance of 0.77, so in eight tables all but 1 in 100,000 do.
@@ -36,7 +37,8 @@ def projections(width: int) -> np.ndarray:
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    """Rows of length one, padded to eight dimensions at least."""
+    """Rows of length one, padded to eight dimensions at least; scaled first, so that no square runs over or under."""
+    vectors = vectors / np.abs(vectors).max(axis=1)[:, None]
     vectors = vectors / np.linalg.norm(vectors, axis=1)[:, None]
     return np.pad(vectors, ((0, 0), (0, max(0, 8 - vectors.shape[1]))))
 
@@ -128,7 +130,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     Vectors link if their labels are equal and not null and their cosine is at least THRESHOLD. Null, empty and
     zero vectors and those with null or non-finite components link with nothing. Equal vectors are one point
     in the search and link with each other. Repeated keys are rows of their own; a null key never names a
-    component. An empty table gives no rows.
+    component and its row is not ``kept``. An empty table gives no rows.
     """
     spark = python_ready(vectors)
     kind = "<f4" if isinstance(vectors.schema[vector].dataType.elementType, T.FloatType) else "<f8"
@@ -207,10 +209,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     points = stored(points.select("label", "v", "copies", "first", "n", F.coalesce("root", "rid").alias("root")), "rooted")
     names = points.groupBy("root").agg(F.min("first").alias("component_id"))
     points = points.join(names, "root").select("label", "v", "copies", "n", "component_id", F.lit(True).alias("valid"))
-    named = rows.join(points, ["label", "v", "valid"], "left")
+    named = join_heavy(rows, stored(points.withColumn("n", F.coalesce("n", F.lit(0))).withColumnsRenamed({"n": "links", "copies": "n"}), "named"), ["label", "v", "valid"], "left")
     component = F.when(F.col("valid"), F.col("component_id")).otherwise(F.col("vec_id"))
-    links_of = F.when(F.col("valid"), F.coalesce("n", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("long")
-    return named.select("vec_id", links_of.alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    links_of = F.when(F.col("valid"), F.col("links") + F.col("n") - 1).otherwise(F.lit(0)).cast("long")
+    return named.select("vec_id", links_of.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def cell_links(table: pa.Table, kind: str) -> Iterator[pa.RecordBatch]:

@@ -179,7 +179,7 @@ def op7_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = score(docs.select("doc_id", "text"), train(docs, labels)).select(F.col("row.doc_id").alias("doc_id"), "score")
     return rows.select(
         "doc_id",
-        (hold_out("doc_id", 3) == 1).alias("held_out"),
+        F.coalesce(hold_out("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )

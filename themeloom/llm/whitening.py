@@ -266,7 +266,7 @@ def whiten(vectors: DataFrame, made: Whitening, vector: str = "embedding") -> Da
     """
     python_ready(vectors)
     rows = vectors.select(F.struct("*").alias("row"), F.col(vector).cast("array<double>").alias("v"))
-    schema = rows.select("row", F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("low"), F.array().cast("array<double>").alias("whitened")).schema
+    schema = rows.select("row", F.lit(None).cast("long").alias("high"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("array<double>").alias("whitened")).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from themeloom.llm.whitening import integers
