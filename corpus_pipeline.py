@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import packing, quality_classifier, quality_rules, shingle_dedup
+from themeloom.llm import packing, quality_classifier, quality_rules, simhash
 from themeloom.llm.common import read, stored
 
 TOKENIZER, END = "word_bpe_49k.json", 2
@@ -29,17 +29,18 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more.
+    """One document of every group whose fingerprints link: the one of the smallest id, by the first row among equal ids.
 
-    Rows that repeat an id count as one document; documents without an id cannot be named and stay.
+    Rows are told apart by a number of their own, so different texts under one id, and texts without an id, are judged like all others.
     """
-    found = stored(shingle_dedup.near_duplicates(docs), "groups")
-    chosen = found.filter("doc_id = component_id").select("doc_id")
+    row = "_" * (1 + max(map(len, docs.columns)))
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = stored(simhash.near_duplicates(rows, key=row), "groups")
+    names = rows.select(F.col(row).alias("doc_id"), F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(row).alias("row")).alias("name"))
+    first = found.join(names, "doc_id").groupBy("component_id").agg(F.min("name").alias("name"))
     # a merge join at every size: what is kept grows with the corpus and is not for broadcasting
-    kept = docs.join(chosen.distinct().hint("merge"), "doc_id", "left_semi")
-    if chosen.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    chosen = first.select(F.col("name.row").alias(row)).hint("merge")
+    return rows.join(chosen, row, "left_semi").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
