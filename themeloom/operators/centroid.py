@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import as_doubles
+from themeloom.operators.contraction import ward_labels, ward_merges
 from themeloom.operators.density import dbscan, hdbscan, single_linkage
 from themeloom.operators.selection import shuffle_key
 from themeloom.operators.tiles import block_squares, collapse_copies
@@ -68,34 +69,10 @@ def kmeans(
 
 
 def _ward(centers: np.ndarray, sizes: np.ndarray, n_clusters: int) -> np.ndarray:
-    """Merge weighted centres by least growth of squared error until n_clusters are left."""
-    m = len(centers)
-    centers, sizes = centers.copy(), sizes.astype(float).copy()
-    home = np.arange(m)
-    alive = np.ones(m, bool)
-    square = block_squares(centers, centers)[0]
-    growth = square * (sizes[:, None] * sizes[None, :]) / (sizes[:, None] + sizes[None, :])
-    np.fill_diagonal(growth, np.inf)
-    near = growth.argmin(axis=1)
-    for _ in range(m - n_clusters):
-        rows = np.flatnonzero(alive)
-        i = int(rows[growth[rows, near[rows]].argmin()])
-        j = int(near[i])
-        i, j = min(i, j), max(i, j)
-        joint = sizes[i] + sizes[j]
-        centers[i] = (centers[i] * sizes[i] + centers[j] * sizes[j]) / joint
-        sizes[i], alive[j] = joint, False
-        home[home == j] = i
-        growth[j, :] = growth[:, j] = np.inf
-        row = ((centers - centers[i]) ** 2).sum(1) * sizes * joint / (sizes + joint)
-        row[~alive] = np.inf
-        row[i] = np.inf
-        growth[i, :] = growth[:, i] = row
-        stale = alive & ((near == i) | (near == j))
-        stale[i] = True
-        near[stale] = growth[stale].argmin(axis=1)
-        closer = alive & (growth[:, i] < growth[np.arange(m), near])
-        near[closer] = i
+    """The place of the cluster that each weighted centre is in when n_clusters are left."""
+    home = np.arange(len(centers))
+    for kept, merged, _ in ward_merges(np.arange(len(centers)), centers, sizes)[: len(centers) - n_clusters]:
+        home[home == merged] = kept
     return home
 
 
@@ -157,19 +134,22 @@ def ward(
     vector: str = "reduced",
     out: str = "topic",
     seed: int = 42,
-    micro: int = MICRO_CLUSTERS,
+    micro: int | None = None,
     max_iter: int = 20,
 ) -> DataFrame:
-    """``<key, out>``: ward merges over ``micro`` weighted centres, numbered by their place.
+    """``<key, out>``: the clusters of Ward's tree over all distinct vectors, numbered by their smallest key.
 
-    The centres start as the ``micro`` distinct vectors of lowest hash and are moved to the means of
-    their points on the cluster. With no more distinct vectors than centres nothing moves, and the
-    result is that of plain ward; the way is the same at every size.
+    With ``micro`` the tree is built over at most so many weighted centres instead, which costs one pass a round rather than a search
+    for nearest pairs: they start as the distinct vectors of lowest hash and move to the means of their points on the cluster.
     """
     if n_clusters is None:
         raise ValueError("merging clusters needs the number to stop at (n_clusters)")
+    if micro is None:
+        return ward_labels(points, n_clusters, key, vector, out)
     if micro < n_clusters:
         raise ValueError(f"micro ({micro}) must be at least n_clusters ({n_clusters})")
+    if micro > MICRO_CLUSTERS:
+        raise ValueError(f"micro ({micro}) may be at most {MICRO_CLUSTERS}: the centres meet in one place")
     members, distinct = collapse_copies(points, key, vector)
     members, distinct = cut_lineage(members), cut_lineage(distinct)
     total = distinct.count()
