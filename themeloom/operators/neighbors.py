@@ -98,6 +98,11 @@ def knn_graph(
     members, distinct = cut_lineage(members), cut_lineage(distinct)
     grid = cell_tiles(distinct, "rep", vector, tile_rows=tile_rows, max_cells=max_cells)
     near = _nearest_distinct(grid, k)
+    return expand_copies(near, members, distinct, k, key, metric)
+
+
+def expand_copies(near: DataFrame, members: DataFrame, distinct: DataFrame, k: int, key: str, metric: str) -> DataFrame:
+    """``<src, dst, rank, dist>`` of all points from the neighbours ``<src, dst, dist>`` of distinct vectors."""
     # At most k + 1 ids per vector can matter; the window limit trims them before the shuffle.
     lowest = (
         members.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(key)))

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import as_doubles
+from themeloom.operators.forest import approximate_knn
 from themeloom.operators.neighbors import fuzzy_edges, knn_graph
 from themeloom.operators.selection import shuffle_key
+from themeloom.operators.stochastic import stochastic_layout
 from themeloom.session import cut_lineage
 
 
@@ -27,15 +29,17 @@ def _signs(basis: np.ndarray) -> np.ndarray:
 
 
 def _project(df: DataFrame, vector: str, basis: np.ndarray, shift: np.ndarray, out: str) -> DataFrame:
-    """``vector @ basis - shift`` inside the JVM; the basis is width x components, model-sized."""
-    columns = []
-    for j in range(basis.shape[1]):
-        weights = F.array(*[F.lit(float(x)) for x in basis[:, j]])
-        product = F.aggregate(
-            F.zip_with(as_doubles(F.col(vector)), weights, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x
-        )
-        columns.append(product - F.lit(float(shift[j])))
-    return df.withColumn(out, F.array(*columns))
+    """``vector @ basis - shift``: one matrix product a batch; the basis is width x components, model-sized."""
+
+    @F.pandas_udf("array<double>")
+    def product(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            if len(batch):
+                yield pd.Series(list(np.stack(batch.to_numpy()).astype(np.float64) @ basis - shift))
+            else:
+                yield pd.Series([], dtype=object)
+
+    return df.withColumn(out, product(as_doubles(F.col(vector))))
 
 
 def _check(method: str, components: int, width: int) -> None:
@@ -199,18 +203,23 @@ def graph_layout(
     vector: str = "embedding",
     out: str = "reduced",
     seed: int = 42,
-    min_dist: float = 0.0,
+    min_dist: float | None = None,
+    neighbors: str = "exact",
 ) -> DataFrame:
     """Neighbour graph -> fuzzy weights -> spectral layout, joined back by key.
 
-    A point without neighbours stays, at the origin. ``min_dist`` is accepted for its usual value 0
-    only: this layout has no step that pushes points apart.
+    With ``min_dist`` the spectral layout is where a stochastic one starts, which pulls neighbours together and keeps them about
+    so far apart. ``neighbors`` is ``exact`` or ``approximate``. A point without neighbours stays, at the origin.
     """
-    if min_dist:
-        raise ValueError("the spectral layout places points by eigenvectors; min_dist other than 0 has no effect in it")
-    graph = cut_lineage(knn_graph(df, n_neighbors, key, vector, metric))
+    if neighbors not in ("exact", "approximate"):
+        raise ValueError(f"neighbors must be exact or approximate, got {neighbors!r}")
+    search = knn_graph if neighbors == "exact" else approximate_knn
+    graph = cut_lineage(search(df, n_neighbors, key, vector, metric))
     edges = cut_lineage(fuzzy_edges(graph))
-    laid = spectral_layout(edges, components, seed=seed).withColumnRenamed("id", key).withColumnRenamed("reduced", out)
+    laid = spectral_layout(edges, components, seed=seed)
+    if min_dist is not None:
+        laid = stochastic_layout(edges, laid, min_dist, seed=seed)
+    laid = laid.withColumnRenamed("id", key).withColumnRenamed("reduced", out)
     width = laid.agg(F.max(F.size(out))).first()[0] or components
     return df.join(laid, key, "left").withColumn(out, F.coalesce(out, F.array_repeat(F.lit(0.0), width)))
 
