@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from themeloom.sources import feather
+
 
 def read_csv(
     spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = ",", multi_line: bool = True
@@ -52,23 +51,15 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None
     return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
-def read_feather(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """A folder of Arrow (Feather) files, decoded batch by batch, one file per task at least."""
-    if schema is None:
-        raise ValueError("reading Feather needs a schema")
-    target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    arrow_schema = to_arrow_schema(target)
-
-    def decode(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                with ipc.open_file(pa.BufferReader(content.as_buffer())) as file:
-                    for i in range(file.num_record_batches):
-                        table = pa.Table.from_batches([file.get_batch(i)])
-                        yield from table.select(arrow_schema.names).cast(arrow_schema).to_batches()
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
-    return files.mapInArrow(decode, target)
+def read_feather(spark: SparkSession, path: str, schema: StructType | str | None = None, partition_bytes: int | None = None) -> DataFrame:
+    """A Feather file or a folder of them; the schema is in their footers, and several tasks read a large file."""
+    feather.register(spark)
+    reader = spark.read.format(feather.FORMAT)
+    if schema is not None:
+        reader = reader.schema(schema)
+    if partition_bytes:
+        reader = reader.option("partitionBytes", partition_bytes)
+    return reader.load(path)
 
 
 READERS = {
@@ -88,16 +79,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_documents(
-    spark: SparkSession, path: str, fmt: str | None = None, schema: StructType | str | None = None
+    spark: SparkSession, path: str, fmt: str | None = None, schema: StructType | str | None = None, **options
 ) -> DataFrame:
-    """Read a document table; the format is ``fmt`` or the lower-cased suffix of ``path``."""
+    """Read a document table; the format is ``fmt`` or the lower-cased suffix of ``path``.
+
+    ``options`` go to the format's reader, such as ``multi_line=False`` for delimited files without line breaks in their fields.
+    """
     if not _exists(spark, path):
         raise FileNotFoundError(f"nothing to read at {path}")
     name = path.rstrip("/").rsplit("/", 1)[-1]
     kind = (fmt or (name.rsplit(".", 1)[1] if "." in name else "")).lower().lstrip(".")
     if kind not in READERS:
         raise ValueError(f"no reader for {kind!r} files; there are readers for {', '.join(sorted(READERS))}")
-    return READERS[kind](spark, path, schema)
+    return READERS[kind](spark, path, schema, **options)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:

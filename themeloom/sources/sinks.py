@@ -6,10 +6,10 @@ import json
 from datetime import datetime, timezone
 
 import pyarrow as pa
-import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+
+from themeloom.sources import feather
 
 
 def write_vectors(df: DataFrame, path: str, columns: list[str] | None = None) -> str:
@@ -59,37 +59,11 @@ def write_json_array(df: DataFrame, path: str) -> None:
     rows.mapInArrow(close, "value string").write.mode("overwrite").text(path)
 
 
-def write_feather(df: DataFrame, path: str) -> DataFrame:
-    """One Arrow file per partition under ``path``; the result lists the files written.
-
-    ``path`` must be reachable from every executor. A task writes to a temporary name and
-    renames at the end, so a retried task replaces its own file.
-    """
-    schema = df.schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow_schema = to_arrow_schema(schema)
-
-    def write(batches):
-        import os
-        import uuid
-
-        from pyspark import TaskContext
-
-        os.makedirs(path, exist_ok=True)
-        part = TaskContext.get().partitionId()
-        temp = os.path.join(path, f".{uuid.uuid4().hex}")
-        final = os.path.join(path, f"part-{part:05d}.feather")
-        count = 0
-        with pa.OSFile(temp, "wb") as sink, ipc.new_file(sink, arrow_schema) as writer:
-            for batch in batches:
-                table = pa.Table.from_batches([batch]).cast(arrow_schema)
-                count += table.num_rows
-                writer.write_table(table)
-        os.replace(temp, final)
-        yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([count], pa.int64())], names=["file", "n_rows"])
-
-    return df.mapInArrow(write, "file string, n_rows bigint")
+def write_feather(df: DataFrame, path: str, overwrite: bool = True, compression: str = "lz4") -> None:
+    """One Arrow file a partition; the files appear together when all of them are written."""
+    feather.register(df.sparkSession)
+    writer = df.write.format(feather.FORMAT).mode("overwrite" if overwrite else "append")
+    writer.option("compression", compression).save(path)
 
 
 def run_stamp(now: datetime | None = None) -> str:
