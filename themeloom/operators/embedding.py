@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -14,7 +15,6 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from themeloom.functions.text import first_words, tokens
 from themeloom.functions.vectors import as_doubles, normalize
-from themeloom.session import spread
 
 WIDTH = 64
 
@@ -24,6 +24,8 @@ class _WordVectors:
 
     def __init__(self, width: int, limit: int = 200_000):
         self.width, self.limit, self.held = width, limit, {}
+        # grams are few beside words: each is hashed once
+        self.gram = lru_cache(limit)(lambda gram: _placed(gram, width))
 
     def of(self, word: str) -> np.ndarray:
         found = self.held.get(word)
@@ -31,14 +33,19 @@ class _WordVectors:
             found = np.zeros(self.width)
             framed = f"<{word}>"
             for i in range(len(framed) - 2):
-                bits = int(md5(framed[i : i + 3].encode()).hexdigest()[:8], 16)
-                found[bits % self.width] += 1 if (bits >> 16) % 2 == 0 else -1
+                place, sign = self.gram(framed[i : i + 3])
+                found[place] += sign
             if len(self.held) >= self.limit:
                 self.held.clear()
             self.held[word] = found
         return found
 
 
+def _placed(gram: str, width: int) -> tuple[int, int]:
+    bits = int(md5(gram.encode()).hexdigest()[:8], 16)
+    return bits % width, 1 if (bits >> 16) % 2 == 0 else -1
+
+
 def hash_vectors(
     df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, out: str = "embedding"
 ) -> DataFrame:
@@ -83,7 +90,7 @@ def encode(
     batch of strings to a matrix of floats.
     """
     run = predict_batch_udf(make_encoder, return_type=ArrayType(FloatType()), batch_size=batch_size)
-    vectors = spread(df.select(key, text)).select(key, run(F.col(text)).alias(out))
+    vectors = df.select(key, run(F.col(text)).alias(out))
     return vectors.withColumn(out, normalize(as_doubles(F.col(out)))) if unit else vectors
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import as_doubles, distance, mean_vectors, norm, normalize, sum_vectors
 from themeloom.operators.reports import topic_sizes
-from themeloom.operators.selection import assigned
+from themeloom.operators.selection import assigned, shuffle_key
 from themeloom.operators.tiles import TILE_ROWS, Block, block_distances, map_pairs, meet_all, pack
 from themeloom.session import cut_lineage
 
@@ -90,6 +91,69 @@ def silhouette(
     return per_point.agg(F.when(F.count_distinct(topic) > 1, weighted).alias("silhouette"))
 
 
+#: Points at which the estimated silhouette is worked out.
+SILHOUETTE_SAMPLE = 2000
+
+
+def silhouette_estimate(
+    points: DataFrame, key: str = "doc_id", vector: str = "reduced", topic: str = "topic", sample: int = SILHOUETTE_SAMPLE, seed: int = 42
+) -> DataFrame:
+    """One row: ``silhouette``, its ``silhouette_error`` and ``silhouette_points``; nulls with fewer than two topics.
+
+    The measure of a point is exact, from its distances to all points; the mean is taken over ``sample`` points, those of lowest
+    hash, so copies weigh as often as they occur. The work is linear: every point meets the sample once, and a task sends one sum for each
+    topic it has met. The error is three standard errors of the mean, with the correction for a sample of a finite
+    table; a sample that holds every point gives the exact silhouette and an error of zero.
+    """
+    rows = cut_lineage(
+        assigned(points, topic).select(F.col(key).cast("string").alias("k"), F.col(topic).cast("int").alias("t"), as_doubles(F.col(vector)).alias("v"))
+    )
+    chosen = rows.orderBy(shuffle_key("k", seed), "k", "t", "v").limit(sample).select("t", "v").collect()
+    total = rows.count()
+    spark = rows.sparkSession
+    if not chosen:
+        return spark.createDataFrame([(None, None, 0)], "silhouette double, silhouette_error double, silhouette_points long")
+    home = np.array([r.t for r in chosen])
+    held = np.array([r.v for r in chosen], dtype=np.float64)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, list] = {}
+        for pdf in batches:
+            for t, group in pdf.groupby("t"):
+                entry = found.setdefault(int(t), [0, np.zeros(len(held))])
+                vectors = np.stack(group["v"].to_numpy()).astype(np.float64)
+                for low in range(0, len(vectors), 1024):
+                    entry[1] += block_distances(held, vectors[low : low + 1024]).sum(1)
+                entry[0] += len(group)
+        if found:
+            yield pd.DataFrame({"t": list(found), "n": [n for n, _ in found.values()], "sums": [x.tobytes() for _, x in found.values()]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = np.sum([np.frombuffer(x) for x in pdf["sums"]], axis=0)
+        n, t = int(pdf["n"].sum()), int(pdf["t"].iloc[0])
+        # the point itself is no neighbour of its own
+        mean = np.where(home == t, whole / (n - 1) if n > 1 else np.nan, whole / n)
+        return pd.DataFrame({"i": np.arange(len(home)), "own": home == t, "mean": mean})
+
+    parts = rows.mapInPandas(sums, "t int, n long, sums binary")
+    means = parts.groupBy("t").applyInPandas(add, "i int, own boolean, mean double")
+    own = F.max(F.when(F.col("own") & ~F.isnan("mean"), F.col("mean")))
+    other = F.min(F.when(~F.col("own"), F.col("mean")))
+    top = F.greatest("a", "b")
+    each = means.groupBy("i").agg(own.alias("a"), other.alias("b")).select(
+        "b", F.when(F.col("a").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top).alias("s")
+    )
+    m = len(chosen)
+    left = math.sqrt(max(0.0, (total - m) / max(1, total - 1)))
+    error = 3.0 * left * F.coalesce(F.stddev_samp("s"), F.lit(0.0)) / math.sqrt(m)
+    several = F.count("b") > 0
+    return each.agg(
+        F.when(several, F.avg("s")).alias("silhouette"),
+        F.when(several, error).alias("silhouette_error"),
+        F.when(several, F.lit(m)).otherwise(0).cast("long").alias("silhouette_points"),
+    )
+
+
 def silhouette_squared(
     points: DataFrame, key: str = "doc_id", vector: str = "reduced", topic: str = "topic", tile_rows: int | None = None
 ) -> DataFrame:
@@ -190,15 +254,19 @@ def evaluate(
     original: str = "embedding",
     reduced: str = "reduced",
     topic: str = "topic",
-    exact: bool = True,
+    exact: bool | None = None,
+    sample: int = SILHOUETTE_SAMPLE,
 ) -> DataFrame:
-    """One row with every measure. ``exact=False`` swaps the quadratic silhouette for
-    ``silhouette_sq``, which is another number under another name."""
-    shape = silhouette(points, key, reduced, topic) if exact else silhouette_squared(points, key, reduced, topic)
-    name = shape.columns[0]
+    """One row with every measure. The silhouette is the estimate from ``sample`` points with its error, in linear work;
+    ``exact=True`` works it out over all pairs, ``exact=False`` gives ``silhouette_sq``, another number under another name."""
+    if exact is None:
+        shape = silhouette_estimate(points, key, reduced, topic, sample).drop("silhouette_points")
+    else:
+        shape = silhouette(points, key, reduced, topic) if exact else silhouette_squared(points, key, reduced, topic)
+    shape = cut_lineage(shape)
     return coverage(points, topic).withColumns(
         {
-            name: shape.scalar(),
+            **{name: shape.select(name).scalar() for name in shape.columns},
             "davies_bouldin": davies_bouldin(points, reduced, topic).scalar(),
             "coherence": coherence(points, original, topic).scalar(),
             "diversity": diversity(points, original, topic).scalar(),

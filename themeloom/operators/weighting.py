@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.text import drop_stop_words, ngrams, stop_words, tokens
 from themeloom.operators.selection import assigned
-from themeloom.session import cut_lineage, spread
+from themeloom.session import cut_lineage
 
 
 def explode_terms(
@@ -26,7 +26,7 @@ def explode_terms(
     ``outer`` keeps a row with a null term for documents that have none.
     """
     words = drop_stop_words(tokens(text), stop_words() if stop is None else stop)
-    held = spread(docs.select(*keep, text)).select(*keep, words.alias("_words"))
+    held = docs.select(*keep, words.alias("_words"))
     terms = ngrams(F.col("_words"), *ngram_range)
     return held.select(*keep, (F.explode_outer if outer else F.explode)(terms).alias("term"))
 
@@ -37,12 +37,8 @@ def remove_listed_terms(terms: DataFrame, listed: DataFrame, column: str = "term
 
 
 def gather_topic_text(docs: DataFrame, topic: str = "topic", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of each topic in key order with their place in the topic.
-
-    Texts stay one row each (a topic may hold a third of the table); a range-partitioned
-    sort puts each topic's documents next to one another.
-    """
-    return assigned(docs, topic).select(topic, key, text).repartitionByRange(topic, key).sortWithinPartitions(topic, key)
+    """The texts of each topic's documents: one row each (a topic may hold a third of the table), in no order."""
+    return assigned(docs, topic).select(topic, key, text)
 
 
 def count_terms(

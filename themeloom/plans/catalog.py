@@ -25,7 +25,7 @@ from themeloom.operators import (
     weighting,
 )
 from themeloom.plans.model import ThemeModel
-from themeloom.session import cut_lineage, scratch_path
+from themeloom.session import cut_lineage, scratch_path, spread
 from themeloom.sources import documents as sources
 from themeloom.sources import sinks
 
@@ -48,7 +48,7 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 def source_docs(spark: SparkSession, path: str) -> DataFrame:
     """All documents; the source number is the topic, the last source is noise."""
     number = F.when(F.col("source") == "src19", -1).otherwise(F.expr("cast(substr(source, 4) as int)"))
-    return table(spark, path, "documents").select("doc_id", "text", number.alias("topic"))
+    return spread(table(spark, path, "documents").select("doc_id", "text", number.alias("topic")))
 
 
 def labelled_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +60,7 @@ def labelled_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vector_docs(spark: SparkSession, path: str) -> DataFrame:
-    docs = table(spark, path, "documents").select("doc_id", "text")
+    docs = spread(table(spark, path, "documents").select("doc_id", "text"))
     return sources.attach_vectors(docs, labelled_vectors(spark, path))
 
 
@@ -270,7 +270,7 @@ def sample_per_topic(spark, path):
 
 @query
 def hash_embedding(spark, path):
-    vectors = embedding.embed(table(spark, path, "documents"))
+    vectors = embedding.embed(spread(table(spark, path, "documents").select("doc_id", "text")))
     return vectors.select("doc_id", F.posexplode("embedding").alias("pos", "x")).select("doc_id", "pos", r6("x").alias("x"))
 
 
@@ -491,6 +491,13 @@ def silhouette_squared(spark, path):
     return metrics.silhouette_squared(_both(spark, path)).select(r6("silhouette_sq").alias("silhouette_sq"))
 
 
+@query
+def silhouette_estimated(spark, path):
+    """From 200 points that meet all others, with the error of their mean."""
+    found = metrics.silhouette_estimate(_both(spark, path), sample=200)
+    return found.select(r6("silhouette").alias("silhouette"), r6("silhouette_error").alias("silhouette_error"), "silhouette_points")
+
+
 @query
 def davies_bouldin(spark, path):
     return metrics.davies_bouldin(_both(spark, path)).select(r6("davies_bouldin").alias("davies_bouldin"))
@@ -632,8 +639,8 @@ def roundtrip_parquet(spark, path):
 @query
 def roundtrip_feather(spark, path):
     out = scratch_path(spark, "docs") + ".feather"
-    sinks.write_feather(table(spark, path, "documents"), out.removeprefix("file:")).collect()
-    return sources.load_documents(spark, out, schema=DOC_SCHEMA)
+    sinks.write_feather(table(spark, path, "documents"), out)
+    return sources.load_documents(spark, out)
 
 
 @query
@@ -807,7 +814,7 @@ def hdbscan_labels(spark, path):
 
 
 def _whole(spark, path, **settings) -> ThemeModel:
-    docs = table(spark, path, "documents").select("doc_id", "text")
+    docs = spread(table(spark, path, "documents").select("doc_id", "text"))
     return ThemeModel(**settings).fit(docs)
 
 

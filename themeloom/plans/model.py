@@ -14,7 +14,7 @@ from themeloom.operators.embedding import embed
 from themeloom.operators.reduction import reduce_vectors
 from themeloom.operators.selection import limit_documents, pick_text
 from themeloom.operators.weighting import nest_words, top_words, weigh_terms, words_only
-from themeloom.session import cut_lineage, shared_dir
+from themeloom.session import cut_lineage, shared_dir, spread
 from themeloom.sources import sinks
 from themeloom.sources.documents import load_documents
 
@@ -126,7 +126,8 @@ class ThemeModel:
         stamped = self.points.select("doc_id", "topic").join(times.select("doc_id", timestamp), "doc_id")
         return reports.topics_over_time(stamped, timestamp, nr_bins)
 
-    def evaluate(self, exact: bool = True) -> DataFrame:
+    def evaluate(self, exact: bool | None = None) -> DataFrame:
+        """Every measure; see ``metrics.evaluate`` for the three silhouettes."""
         self._need()
         return metrics.evaluate(self.points, exact=exact)
 
@@ -169,7 +170,7 @@ def run(
     """Load, fit and save one run; the output folder is stamped with the start time."""
     started = datetime.now(timezone.utc)
     table = load_documents(spark, path, fmt).withColumnRenamed(key, "doc_id")
-    docs = limit_documents(pick_text(table, text_column), max_documents)
+    docs = limit_documents(spread(pick_text(table, text_column)), max_documents)
     settings["embedding"] = {"encoder": encoder, **settings.get("embedding", {})}
     model = ThemeModel(**settings).fit(docs)
     model.save(output or f"{shared_dir(spark)}/runs/run_{sinks.run_stamp(started)}")

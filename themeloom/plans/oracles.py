@@ -168,6 +168,11 @@ part AS (SELECT a.doc_id, a.topic, b.topic AS other, sum({d}) AS s FROM vec a JO
 ab AS (SELECT doc_id, topic, max(CASE WHEN other = topic AND n > 1 THEN s / (n - 1) END) AS a,
   min(CASE WHEN other <> topic THEN s / n END) AS b FROM part JOIN (SELECT topic AS other, n FROM size) USING (other) GROUP BY ALL),
 sil AS (SELECT avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS value FROM ab)"""
+#: The same over the points of lowest hash, with the error of their mean.
+EST = """one AS (SELECT doc_id, CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ab),
+pick AS (SELECT s FROM one ORDER BY md5('42:' || doc_id), doc_id::VARCHAR LIMIT {m}),
+est AS (SELECT avg(s) AS value, 3 * sqrt(((SELECT count(*) FROM one) - count(*)) / greatest(1, (SELECT count(*) FROM one) - 1))
+  * coalesce(stddev_samp(s), 0) / sqrt(count(*)) AS error, count(*) AS points FROM pick)"""
 
 CENTROIDS = """cen AS (SELECT topic, list(m ORDER BY pos) AS c, max(n) AS n FROM (SELECT topic, pos, avg(x) AS m, count(*) AS n FROM (
   SELECT topic, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM vec WHERE topic >= 0) GROUP BY ALL) GROUP BY topic)"""
@@ -320,14 +325,16 @@ def oracles() -> dict[str, str]:
         "coverage": f"{s}, {coverage_of('src')} SELECT {COVERAGE_COLUMNS} FROM cov",
         "silhouette": f"{v}, {SIL.format(d=EUCLID)} SELECT round(value, 6) AS silhouette FROM sil",
         "silhouette_squared": f"{v}, {SIL.format(d=EUCLID + ' ** 2')} SELECT round(value, 6) AS silhouette_sq FROM sil",
+        "silhouette_estimated": f"""{v}, {SIL.format(d=EUCLID)}, {EST.format(m=200)}
+            SELECT round(value, 6) AS silhouette, round(error, 6) AS silhouette_error, points AS silhouette_points FROM est""",
         "davies_bouldin": f"{v}, {CENTROIDS}, {DB} SELECT round(value, 6) AS davies_bouldin FROM db",
         "coherence": f"{v}, {COH} SELECT round(value, 6) AS coherence FROM coh",
         "diversity": f"{v}, {CENTROIDS}, {DIV} SELECT round(value, 6) AS diversity FROM div",
         "balance": f"{s}, {balance_of('src')} SELECT round(value, 6) AS balance FROM bal",
-        "evaluation_report": f"""{v}, {coverage_of('vec')}, {SIL.format(d=EUCLID)}, {CENTROIDS}, {DB}, {COH}, {DIV}, {balance_of('vec')},
+        "evaluation_report": f"""{v}, {coverage_of('vec')}, {SIL.format(d=EUCLID)}, {EST.format(m=2000)}, {CENTROIDS}, {DB}, {COH}, {DIV}, {balance_of('vec')},
             m AS (SELECT 'n_topics' AS metric, n_topics::DOUBLE AS value FROM cov UNION ALL SELECT 'n_documents', n_documents FROM cov
               UNION ALL SELECT 'n_assigned', n_assigned FROM cov UNION ALL SELECT 'n_outliers', n_outliers FROM cov
-              UNION ALL SELECT 'coverage_pct', n_assigned / n_documents * 100 FROM cov UNION ALL SELECT 'silhouette', value FROM sil
+              UNION ALL SELECT 'coverage_pct', n_assigned / n_documents * 100 FROM cov UNION ALL SELECT 'silhouette', value FROM est UNION ALL SELECT 'silhouette_error', error FROM est
               UNION ALL SELECT 'davies_bouldin', value FROM db UNION ALL SELECT 'coherence', value FROM coh
               UNION ALL SELECT 'diversity', value FROM div UNION ALL SELECT 'balance', value FROM bal)
             SELECT metric, round(value, 6) AS value FROM m""",
@@ -389,5 +396,7 @@ def oracles() -> dict[str, str]:
         "dbscan_cosine": f"""WITH RECURSIVE pt AS (SELECT vec_id AS id, embedding::DOUBLE[] AS p FROM embeddings), near AS (SELECT a.id AS a, b.id AS b
               FROM pt a JOIN pt b ON 1 - list_cosine_similarity(a.p, b.p) <= {COSINE_EPS}), {DENSE}""",
     }
+    from themeloom.plans import extended
+
     # the same results on another way
-    return made | {"model_refined": made["refined_keywords"], "knn_graph_tiles": made["knn_graph"]}
+    return made | extended.oracles() | {"model_refined": made["refined_keywords"], "knn_graph_tiles": made["knn_graph"]}

@@ -68,14 +68,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table with fewer partitions than one for so many cores is dealt out anew.
+IDLE_CORES = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that is known to be small.
+    """A table as read from files, dealt out anew if its splits would keep at most one in IDLE_CORES cores busy, as on one small file.
 
-    A small file is often one split. Where the size estimate fills the splits of all cores, as
-    on any large table, the rows stay where they are.
+    For whoever reads the files; operators take tables as they come.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df.repartition(cores) if size < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * IDLE_CORES <= cores else df
