@@ -1,13 +1,14 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors of labelled documents.
 
-A document becomes counts of pairs of neighbouring character classes and a few counts over its words. TF-IDF
-and a singular value decomposition of a bounded labelled sample give latent vectors. The sample's vectors
-go to every task; each document is compared with all of them by exact cosine in blocks, and its nearest
-neighbours vote with the weight of their similarity.
+A document becomes two blocks of terms: its words, hashed to BINS numbers, and its form, which is pairs of neighbouring
+character classes and a few counts over the words. Each block is weighed by TF-IDF and brought to a fixed length. A singular value
+decomposition of a bounded labelled sample gives latent vectors. The sample's vectors go to every task; each document is
+compared with all of them by exact cosine in blocks, and its nearest neighbours vote with the weight of their similarity.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,12 @@ CLASSES = 7 + len(MARKS)
 #: Counts over words: words, word equal to the one before, word equal to the one before that, capital words,
 #: words with a mark at their end, and one term for each power of two of the number of words.
 WORD_TERMS, SIZES, WORD_WEIGHT = 4, 24, 6
-TERMS = CLASSES * CLASSES + WORD_TERMS + SIZES
+FORM = CLASSES * CLASSES + WORD_TERMS + SIZES
+#: Hashed words, and how many bins a worker remembers.
+BINS, REMEMBERED = 1024, 200_000
+#: How much the words count beside the form.
+WORDS_SHARE = 0.3
+TERMS = FORM + BINS
 
 
 def class_table() -> np.ndarray:
@@ -60,9 +66,24 @@ def terms(text: bytes) -> np.ndarray:
     out[pairs + 3] = len(words) - len(set(words))
     # a document's size is one term as heavy as a tenth of its words
     out[pairs + WORD_TERMS + min(SIZES - 1, len(words).bit_length())] = 1 + len(words) / 10
+    if len(_BINS) > REMEMBERED:
+        _BINS.clear()
+    cut = text.lower().translate(_LETTERS).split()
+    out[FORM:] = np.bincount(np.fromiter(map(_BINS.__getitem__, cut), np.int64, len(cut)), minlength=BINS)
     return out
 
 
+class _Bins(dict):
+    """The bin of each word met."""
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = zlib.crc32(word) % BINS
+        return at
+
+
+#: All but letters, digits and bytes of other alphabets part words.
+_LETTERS = bytes(b if b > 0x7F or chr(b).isalnum() else 32 for b in range(256))
+_BINS = _Bins()
 _TABLE: list[np.ndarray] = []
 
 
@@ -72,6 +93,15 @@ def class_table_held() -> np.ndarray:
     return _TABLE[0]
 
 
+def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF, the form of length one and the words of WORDS_SHARE; a block without terms stays zero."""
+    x = np.log1p(counts) * idf
+    for block in (slice(0, FORM), slice(FORM, TERMS)):
+        x[:, block] /= np.maximum(np.linalg.norm(x[:, block], axis=1), 1e-12)[:, None]
+    x[:, FORM:] *= WORDS_SHARE
+    return x
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -81,9 +111,7 @@ class Model:
     prior: float
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-        z = x @ self.axes
+        z = weighed(counts, self.idf) @ self.axes
         return (z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]).astype(np.float32)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
@@ -106,8 +134,7 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
     idf = np.log((1 + len(labels)) / (1 + (counts > 0).sum(0))) + 1
     # one repeated word tells as much as many pairs of letters
     idf[CLASSES * CLASSES : CLASSES * CLASSES + 2] *= WORD_WEIGHT
-    x = np.log1p(counts) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    x = weighed(counts, idf)
     values, vectors = np.linalg.eigh(x.T @ x)
     model = Model(idf, vectors[:, ::-1][:, : min(LATENT, len(labels))], np.zeros((0, 0)), labels, float(labels.mean()))
     model.vectors = model.latent(counts)
