@@ -48,7 +48,8 @@ def forward(w: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]
     wide = rows.shape[1]
     x = w["e"][rows] + w["p"][:wide]
     # one product of two plain matrices is several times faster than one a window
-    q, k, v = ((x.reshape(-1, WIDTH) @ w[n]).reshape(x.shape) for n in "qkv")
+    qkv = (x.reshape(-1, WIDTH) @ np.concatenate([w["q"], w["k"], w["v"]], axis=1)).reshape(*x.shape[:2], 3, WIDTH)
+    q, k, v = (np.ascontiguousarray(qkv[:, :, i]) for i in range(3))
     s = (q * np.float32(1 / np.sqrt(WIDTH))) @ k.transpose(0, 2, 1)
     # bounded instead of shifted by the largest, which saves two passes
     np.clip(s, -40, 40, out=s)
@@ -68,28 +69,36 @@ def logits(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
 def gradients(w: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean loss over real places."""
     f = forward(w, rows)
-    n = max(1, int(real.sum()))
-    dz = np.exp(logits(w, f["h"]))
-    dz /= dz.sum(-1, keepdims=True)
-    at = np.indices(rows.shape)
-    dz[at[0], at[1], kinds] -= 1
-    dz *= real[..., None] / np.float32(n)
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"u": flat(f["h"]).T @ flat(dz), "b": flat(dz).sum(0)}
-    dh = (flat(dz) @ w["u"].T).reshape(f["h"].shape)
+    # only places that count have an output
+    at = np.flatnonzero(real)
+    h = flat(f["h"])[at]
+    dz = logits(w, h)
+    np.exp(dz, out=dz)
+    dz /= dz.sum(-1, keepdims=True) * dz.dtype.type(max(1, len(at)))
+    dz[np.arange(len(at)), kinds.reshape(-1)[at]] -= dz.dtype.type(1 / max(1, len(at)))
+    g = {"u": h.T @ dz, "b": dz.sum(0)}
+    dh = np.zeros_like(f["h"])
+    flat(dh)[at] = dz @ w["u"].T
     g["o"] = flat(f["c"]).T @ flat(dh)
     dc = (flat(dh) @ w["o"].T).reshape(dh.shape)
     da = dc @ f["v"].transpose(0, 2, 1)
     dv = f["a"].transpose(0, 2, 1) @ dc
-    ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True)) / np.float32(np.sqrt(WIDTH))
-    dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat(f["x"]).T @ flat(d)
-    dx = dh + sum(flat(d) @ w[n].T for n, d in (("q", dq), ("k", dk), ("v", dv))).reshape(dh.shape)
+    # the weighted mean of da, place by place, is the product of output and its gradient
+    ds = f["a"] * (da - np.einsum("ijk,ijk->ij", dc, f["c"])[:, :, None])
+    ds *= ds.dtype.type(1 / np.sqrt(WIDTH))
+    parts = np.concatenate([ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"], dv], axis=2)
+    qkv = np.concatenate([w["q"], w["k"], w["v"]], axis=1)
+    turned = flat(f["x"]).T @ flat(parts)
+    g["q"], g["k"], g["v"] = turned[:, :WIDTH], turned[:, WIDTH : 2 * WIDTH], turned[:, 2 * WIDTH :]
+    dx = flat(dh) + flat(parts) @ qkv.T
     g["p"] = np.zeros_like(w["p"])
-    g["p"][: rows.shape[1]] = dx.sum(0)
-    cell = rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    g["e"] = np.bincount(cell.ravel(), dx.ravel(), w["e"].size).reshape(w["e"].shape).astype(w["e"].dtype)
+    g["p"][: rows.shape[1]] = dx.reshape(dh.shape).sum(0)
+    order = np.argsort(rows, axis=None, kind="stable")
+    held = rows.reshape(-1)[order]
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    g["e"] = np.zeros_like(w["e"])
+    g["e"][held[first]] = np.add.reduceat(dx[order], first)
     return g
 
 
@@ -100,9 +109,14 @@ class Adam:
     def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
         self.t += 1
         for n, d in g.items():
-            self.m[n] = 0.9 * self.m.get(n, 0) + 0.1 * d
-            self.s[n] = 0.99 * self.s.get(n, 0) + 0.01 * d * d
-            w[n] -= (self.rate * self.m[n] / (1 - 0.9**self.t) / (np.sqrt(self.s[n] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            if n not in self.m:
+                self.m[n], self.s[n] = np.zeros_like(w[n]), np.zeros_like(w[n])
+            m, s = self.m[n], self.s[n]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * d
+            s *= np.float32(0.99)
+            s += np.float32(0.01) * d * d
+            w[n] -= np.float32(self.rate / (1 - 0.9**self.t)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**self.t))) + np.float32(1e-8))
 
 
 def windows(ids: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +139,7 @@ def windows(ids: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray,
     return np.where(fresh, place, np.int32(-1)), before, text
 
 
-def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, begin: int, chunk: int = 1024) -> np.ndarray:
+def score_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, begin: int, chunk: int = 256) -> np.ndarray:
     """log10 probability of each text; texts are taken together up to some 200,000 ids, so memory follows one text."""
     ends = np.cumsum(sizes)
     out = []
@@ -165,7 +179,7 @@ def train_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarra
     for low in range(0, len(order), batch):
         t, b = target[order[low : low + batch]], before[order[low : low + batch]]
         rows = np.where(b < 0, vocabulary.row[begin], row[b])
-        adam.step(w, gradients(w, rows, np.where(t < 0, 0, kind[t]), (t >= 0).astype(np.float32)))
+        adam.step(w, gradients(w, rows, np.where(t < 0, 0, kind[t]), t >= 0))
 
 
 def to_bytes(w: dict[str, np.ndarray]) -> bytes:
