@@ -17,8 +17,9 @@ from themeloom.llm.common import read, stored
 BITS = 12
 #: How far a shard's bytes below its splitter may be from its share, as a part of a shard.
 TOLERANCE = 0.005
-#: Bytes that one task sorts, and the most ranges a table is cut to (a range then grows with the table).
-RANGE_BYTES, MOST_RANGES = 16 << 20, 4096
+#: Bytes that one task sorts, and the most ranges a table is cut to. Beyond 2 TB a range grows with the table: at 100 TB it has
+#: 800 MB, which a task still sorts.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 17
 #: Cells that one round of probes counts at most, as long as that leaves one bit a round.
 COUNTS = 1 << 17
 LOW = -(1 << 63)
