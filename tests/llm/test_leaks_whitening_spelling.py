@@ -255,3 +255,58 @@ def test_queries_of_the_operators(spark):
     assert out.dtypes == [("vec_id", "bigint"), ("component", "int"), ("n", "bigint"), ("deviation", "bigint"), ("whitened", "double"), ("explained", "double"), ("identity_error", "double")]
     assert out.groupBy("component").agg(F.count("*").alias("c")).count() == 4 and out.agg(F.max("identity_error")).first()[0] < 1e-9
     assert QUERIES["op11_spelling_variants"](spark, sf).dtypes == [("word", "string"), ("form", "string"), ("root", "string"), ("n", "bigint"), ("n_near", "bigint"), ("form_n", "bigint")]
+
+
+LONG, TEXT, FLAG, REAL, INT = "bigint", "string", "boolean", "double", "int"
+CONTRACTS = {
+    "op1_": {"doc_id": LONG, "fingerprint": TEXT, "component_id": LONG},
+    "op2_": {"doc_id": LONG, "n_words": LONG, "n_base": LONG, "first_word": LONG, "last_word": LONG, "base_labels": TEXT, "labels": TEXT, "score": REAL},
+    "op3_": {"doc_id": LONG, "held_out": FLAG, "n_tokens": LONG, "n_known": LONG, "train_tokens": LONG, "base_score": REAL, "score": REAL},
+    "op4_": {"vec_id": LONG, "n_links": LONG, "component_id": LONG, "kept": FLAG},
+    "op5_": {"doc_id": LONG, "start": LONG, "n_tokens": LONG, "ids_crc32": LONG},
+    "op6_": {"doc_id": LONG, "n_words": LONG, "word_chars": LONG, "n_symbols": LONG, "n_dup_lines": LONG, "n_repeat_words": LONG, "base_failed": FLAG, "kept": FLAG},
+    "op7_": {"doc_id": LONG, "held_out": FLAG, "score": REAL, "predicted": INT},
+    "op8_": {"doc_id": LONG, "size": LONG, "text_crc32": LONG, "law": TEXT, "shard": INT, "slot": LONG, "grown_shard": INT},
+    "op9_": {"doc_id": LONG, "start": LONG, "length": LONG, "ids_crc32": LONG, "doc_tokens": LONG, "sequence_id": LONG, "offset": LONG},
+    "op10_": {"doc_id": LONG, "n_tokens": LONG, "ids_sha256": TEXT, "decoded_sha256": TEXT},
+}
+
+
+@pytest.mark.parametrize("operator", CONTRACTS)
+def test_query_columns_and_digests(spark, operator):
+    """Each query over a whole small table: the columns of its contract, a row for each row, digests of what it says they are."""
+    from themeloom.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    (name,) = [q for q in QUERIES if q.startswith(operator)]
+    out = QUERIES[name](spark, sf)
+    assert dict(out.dtypes).items() >= CONTRACTS[operator].items()
+    rows = out.collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    if operator == "op4_":
+        assert len(rows) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    elif operator != "op9_":
+        assert sorted(r.doc_id for r in rows) == sorted(docs)
+    if operator in ("op5_", "op9_"):
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        held = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        held.encode_special_tokens = True
+        at = 0
+        for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+            ids = np.array([*held.encode(docs[r.doc_id], add_special_tokens=False).ids, 2], "<u4")
+            if operator == "op5_":
+                assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+                at += len(ids)
+            else:
+                assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes()))
+    if operator == "op8_":
+        assert all(r.size == len(docs[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) and r.grown_shard is None for r in rows)
+    if operator == "op10_":
+        import hashlib
+
+        assert all(r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest() for r in rows)
+    if operator in ("op3_", "op7_"):
+        modulus, rest = (10, 0) if operator == "op3_" else (3, 1)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == rest) for r in rows)

@@ -105,11 +105,38 @@ def test_license_spans(docs, rows, empty):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
         assert r.found.n_words == len(words)
         want = {(k, i) for k, p in licenses.phrases().items() for i in range(len(words)) if words[i : i + len(p)] == p}
-        assert {(s.label, s.start) for s in r.found.spans} == want
+        assert {(s.label, s.start) for s in r.found.spans if s.label in licenses.phrases()} == want
         assert 0 <= r.found.score <= 1 and (r.found.score == 1) == bool(want)
     assert licenses.scan(empty).count() == 0
 
 
+def test_licence_texts_by_votes_and_key_phrases(spark):
+    texts = licenses.licence_texts()
+    rows, want = [], []
+    for label, (words, keys) in texts.items():
+        assert len(keys) >= 2 and all(words[at : at + len(key)] == key for at, key in keys)
+        body = list(words)
+        # a word of no key phrase is changed, and ten are put in
+        free = next(i for i in range(len(words)) if not any(at <= i < at + len(key) for at, key in keys) and i > keys[0][0])
+        moved = [*body[:free], "othername", *["inserted"] * 10, *body[free + 1 :]]
+        broken = list(body)
+        broken[keys[-1][0] + 1] = "broken"
+        for text, there in ((body, True), (["head"] * 300 + body + ["tail"] * 300, True), (moved, True), (broken, False), (keys[0][1], False)):
+            rows.append((len(rows), " ".join(text).upper() if there else ", ".join(text)))
+            want.append(label if there else None)
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "plain words of no licence")]
+    want += [None] * 3
+    got = {r.row.doc_id: r.found for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, text), label in zip(rows, want, strict=True):
+        found = {s.label: (s.start, s.end) for s in got[i].spans if s.label in texts}
+        assert found.keys() == ({label} if label else set()), (i, text)
+        if label:
+            (first, key), (last, end) = texts[label][1][0], texts[label][1][-1]
+            words = text.lower().split()
+            a, b = found[label]
+            assert words[a : a + len(key)] == key and words[b - len(end) : b] == end
+
+
 def test_quality_rules(docs, rows, empty):
     import re
 
@@ -165,6 +192,26 @@ def test_attention_gradients_and_distribution():
     assert both[0] == pytest.approx(score_texts(w, v, long, np.array([100]), 2)[0])
 
 
+def test_scores_against_a_plain_loop():
+    """log10 chances id by id: one window at a time, one place at a time, without matrices of windows."""
+    rng = np.random.default_rng(3)
+    v = Vocabulary(rng.integers(0, 60, 200))
+    w = {k: x.astype(np.float64) for k, x in start(v.prior).items()}
+    text = rng.integers(0, 200, 75)
+    total = 0.0
+    for place in range(len(text)):
+        # the first window reads from the start, later ones begin every 24 ids and score their last 24
+        begin = 0 if place < 32 else 24 * -(-(place - 31) // 24)
+        seen = [v.row[text[i - 1]] if i else v.row[2] for i in range(begin, place + 1)]
+        x = [w["e"][r] + w["p"][i] for i, r in enumerate(seen)]
+        scores = [np.exp(x[-1] @ w["q"] @ (y @ w["k"]) / 4.0) for y in x]
+        mixed = sum(s * (y @ w["v"]) for s, y in zip(scores, x)) / sum(scores)
+        z = np.exp((x[-1] + mixed @ w["o"]) @ w["u"] + w["b"])
+        kind = v.kind[text[place]]
+        total += np.log10(z[kind] / z.sum()) + v.within[text[place]] / np.log(10)
+    assert score_texts(w, v, text, np.array([75]), 2)[0] == pytest.approx(total, rel=1e-9)
+
+
 def test_attention_context():
     sizes = np.array([100, 1, 33, 32])
     target, before, text = windows(np.zeros(166, np.int64), sizes, 2)
@@ -287,6 +334,40 @@ def test_quality_classifier(spark, empty):
     assert quality_classifier.score(empty, model).count() == 0
 
 
+def test_quality_votes_against_a_plain_loop(spark):
+    """Words of one shape tell the labels apart; ties, long texts, repeated documents and clashing columns."""
+    rng = random.Random(8)
+    good, bad = (["".join(rng.choices("abcdefgh", k=5)) for _ in range(40)] for _ in range(2))
+    rows = [(i, " ".join(rng.choices(good if i % 2 else bad, k=30))) for i in range(200)] + [(400, " ".join(good) * 3000), (401, "x" * 300_000), (402, " ".join(bad)), (402, " ".join(bad))]
+    docs = spark.createDataFrame([(d, t, 0.1, 9) for d, t in rows], "doc_id long, text string, score double, quality int").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels)
+    got = quality_classifier.score(docs, model).collect()
+    assert len(got) == len(rows) and got[0].row.asDict().keys() == {"doc_id", "text", "score", "quality"}
+    learned = [(quality_classifier.terms(t.encode()), d % 2) for d, t in rows[:200] if zlib.crc32(str(d).encode()) % 3 != 1]
+    assert Counter(model.labels) == Counter(y for _, y in learned)
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
+
+    def latent(terms):
+        x = np.log1p(terms) * model.idf
+        x = np.concatenate([unit(x[: quality_classifier.FORM]), quality_classifier.WORDS_SHARE * unit(x[quality_classifier.FORM :])])
+        return unit(x @ model.axes)
+
+    held = [(latent(t), y) for t, y in learned]
+    for r in got:
+        mine = latent(quality_classifier.terms(r.row.text.encode()))
+        votes = sorted(((float(mine @ v), y) for v, y in held), reverse=True)
+        near = votes[: quality_classifier.NEIGHBOURS]
+        weight = [max(c, 0) ** quality_classifier.POWER for c, _ in near]
+        want = sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight) if sum(weight) else model.prior
+        if votes[quality_classifier.NEIGHBOURS - 1][0] - votes[quality_classifier.NEIGHBOURS][0] > 1e-5:
+            assert r.score == pytest.approx(want, abs=1e-4)
+        if r.row.doc_id < 200 and zlib.crc32(str(r.row.doc_id).encode()) % 3 == 1:
+            assert (r.score >= 0.5) == (r.row.doc_id % 2 == 1)
+    same = [r.score for r in got if r.row.doc_id == 402]
+    assert len(same) == 2 and same[0] == same[1] < 0.5
+
+
 def test_sharding(spark, docs, rows, empty):
     got = sharding.shard_by_bytes(docs, 4).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((d, t) for d, t, *_ in rows)

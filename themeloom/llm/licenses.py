@@ -1,10 +1,11 @@
 """Licence scans by a positional rare-token index.
 
-Each key phrase of a licence is indexed by its rarest words and their places in it. How rare a word is comes
-from all documents: the number of documents that hold it. In a file, the places of rare words are looked up
-once; every place votes for where a phrase would start, votes of the phrase's rare words are intersected by
-that start, and the whole mandatory phrase is verified there. DataFrame functions only; nothing is shuffled
-but one count for each licence word.
+Licence texts and single key phrases are templates, indexed by their rarest words and the places of these in them. How rare a
+word is comes from all documents: the number of documents that hold it. In a file, the places of rare words are looked
+up once; every place votes for where a template would start, and the votes of its rare words are intersected by that
+start. A key phrase is verified there word by word. A licence text needs half of its rare words' weight in place, and each of
+its mandatory key phrases, verified, near where the template has it. DataFrame functions only; nothing is shuffled but one
+count for each licence word.
 """
 
 from __future__ import annotations
@@ -42,12 +43,62 @@ KEY_PHRASES = {
 }
 #: Rare words that vote for a phrase.
 VOTERS = 3
+#: The operative words of public licences and notices, as they read in their texts. Words in brackets are a mandatory
+#: key phrase.
+LICENCE_TEXTS = {
+    "apache-2.0-notice": "[licensed under the apache license version 2 0] the license [you may not use this file except in compliance with the license] you may "
+    "obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed "
+    "under the license is [distributed on an as is basis without warranties or conditions of any kind] either express or implied see the license for the "
+    "specific language governing permissions and limitations under the license",
+    "bsd-3-clause-text": "[redistribution and use in source and binary forms with or without modification are permitted] provided that the following conditions are "
+    "met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[redistributions in binary form must reproduce the above copyright notice] this list of conditions and the following disclaimer in the documentation "
+    "and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used "
+    "[to endorse or promote products derived from this software without specific prior written permission] this software is provided by the copyright "
+    "holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and "
+    "fitness for a particular purpose are disclaimed",
+    "gpl-notice": "this program is free software [you can redistribute it and or modify it under the terms of the gnu] general public license as published by the "
+    "free software foundation either version 3 of the license or at your option any later version this program is [distributed in the hope that it "
+    "will be useful but without any warranty] without even the implied warranty of merchantability or fitness for a particular purpose see the gnu "
+    "general public license for more details [you should have received a copy of the gnu] general public license along with this program",
+    "isc-text": "[permission to use copy modify and or distribute this software for any purpose] with or without fee is hereby granted provided that the above "
+    "copyright notice and this permission notice appear in all copies the software is provided as is and [the author disclaims all warranties with "
+    "regard to this software] including all implied warranties of merchantability and fitness in no event shall the author be liable for any special "
+    "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits",
+    "mit-text": "[permission is hereby granted free of charge to any person obtaining a copy of this software] and associated documentation files the software to "
+    "deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+    "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright "
+    "notice and this permission notice [shall be included in all copies or substantial portions of the software] the software is provided as is "
+    "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+    "noninfringement [in no event shall the authors or copyright holders be liable for any claim damages or other liability]",
+    "unlicense-text": "this is [free and unencumbered software released into the public domain] anyone is free to copy modify publish use compile sell or "
+    "distribute this software [either in source code form or as a compiled binary for any purpose commercial or non commercial] and by any means",
+    "zlib-text": "this software is provided as is without any express or implied warranty [in no event will the authors be held liable for any damages arising] "
+    "from the use of this software [permission is granted to anyone to use this software for any purpose] including commercial applications and to alter it and "
+    "redistribute it freely subject to the following restrictions",
+}
+#: Rare words that vote for a licence text, the least share of their weight in place, and how many words a key phrase may have moved.
+TEXT_VOTERS, LEAST_SHARE, MOVED = 8, 0.5, 40
 
 
 def phrases() -> dict[str, list[str]]:
     return {label: text.split() for label, text in (BASE | KEY_PHRASES).items()}
 
 
+def licence_texts() -> dict[str, tuple[list[str], list[tuple[int, list[str]]]]]:
+    """Each text's words, and its mandatory phrases with the place of their first word."""
+    out = {}
+    for label, text in LICENCE_TEXTS.items():
+        words, marked, start = [], [], 0
+        for word in text.split():
+            start = len(words) if word[0] == "[" else start
+            words.append(word.strip("[]"))
+            if word[-1] == "]":
+                marked.append((start, words[start:]))
+        out[label] = words, marked
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased words. ``lower`` differs from lower-casing A-Z within words of other letters, which no
     phrase holds, and where a Kelvin sign would become a letter k; such texts take the exact way."""
@@ -57,8 +108,8 @@ def words_of(text: Column) -> Column:
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
-    """Number of documents, and of those that hold each word of a key phrase; the driver gets one row a word."""
-    vocabulary = sorted({w for words in phrases().values() for w in words})
+    """Number of documents, and of those that hold each licence word; the driver gets one row a word."""
+    vocabulary = sorted({w for words in phrases().values() for w in words} | {w for words, _ in licence_texts().values() for w in words})
     held = F.array_intersect(words_of(F.col(text).cast("string")), F.array(*map(F.lit, vocabulary)))
     found = docs.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
     counts = {r.w: r.n for r in found}
@@ -68,8 +119,10 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row`` (all columns of ``docs`` as a struct) and ``found``: n_words, spans (label, start, end, base), score.
 
-    ``score`` is the largest share of a phrase's rare-word weight that stands in place in the file, 1 if a whole
-    phrase does. Null and empty texts have no words, no spans and score 0. Every place counts, overlapping or not.
+    ``score`` is the largest share of a template's rare-word weight that stands in place in the file, 1 if a whole
+    phrase does. The span of a licence text goes from its first key phrase to its last, at the first place where they stand together.
+    Null and empty texts have no words, no spans and score 0. Every place counts, overlapping or not. Texts are searched whole, however
+    long; repeated rows are rows of their own; an empty table gives no rows.
     """
     n_docs, frequency = document_frequencies(docs, text)
     weight = {w: math.log((n_docs + 1) / (n + 0.5)) for w, n in frequency.items()}
@@ -77,7 +130,14 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     for label, words in phrases().items():
         order = sorted(range(len(words)), key=lambda i: (-weight[words[i]], words[i], i))[:VOTERS]
         index[label] = (words, order)
-    rare = sorted({words[i] for words, order in index.values() for i in order[:1]})
+    whole = {}
+    for label, (words, marked) in licence_texts().items():
+        order = sorted(range(len(words)), key=lambda i: (-weight[words[i]], words[i], i))[:TEXT_VOTERS]
+        keys = [(at, key, sorted(range(len(key)), key=lambda i: (-weight[key[i]], key[i], i))[:VOTERS]) for at, key in marked]
+        whole[label] = words, order, keys
+    rare = {words[i] for words, order in index.values() for i in order[:1]}
+    rare |= {words[i] for words, order, _ in whole.values() for i in order} | {key[order[0]] for *_, keys in whole.values() for _, key, order in keys}
+    rare = sorted(rare)
 
     def look_up(w: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(rare))
@@ -86,18 +146,74 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         def at(i: Column, word: str) -> Column:
             return F.coalesce(F.get(w, i) == word, F.lit(False))
 
+        def votes_of(p: Column, words: list[str], place: int) -> Column:
+            """Where a template would start by the places of one of its words."""
+            return F.transform(F.filter(p, lambda i: at(i, words[place])), lambda i: i - place)
+
+        def starts_of(p: Column, words: list[str], place: int) -> Column:
+            return F.filter(votes_of(p, words, place), lambda s: s >= 0)
+
+        def moved(found: Column, s: Column, place: int) -> Column:
+            """The starts of a key phrase near its place in a text that starts at ``s``."""
+            return F.filter(found, lambda k: F.abs(k - s - place) <= MOVED)
+
+        def all_at(s: Column, words: list[str], places: list[int]) -> Column:
+            out = F.lit(True)
+            for i in places:
+                out = out & at(s + i, words[i])
+            return out
+
+        def standing(p: Column, words: list[str], order: list[int]) -> Column:
+            """The starts at which all words of a phrase stand, the rarest looked at first."""
+            rest = sorted(set(range(len(words))) - set(order))
+            voted = F.filter(starts_of(p, words, order[0]), lambda s: all_at(s, words, order[1:]))
+            return F.filter(voted, lambda s: all_at(s, words, rest))
+
+        def of_text(p: Column, label: str, words: list[str], order: list[int], keys: list) -> Column:
+            """The span of a licence text, if it is there, and the largest weight share of its rare words in place."""
+            total = sum(weight[words[i]] for i in order)
+
+            def share(s: Column) -> Column:
+                out = F.lit(0.0)
+                for i in order:
+                    out = out + F.when(at(s + i, words[i]), F.lit(weight[words[i]] / total)).otherwise(F.lit(0.0))
+                return out
+
+            # the text itself may start before the file does, so places below zero vote too
+            votes = F.array_distinct(F.flatten(F.array(*[votes_of(p, words, i) for i in order])))
+
+            def judged(shares: Column) -> Column:
+                backed = F.transform(F.filter(shares, lambda x: x["share"] >= LEAST_SHARE - 1e-12), lambda x: x["s"])
+
+                def verified(b: Column) -> Column:
+                    found = F.array(*[standing(p, key, voters) for _, key, voters in keys])
+
+                    def near(f: Column) -> Column:
+                        def together(s: Column) -> Column:
+                            out = F.lit(True)
+                            for n, (place, _, _) in enumerate(keys):
+                                out = out & (F.size(moved(f[n], s, place)) > 0)
+                            return out
+
+                        first, last = keys[0], keys[-1]
+                        begin = lambda s: F.array_min(moved(f[0], s, first[0]))
+                        end = lambda s: F.array_max(moved(f[len(keys) - 1], s, last[0])) + len(last[1])
+                        whole_at = F.slice(F.array_sort(F.filter(b, together)), 1, 1)
+                        return F.transform(whole_at, lambda s: F.struct(F.lit(label).alias("label"), begin(s).cast("int").alias("start"), end(s).cast("int").alias("end"), F.lit(False).alias("base")))
+
+                    return let(found, near)
+
+                none = F.array().cast("array<struct<label:string,start:int,end:int,base:boolean>>")
+                spans = F.when(F.size(backed) > 0, let(backed, verified)).otherwise(none)
+                return F.struct(spans.alias("spans"), F.array_max(F.transform(shares, lambda x: x["share"])).alias("share"))
+
+            return let(F.transform(votes, lambda s: F.struct(s.alias("s"), share(s).alias("share"))), judged)
+
         def of_phrase(p: Column, label: str, words: list[str], order: list[int]) -> tuple[Column, Column | None]:
             """Spans of a phrase, and the largest weight share of its rare words in place."""
             anchor, others = order[0], order[1:]
             total = sum(weight[words[i]] for i in order)
-            starts = F.transform(F.filter(p, lambda i: at(i, words[anchor])), lambda i: i - anchor)
-            starts = F.filter(starts, lambda s: s >= 0)
-
-            def all_at(s: Column, places: list[int]) -> Column:
-                out = F.lit(True)
-                for i in places:
-                    out = out & at(s + i, words[i])
-                return out
+            starts = starts_of(p, words, anchor)
 
             def share(s: Column) -> Column:
                 out = F.lit(weight[words[anchor]] / total)
@@ -108,18 +224,21 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             def span(s: Column) -> Column:
                 return F.struct(F.lit(label).alias("label"), s.alias("start"), (s + len(words)).alias("end"), F.lit(label in BASE).alias("base"))
 
-            voted = F.filter(starts, lambda s: all_at(s, others))
-            verified = F.filter(voted, lambda s: all_at(s, sorted(set(range(len(words))) - set(order))))
             # one word of two in place tells nothing
-            return F.transform(verified, span), F.array_max(F.transform(starts, share)) if len(words) > 2 else None
+            return F.transform(standing(p, words, order), span), F.array_max(F.transform(starts, share)) if len(words) > 2 else None
 
         def match(p: Column) -> Column:
             found = [of_phrase(p, label, words, order) for label, (words, order) in index.items()]
-            partial = F.coalesce(F.greatest(*[x for _, x in found if x is not None]), F.lit(0.0))
             none = F.array().cast("array<struct<label:string,start:int,end:int,base:boolean>>")
             nothing = F.struct(none.alias("spans"), F.lit(0.0).alias("partial"))
-            spans = F.concat(*[x for x, _ in found])
-            return F.when(F.size(p) == 0, nothing).otherwise(F.struct(spans.alias("spans"), partial.alias("partial")))
+
+            def joined(texts: Column) -> Column:
+                shares = F.concat(F.array(*[x for _, x in found if x is not None]), F.transform(texts, lambda t: t["share"]))
+                spans = F.concat(*[x for x, _ in found], F.flatten(F.transform(texts, lambda t: t["spans"])))
+                return F.struct(spans.alias("spans"), F.coalesce(F.array_max(shares), F.lit(0.0)).alias("partial"))
+
+            texts = F.array(*[of_text(p, label, *parts) for label, parts in whole.items()])
+            return F.when(F.size(p) == 0, nothing).otherwise(let(texts, joined))
 
         def result(m: Column) -> Column:
             score = F.when(F.size(m["spans"]) > 0, F.lit(1.0)).otherwise(F.least(F.lit(0.99), m["partial"]))
@@ -151,11 +270,16 @@ def oracle() -> str:
     """The same result in DuckDB: weights from counts, then every phrase at every place."""
     items = [(label, text) for label, text in (BASE | KEY_PHRASES).items()]
     values = ", ".join(f"('{label}', '{text}', {label in BASE})" for label, text in items)
+    texts = licence_texts()
+    whole = ", ".join(f"('{label}', '{' '.join(words)}', {len(keys)})" for label, (words, keys) in texts.items())
+    keys = ", ".join(f"('{label}', {n}, {at}, '{' '.join(key)}')" for label, (_, marked) in texts.items() for n, (at, key) in enumerate(marked))
     return f"""
 WITH p AS (SELECT label, string_split(text, ' ') AS pw, base FROM (VALUES {values}) v(label, text, base)),
+lt AS (SELECT label, string_split(text, ' ') AS pw, n_keys FROM (VALUES {whole}) v(label, text, n_keys)),
+lk AS (SELECT label, n, place, string_split(text, ' ') AS kw FROM (VALUES {keys}) v(label, n, place, text)),
 d AS (SELECT row_number() OVER () AS id, doc_id,
   list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{NOT_WORDS}'), lambda x: x <> '') AS w FROM documents),
-voc AS (SELECT DISTINCT unnest(pw) AS word FROM p),
+voc AS (SELECT DISTINCT unnest(pw) AS word FROM p UNION SELECT DISTINCT unnest(pw) FROM lt),
 tok AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
 hit AS (SELECT t.* FROM tok t SEMI JOIN voc USING (word)),
 df AS (SELECT word, count(DISTINCT id) AS n FROM voc LEFT JOIN hit USING (word) GROUP BY word),
@@ -169,9 +293,17 @@ sh AS (SELECT sp.id, sp.label, sp.s, sum(CASE WHEN h.word IS NOT NULL THEN pr.we
   FROM sp JOIN pr ON pr.label = sp.label AND r <= {VOTERS} JOIN tot ON tot.label = sp.label
   LEFT JOIN hit h ON h.id = sp.id AND h.pos = sp.s + pr.o AND h.word = pr.word
   WHERE len(sp.pw) > 2 GROUP BY ALL),
-best AS (SELECT id, max(share) AS share FROM sh GROUP BY id),
+tw AS (SELECT label, unnest(pw) AS word, generate_subscripts(pw, 1) - 1 AS o FROM lt),
+tr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, word, o) AS r FROM tw JOIN wt USING (word)) WHERE r <= {TEXT_VOTERS}),
+tt AS (SELECT label, sum(weight) AS total FROM tr GROUP BY label),
+ts AS (SELECT h.id, tr.label, h.pos - tr.o AS s, sum(tr.weight) / any_value(total) AS share FROM tr JOIN hit h USING (word) JOIN tt USING (label) GROUP BY ALL),
+ks AS (SELECT DISTINCT h.id, lk.label, lk.n, lk.place, h.pos AS k FROM lk JOIN hit h ON h.word = lk.kw[1] JOIN d ON d.id = h.id WHERE d.w[h.pos:h.pos + len(kw) - 1] = kw),
+tb AS (SELECT DISTINCT id, label FROM (SELECT ts.id, ts.label, s FROM ts JOIN ks ON ks.id = ts.id AND ks.label = ts.label JOIN lt ON lt.label = ts.label
+  WHERE share >= {LEAST_SHARE} - 1e-12 AND abs(k - s - place) <= {MOVED} GROUP BY ts.id, ts.label, s, n_keys HAVING count(DISTINCT n) = n_keys)),
+best AS (SELECT id, max(share) AS share FROM (SELECT id, share FROM sh UNION ALL SELECT id, share FROM ts) GROUP BY id),
+al AS (SELECT id, label, base, s, true AS phrase FROM sp WHERE whole UNION ALL SELECT id, label, false, NULL, false FROM tb),
 agg AS (SELECT id, count(*) FILTER (base) AS n_base, min(s - 1) FILTER (base) AS f, max(s - 1) FILTER (base) AS l,
-  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS al FROM sp WHERE whole GROUP BY id)
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS al FROM al GROUP BY id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
   coalesce(bl, '') AS base_labels, coalesce(al, '') AS labels,
   round(CASE WHEN al IS NOT NULL THEN 1.0::DOUBLE ELSE least(0.99::DOUBLE, coalesce(share, 0)) END, 9) AS score
