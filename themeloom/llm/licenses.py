@@ -130,14 +130,19 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     for label, words in phrases().items():
         order = sorted(range(len(words)), key=lambda i: (-weight[words[i]], words[i], i))[:VOTERS]
         index[label] = (words, order)
-    whole = {}
-    for label, (words, marked) in licence_texts().items():
-        order = sorted(range(len(words)), key=lambda i: (-weight[words[i]], words[i], i))[:TEXT_VOTERS]
-        keys = [(at, key, sorted(range(len(key)), key=lambda i: (-weight[key[i]], key[i], i))[:VOTERS]) for at, key in marked]
-        whole[label] = words, order, keys
     rare = {words[i] for words, order in index.values() for i in order[:1]}
-    rare |= {words[i] for words, order, _ in whole.values() for i in order} | {key[order[0]] for *_, keys in whole.values() for _, key, order in keys}
-    rare = sorted(rare)
+    # the postings of the texts' rare words and their key phrases, as data
+    posted: dict[str, list[Column]] = {}
+    keys, names = [], list(licence_texts())
+    for t, (words, marked) in enumerate(licence_texts().values()):
+        order = sorted(range(len(words)), key=lambda i: (-weight[words[i]], words[i], i))[:TEXT_VOTERS]
+        total = sum(weight[words[i]] for i in order)
+        for i in order:
+            posted.setdefault(words[i], []).append(F.struct(F.lit(t).alias("t"), F.lit(i).alias("o"), F.lit(weight[words[i]] / total).alias("w")))
+        keys.append(F.array(*[F.struct(F.lit(at).alias("place"), F.array(*map(F.lit, key)).alias("words")) for at, key in marked]))
+    postings = F.create_map(*[x for word, held in posted.items() for x in (F.lit(word), F.array(*held))])
+    none_posted = F.array().cast("array<struct<t:int,o:int,w:double>>")
+    rare = sorted(rare | set(posted))
 
     def look_up(w: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(rare))
@@ -146,16 +151,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         def at(i: Column, word: str) -> Column:
             return F.coalesce(F.get(w, i) == word, F.lit(False))
 
-        def votes_of(p: Column, words: list[str], place: int) -> Column:
-            """Where a template would start by the places of one of its words."""
-            return F.transform(F.filter(p, lambda i: at(i, words[place])), lambda i: i - place)
-
         def starts_of(p: Column, words: list[str], place: int) -> Column:
-            return F.filter(votes_of(p, words, place), lambda s: s >= 0)
-
-        def moved(found: Column, s: Column, place: int) -> Column:
-            """The starts of a key phrase near its place in a text that starts at ``s``."""
-            return F.filter(found, lambda k: F.abs(k - s - place) <= MOVED)
+            """Where a phrase would start by the places of one of its words."""
+            found = F.transform(F.filter(p, lambda i: at(i, words[place])), lambda i: i - place)
+            return F.filter(found, lambda s: s >= 0)
 
         def all_at(s: Column, words: list[str], places: list[int]) -> Column:
             out = F.lit(True)
@@ -169,45 +168,46 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             voted = F.filter(starts_of(p, words, order[0]), lambda s: all_at(s, words, order[1:]))
             return F.filter(voted, lambda s: all_at(s, words, rest))
 
-        def of_text(p: Column, label: str, words: list[str], order: list[int], keys: list) -> Column:
-            """The span of a licence text, if it is there, and the largest weight share of its rare words in place."""
-            total = sum(weight[words[i]] for i in order)
+        def of_texts(p: Column) -> Column:
+            """``spans`` of the licence texts that are there, and the largest ``share`` of rare-word weight in place."""
 
-            def share(s: Column) -> Column:
-                out = F.lit(0.0)
-                for i in order:
-                    out = out + F.when(at(s + i, words[i]), F.lit(weight[words[i]] / total)).otherwise(F.lit(0.0))
-                return out
+            def vote(i: Column) -> Column:
+                held = F.coalesce(F.element_at(postings, F.get(w, i)), none_posted)
+                # a text may start before the file does, so places below zero vote too
+                return F.transform(held, lambda x: F.struct(x["t"].alias("t"), (i - x["o"]).alias("s"), x["w"].alias("w")))
 
-            # the text itself may start before the file does, so places below zero vote too
-            votes = F.array_distinct(F.flatten(F.array(*[votes_of(p, words, i) for i in order])))
+            def intersected(votes: Column) -> Column:
+                def share(g: Column) -> Column:
+                    same = F.filter(votes, lambda v: (v["t"] == g["t"]) & (v["s"] == g["s"]))
+                    total = F.aggregate(same, F.lit(0.0), lambda acc, v: acc + v["w"])
+                    return F.struct(g["t"].alias("t"), g["s"].alias("s"), total.alias("share"))
 
-            def judged(shares: Column) -> Column:
-                backed = F.transform(F.filter(shares, lambda x: x["share"] >= LEAST_SHARE - 1e-12), lambda x: x["s"])
+                return F.transform(F.array_distinct(F.transform(votes, lambda v: F.struct(v["t"].alias("t"), v["s"].alias("s")))), share)
 
-                def verified(b: Column) -> Column:
-                    found = F.array(*[standing(p, key, voters) for _, key, voters in keys])
+            def key_starts(c: Column, key: Column) -> Column:
+                """Where a key phrase stands, at most MOVED words from its place in the text."""
+                first = c["s"] + key["place"] - MOVED
+                near = F.sequence(F.greatest(first, F.lit(0)), F.greatest(first + 2 * MOVED, F.lit(0)))
+                return F.filter(near, lambda k: (k >= first) & (k <= first + 2 * MOVED) & (F.slice(w, k + 1, F.size(key["words"])) == key["words"]))
 
-                    def near(f: Column) -> Column:
-                        def together(s: Column) -> Column:
-                            out = F.lit(True)
-                            for n, (place, _, _) in enumerate(keys):
-                                out = out & (F.size(moved(f[n], s, place)) > 0)
-                            return out
+            def judged(shares: Column) -> Column:
+                held = F.array(*keys)
+                keys_of = lambda c: F.get(held, c["t"])
+                verified = F.filter(shares, lambda c: (c["share"] >= LEAST_SHARE - 1e-12) & F.forall(keys_of(c), lambda key: F.size(key_starts(c, key)) > 0))
 
-                        first, last = keys[0], keys[-1]
-                        begin = lambda s: F.array_min(moved(f[0], s, first[0]))
-                        end = lambda s: F.array_max(moved(f[len(keys) - 1], s, last[0])) + len(last[1])
-                        whole_at = F.slice(F.array_sort(F.filter(b, together)), 1, 1)
-                        return F.transform(whole_at, lambda s: F.struct(F.lit(label).alias("label"), begin(s).cast("int").alias("start"), end(s).cast("int").alias("end"), F.lit(False).alias("base")))
+                def spans(found: Column) -> Column:
+                    def span(t: Column) -> Column:
+                        c = F.array_min(F.filter(found, lambda x: x["t"] == t))
+                        last = F.element_at(keys_of(c), -1)
+                        begin, end = F.array_min(key_starts(c, F.get(keys_of(c), F.lit(0)))), F.array_max(key_starts(c, last)) + F.size(last["words"])
+                        label = F.get(F.array(*map(F.lit, names)), t)
+                        return F.struct(label.alias("label"), begin.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(False).alias("base"))
 
-                    return let(found, near)
+                    return F.transform(F.array_distinct(F.transform(found, lambda c: c["t"])), span)
 
-                none = F.array().cast("array<struct<label:string,start:int,end:int,base:boolean>>")
-                spans = F.when(F.size(backed) > 0, let(backed, verified)).otherwise(none)
-                return F.struct(spans.alias("spans"), F.array_max(F.transform(shares, lambda x: x["share"])).alias("share"))
+                return F.struct(let(verified, spans).alias("spans"), F.array_max(F.transform(shares, lambda x: x["share"])).alias("share"))
 
-            return let(F.transform(votes, lambda s: F.struct(s.alias("s"), share(s).alias("share"))), judged)
+            return let(let(F.flatten(F.transform(p, vote)), intersected), judged)
 
         def of_phrase(p: Column, label: str, words: list[str], order: list[int]) -> tuple[Column, Column | None]:
             """Spans of a phrase, and the largest weight share of its rare words in place."""
@@ -233,12 +233,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             nothing = F.struct(none.alias("spans"), F.lit(0.0).alias("partial"))
 
             def joined(texts: Column) -> Column:
-                shares = F.concat(F.array(*[x for _, x in found if x is not None]), F.transform(texts, lambda t: t["share"]))
-                spans = F.concat(*[x for x, _ in found], F.flatten(F.transform(texts, lambda t: t["spans"])))
+                shares = F.array(*[x for _, x in found if x is not None], texts["share"])
+                spans = F.concat(*[x for x, _ in found], texts["spans"])
                 return F.struct(spans.alias("spans"), F.coalesce(F.array_max(shares), F.lit(0.0)).alias("partial"))
 
-            texts = F.array(*[of_text(p, label, *parts) for label, parts in whole.items()])
-            return F.when(F.size(p) == 0, nothing).otherwise(let(texts, joined))
+            return F.when(F.size(p) == 0, nothing).otherwise(let(of_texts(p), joined))
 
         def result(m: Column) -> Column:
             score = F.when(F.size(m["spans"]) > 0, F.lit(1.0)).otherwise(F.least(F.lit(0.99), m["partial"]))
