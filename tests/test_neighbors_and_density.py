@@ -1,9 +1,10 @@
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from themeloom.operators import centroid, density, graph, neighbors
+from themeloom.operators import centroid, density, graph, metrics, neighbors, tiles
 from themeloom.operators.graph import DisjointSets
 
 
@@ -293,3 +294,54 @@ def test_ward_is_one_way_at_every_size(spark):
     assert len(set(got)) == 3
     with pytest.raises(ValueError):
         centroid.ward(table(spark, v), 3, micro=2)
+
+
+# ---- strips of tiles -------------------------------------------------------------------------
+
+
+@pytest.fixture
+def small_strips(monkeypatch):
+    monkeypatch.setattr(tiles, "STRIP_ROWS", 16)
+    monkeypatch.setattr(tiles, "STRIPS", 3)
+
+
+def test_strips_meet_once_and_move_a_fixed_number_of_times(spark, small_strips):
+    v = np.random.default_rng(3).normal(size=(150, 6))
+    grid = tiles.cell_tiles(table(spark, v), "doc_id", "reduced", tile_rows=5)
+
+    def count(left, right):
+        pairs = [(a.value("tile"), b.value("tile")) for a in left for b in right]
+        return pd.DataFrame({"pairs": [len(set(pairs))], "moved": [len(left) + len(right)]})
+
+    n = grid.tiles.count()
+    whole = tiles.meet_strips(grid.tiles, grid.tiles, count, "pairs long, moved long").groupBy().sum().first()
+    assert n > 20 and whole[0] == n * n and whole[1] == 2 * 3 * n
+    half = tiles.meet_strips(grid.tiles, grid.tiles, count, "pairs long, moved long", half=True).groupBy().sum().first()
+    assert n * n / 2 <= half[0] < n * n
+
+
+def test_neighbours_over_strips(spark, small_strips):
+    v = np.round(10 * blobs(8, (40, 50), 3))  # whole numbers: equal distances, copies
+    got = neighbors.knn_graph(table(spark, v), 4, vector="reduced", tile_rows=6).collect()
+    d = pairwise(v)
+    want = {(i, j) for i in range(len(v)) for j in sorted((x for x in range(len(v)) if x != i), key=lambda x: (round(d[i, x], 9), x))[:4]}
+    assert {(r.src, r.dst) for r in got} == want
+
+
+def test_dbscan_over_strips(spark, small_strips):
+    v = blobs(9, (40, 30, 25), 5, spread=0.4)
+    found = density.dbscan(table(spark, v), 1.1, 4, tile_rows=6)
+    assert [r.topic for r in found.orderBy("doc_id").collect()] == plain_dbscan(pairwise(v), 1.1, 4).tolist()
+
+
+def test_silhouette_over_strips(spark, small_strips):
+    v = blobs(10, (30, 40, 20), 4, noise=0)
+    t = np.repeat([0, 1, 2], (30, 40, 20))
+    rows = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, t))], "doc_id long, reduced array<double>, topic int")
+    d, sizes = pairwise(v), np.bincount(t)
+    means = np.stack([d[:, t == c].sum(1) / (sizes[c] - (t == c)) for c in range(3)], axis=1)
+    own = means[np.arange(len(v)), t]
+    means[np.arange(len(v)), t] = np.inf
+    far = means.min(axis=1)
+    got = metrics.silhouette(rows, tile_rows=4).first()[0]
+    assert got == pytest.approx(np.mean((far - own) / np.maximum(far, own)), abs=1e-9)

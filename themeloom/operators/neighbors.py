@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import distance, normalize
-from themeloom.operators.tiles import Block, CellTiles, block_squares, cell_tiles, collapse_copies, map_pairs, pair_distances
+from themeloom.operators.tiles import (
+    Block,
+    CellTiles,
+    batches_of,
+    block_squares,
+    cell_tiles,
+    collapse_copies,
+    gaps_to,
+    meet_strips,
+    pair_distances,
+)
 from themeloom.session import cut_lineage
 
 
@@ -31,46 +43,111 @@ def _nearest_in_block(a: Block, b: Block, k: int) -> pd.DataFrame | None:
     return pd.DataFrame({"src": a.ids[rows[keep]], "dst": b.ids[cols[keep]], "dist": exact[keep]})
 
 
+#: Rows of the right side that a tile meets at once.
+BATCH_ROWS = 2048
 EDGES = "src long, dst long, dist double"
 
 
+class _Nearest:
+    """The ``k`` nearest points found so far of every point of a tile (not itself), ties by id.
+
+    ``bound`` holds a distance per point that its ``k`` nearest do not exceed.
+    """
+
+    def __init__(self, a: Block, k: int, bound: np.ndarray):
+        self.a, self.k, self.bound = a, k, bound.copy()
+        self.pool = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def meet(self, ids: np.ndarray, vecs: np.ndarray) -> None:
+        origin = vecs.mean(axis=0)
+        a, b = self.a.vecs - origin, vecs - origin
+        left, right = (a * a).sum(1), (b * b).sum(1)
+        slack = 8.0 * (a.shape[1] + 4) * np.finfo(float).eps * (left.max() + right.max())
+        squares = a @ (-2.0 * b).T
+        squares += right[None, :]
+        edge = self.bound**2 * (1 + 1e-12) + slack - left
+        open_ = np.flatnonzero(~np.isfinite(self.bound))
+        if len(open_):
+            # one more than k, since the point itself may be among them; what rounding may have put behind the edge stays
+            width = min(self.k + 1, len(ids))
+            edge[open_] = np.partition(squares[open_], width - 1, axis=1)[:, width - 1] + 2 * slack
+        rows, cols = np.nonzero(squares <= edge[:, None])
+        other = self.a.ids[rows] != ids[cols]
+        rows, cols = rows[other], cols[other]
+        exact = np.empty(len(rows))
+        for low in range(0, len(rows), 100_000):
+            part = slice(low, low + 100_000)
+            exact[part] = pair_distances(self.a.vecs[rows[part]], vecs[cols[part]])
+        near = exact <= self.bound[rows]
+        if near.any():
+            self.waiting.append((rows[near], ids[cols[near]], exact[near]))
+            self.size += int(near.sum())
+        if self.size > 4 * len(self.a.ids) or len(open_):
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        rows, ids, exact = (np.concatenate(x) for x in zip(self.pool, *self.waiting))
+        order = np.lexsort((ids, exact, rows))
+        rows, ids, exact = rows[order], ids[order], exact[order]
+        starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+        place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+        last = place == self.k - 1
+        self.bound[rows[last]] = exact[last]
+        keep = place < self.k
+        self.pool, self.waiting, self.size = (rows[keep], ids[keep], exact[keep]), [], 0
+
+    def edges(self) -> pd.DataFrame:
+        self.settle()
+        rows, ids, exact = self.pool
+        return pd.DataFrame({"src": self.a.ids[rows], "dst": ids, "dist": exact})
+
+
+def _bounded(tiles: DataFrame, k: int) -> DataFrame:
+    """Tiles with ``kth``: per point the distance to its ``k``-th neighbour inside the tile (infinite if there is none)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                a = Block({f"a_{c}": v for c, v in row.items()}, "a")
+                found = _Nearest(a, k, np.full(len(a.ids), np.inf))
+                found.meet(a.ids, a.vecs)
+                out.append({"tile": row["tile"], "kth": found.bound.tobytes()})
+            yield pd.DataFrame(out)
+
+    return cut_lineage(tiles.join(tiles.select("tile", "ids", "vecs").mapInPandas(work, "tile long, kth binary"), "tile"))
+
+
+def _nearest_in_strips(left: list[Block], right: list[Block], k: int) -> pd.DataFrame:
+    """The k nearest points of the right tiles for each point of the left ones, as far as they lie within the bound ``kth``."""
+    out = []
+    for a in left:
+        found = _Nearest(a, k, a.extra("kth"))
+        gap = gaps_to(a, right)
+        order = np.argsort(gap, kind="stable")
+        for batch in batches_of([right[i] for i in order[gap[order] <= found.bound.max()]], BATCH_ROWS):
+            # bounds have shrunk since, and the tiles come by rising gaps
+            if gaps_to(a, batch[:1])[0] > found.bound.max():
+                break
+            found.meet(np.concatenate([b.ids for b in batch]), np.concatenate([b.vecs for b in batch]))
+        out.append(found.edges())
+    return pd.concat(out, ignore_index=True)
+
+
 def _nearest_distinct(grid: CellTiles, k: int) -> DataFrame:
     """``<src, dst, dist>``: the k nearest other points of every (distinct) point.
 
-    Round one works inside each tile and yields a distance bound per tile. Round two visits
-    only tiles that can hold something nearer: cell pairs are pruned by pivots, tile pairs by
-    centres and radii. Nothing is approximated.
+    A first pass works inside each tile and bounds every point's distances. Then strips of tiles meet; within them
+    tiles come by rising distance, are left out once they cannot hold anything nearer, and each strip returns at most ``k``
+    neighbours a point. Nothing is approximated.
     """
-    tiles = grid.tiles
-    same = tiles.select(F.col("tile").alias("a_tile"), F.col("tile").alias("b_tile"))
-    local = map_pairs(same, tiles, tiles, lambda a, b: _nearest_in_block(a, b, k), EDGES)
-    order = np.argsort(grid.spans(), axis=1)
-    reached = np.take_along_axis(grid.sizes[None, :].repeat(len(grid.cells), 0), order, 1).cumsum(axis=1)
-    first = np.minimum((reached < k + 1).sum(axis=1), len(grid.cells) - 1)
-    bound = np.take_along_axis(np.take_along_axis(grid.spans(), order, 1), first[:, None], 1)[:, 0]
-    near_cells = grid.cell_pairs(grid.gaps() <= bound[:, None], {"bound": bound[:, None].repeat(len(grid.cells), 1)})
-
-    def farthest(a: Block, b: Block) -> pd.DataFrame | None:
-        if len(a.ids) <= k:
-            return None
-        squares, slack = block_squares(a.vecs, a.vecs)
-        own = np.sqrt(np.partition(squares, k, axis=1)[:, k].max() + slack)
-        return pd.DataFrame({"a_tile": [a.value("tile")], "own": [float(own)]})
-
-    own = map_pairs(same, tiles, tiles, farthest, "a_tile long, own double")
-    heads = tiles.select("tile", "cell", "center", "radius")
-    left = heads.select(*[F.col(c).alias(f"a_{c}") for c in heads.columns]).join(own, "a_tile", "left")
-    right = heads.select(*[F.col(c).alias(f"b_{c}") for c in heads.columns])
-    gap = distance(F.col("a_center"), F.col("b_center")) - F.col("a_radius") - F.col("b_radius")
-    pairs = (
-        left.join(near_cells, "a_cell").join(right, "b_cell")
-        .filter(F.col("a_tile") != F.col("b_tile"))
-        .filter(gap <= F.least(F.col("bound"), F.coalesce("own", "bound")) + 1e-9)
-    )
-    others = map_pairs(pairs, tiles, tiles, lambda a, b: _nearest_in_block(a, b, k), EDGES)
-    ranked = local.unionByName(others).withColumn(
-        "_r", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    )
+    tiles = _bounded(grid.tiles, k)
+    found = meet_strips(tiles, grid.tiles, lambda a, b: _nearest_in_strips(a, b, k), EDGES)
+    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst")))
     return ranked.filter(F.col("_r") <= k).drop("_r")
 
 

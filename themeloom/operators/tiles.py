@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from themeloom.functions.vectors import as_doubles
 from themeloom.operators.selection import shuffle_key
@@ -71,8 +72,9 @@ def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     are decided by their differences."""
     squares, slack = block_squares(a, b)
     slack += 4.0 * np.finfo(float).eps * eps * eps
-    inside = squares <= eps * eps
-    rows, cols = np.nonzero(np.abs(squares - eps * eps) <= slack)
+    inside = squares <= eps * eps + slack
+    sure = squares < eps * eps - slack
+    rows, cols = np.nonzero(inside ^ sure)
     for low in range(0, len(rows), 100_000):
         r, c = rows[low : low + 100_000], cols[low : low + 100_000]
         inside[r, c] = pair_distances(a[r], b[c]) <= eps
@@ -152,6 +154,73 @@ def map_pairs(
     return rows.mapInPandas(work, schema)
 
 
+#: Strips that a table of tiles is cut into where it meets another one, the rows below which one strip is enough, and the bytes of
+#: vectors that a strip may hold.
+STRIPS, STRIP_ROWS, STRIP_BYTES = 16, 1024, 1 << 26
+
+
+def _strips(tiles: DataFrame) -> int:
+    held = tiles.agg(F.count(F.lit(1)).alias("t"), F.sum("n").alias("n"), F.sum(F.length("vecs")).alias("b")).first()
+    rows, size = held["n"] or 0, held["b"] or 0
+    return max(1, min(held["t"], max(min(STRIPS, math.ceil(rows / STRIP_ROWS)), math.ceil(size / STRIP_BYTES))))
+
+
+def meet_strips(
+    left: DataFrame,
+    right: DataFrame,
+    fn: Callable[[list[Block], list[Block]], Iterator[pd.DataFrame] | pd.DataFrame | None],
+    schema: str,
+    half: bool = False,
+) -> DataFrame:
+    """Evaluate ``fn`` on every pair of a left and a right strip of tiles; it skips tile pairs that cannot contribute.
+
+    A tile moves once for each strip of the other side, whatever the number of tiles it meets, so with a fixed number of strips
+    the shuffle grows with the table. Once a strip would exceed STRIP_BYTES there are more of them. With ``half`` (both sides
+    the same table) each unordered pair of strips is evaluated once.
+    """
+    n_left, n_right = _strips(left), _strips(right)
+
+    def dealt(tiles: DataFrame, side: str, here: str, n_here: int, there: str, n_there: int) -> DataFrame:
+        others = F.explode(F.sequence(F.lit(0), F.lit(n_there - 1)))
+        found = prefixed(tiles, side).withColumn(here, F.pmod(F.xxhash64(f"{side}_tile"), F.lit(n_here)).cast("int")).withColumn(there, others)
+        return (found.filter("a_strip <= b_strip") if half else found).repartition(n_left * n_right, "a_strip", "b_strip")
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return empty
+        lists = [[Block(row, side) for row in pdf.to_dict("records")] for side, pdf in (("a", a), ("b", b))]
+        found = fn(*[sorted(blocks, key=lambda x: x.value("tile")) for blocks in lists])
+        return empty if found is None or not len(found) else found
+
+    empty = pd.DataFrame({f.name: [] for f in StructType.fromDDL(schema).fields})
+    grouped = [
+        dealt(left, "a", "a_strip", n_left, "b_strip", n_right).groupBy("a_strip", "b_strip"),
+        dealt(right, "b", "b_strip", n_right, "a_strip", n_left).groupBy("a_strip", "b_strip"),
+    ]
+    return grouped[0].cogroup(grouped[1]).applyInPandas(work, schema)
+
+
+def gaps_to(a: Block, others: list[Block]) -> np.ndarray:
+    """Lower bounds of the distances between the points of one tile and those of others."""
+    centers = np.array([b.value("center") for b in others], dtype=np.float64)
+    apart = pair_distances(np.asarray(a.value("center"), dtype=np.float64)[None, :], centers)
+    reach = a.value("radius") + np.array([b.value("radius") for b in others])
+    return apart - reach - 1e-9 * (1.0 + apart + reach)
+
+
+def batches_of(blocks: list[Block], rows: int) -> Iterator[list[Block]]:
+    """Consecutive tiles with about so many rows together."""
+    held, size = [], 0
+    for block in blocks:
+        held.append(block)
+        size += len(block.ids)
+        if size >= rows:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def meet_all(left: DataFrame, right: DataFrame, lanes: int) -> DataFrame:
     """Every pair of a left and a right tile, once: right tiles hash to lanes and left tiles
     visit each lane. For statistics that are defined over all pairs of points."""
