@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,15 +14,18 @@ from pyspark.sql.types import StructType
 from themeloom.functions.vectors import as_doubles, distance, normalize
 from themeloom.operators import graph
 from themeloom.operators.graph import DisjointSets, connected_components, consecutive, in_one_task, minimum_forest
-from themeloom.operators.neighbors import _nearest_distinct
+from themeloom.operators.neighbors import BATCH_ROWS, _nearest_distinct
 from themeloom.operators.selection import shuffle_key
 from themeloom.operators.tiles import (
     TILE_ROWS,
     Block,
     CellTiles,
+    batches_of,
     cell_tiles,
     collapse_copies,
+    gaps_to,
     map_pairs,
+    meet_strips,
     pack,
     within,
 )
@@ -79,17 +83,10 @@ def _adjacent(df: DataFrame, width: int) -> DataFrame:
     return df
 
 
-def _near_pairs(left: DataFrame, right: DataFrame, eps: float, width: int) -> DataFrame:
-    """Tile pairs in equal or adjacent grid cells whose balls come within eps."""
-    here = left.select(
-        F.col("tile").alias("a_tile"), F.col("center").alias("a_center"), F.col("radius").alias("a_radius"), "cell"
-    )
-    there = right.select(
-        F.col("tile").alias("b_tile"), F.col("center").alias("b_center"), F.col("radius").alias("b_radius"), "cell"
-    )
-    gap = distance(F.col("a_center"), F.col("b_center")) - F.col("a_radius") - F.col("b_radius")
-    near = _adjacent(here, width).join(there, "cell").filter(gap <= eps * (1 + 1e-9))
-    return near.select("a_tile", "b_tile")
+def _within_reach(a: Block, others: list[Block], eps: float) -> Iterator[list[Block]]:
+    """Batches of the tiles whose balls come within eps of a tile's own."""
+    gap = gaps_to(a, others)
+    return batches_of([b for b, g in zip(others, gap) if g <= eps * (1 + 1e-9)], BATCH_ROWS)
 
 
 def _undecided(tiles: DataFrame, width: int) -> DataFrame:
@@ -100,13 +97,29 @@ def _undecided(tiles: DataFrame, width: int) -> DataFrame:
     return tiles.join(around.filter("low < high").select("cell"), "cell", "left_semi")
 
 
-def _forest_in_block(rows: np.ndarray, cols: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame | None:
-    """Links between groups, cut down to a spanning forest."""
-    links = np.unique(np.stack([np.minimum(a[rows], b[cols]), np.maximum(a[rows], b[cols])], axis=1), axis=0)
-    links = links[links[:, 0] != links[:, 1]]
-    sets = DisjointSets()
-    kept = [(u, v) for u, v in links.tolist() if sets.union(u, v)]
-    return pd.DataFrame(kept, columns=["u", "v"]) if kept else None
+def _links_in_strips(left: list[Block], right: list[Block], eps: float) -> pd.DataFrame | None:
+    """Links between nodes within eps of each other, cut down to a spanning forest. Nodes that the strips have already
+    linked count as one, so places that are settled cost nothing more."""
+    nodes = np.unique(np.concatenate([b.extra("node", np.int64) for b in left + right]))
+    at = {id(b): np.searchsorted(nodes, b.extra("node", np.int64)) for b in left + right}
+    home, kept = np.arange(len(nodes)), []
+    for a in left:
+        for batch in _within_reach(a, right, eps):
+            ga, gb = home[at[id(a)]], home[np.concatenate([at[id(b)] for b in batch])]
+            if (ga == ga[0]).all() and (gb == ga[0]).all():
+                continue
+            rows, cols = np.nonzero(within(a.vecs, np.concatenate([b.vecs for b in batch]), eps) & (ga[:, None] != gb[None, :]))
+            if not len(rows):
+                continue
+            links = np.unique(np.minimum(ga[rows], gb[cols]) * len(nodes) + np.maximum(ga[rows], gb[cols]))
+            sets = DisjointSets()
+            new = [(u, v) for u, v in zip((links // len(nodes)).tolist(), (links % len(nodes)).tolist()) if sets.union(u, v)]
+            kept += new
+            moved = np.arange(len(nodes))
+            for x in list(sets.parent):
+                moved[x] = sets.find(x)
+            home = moved[home]
+    return pd.DataFrame({"u": nodes[[u for u, _ in kept]], "v": nodes[[v for _, v in kept]]}) if kept else None
 
 
 def _measured(points: DataFrame, vector: str, metric: str) -> DataFrame:
@@ -154,28 +167,25 @@ def dbscan(
     everything = _grid_tiles(placed, "rep", "v", ("copies",), dims, side, rows)
     sparse = _grid_tiles(placed.filter("NOT crowded"), "rep", "v", ("copies",), dims, side, rows)
 
-    def reach(a: Block, b: Block) -> pd.DataFrame:
-        inside = within(a.vecs, b.vecs, eps)
-        return pd.DataFrame({"rep": a.ids, "part": inside @ b.extra("copies")})
-
-    counted = map_pairs(_near_pairs(sparse, everything, eps, len(dims)), sparse, everything, reach, "rep long, part double")
+    def reach(left: list[Block], right: list[Block]) -> pd.DataFrame:
+        out = []
+        for a in left:
+            part = np.zeros(len(a.ids))
+            for batch in _within_reach(a, right, eps):
+                part += within(a.vecs, np.concatenate([b.vecs for b in batch]), eps) @ np.concatenate([b.extra("copies") for b in batch])
+            out.append(pd.DataFrame({"rep": a.ids, "part": part}))
+        return pd.concat(out, ignore_index=True)
+
+    counted = meet_strips(sparse, everything, reach, "rep long, part double")
     dense = counted.groupBy("rep").agg(F.sum("part").alias("_n")).filter(F.col("_n") >= min_samples).select("rep")
     core = placed.filter("crowded").unionByName(placed.join(dense, "rep", "left_semi"))
     # Core points of one fine cell are within eps of each other: one node per fine cell.
     nodes = core.groupBy("crowd").agg(F.min("rep").alias("node"))
     core = cut_lineage(core.join(nodes, "crowd").select("rep", "v", "node"))
 
-    def link(a: Block, b: Block) -> pd.DataFrame | None:
-        ga, gb = a.extra("node", np.int64), b.extra("node", np.int64)
-        if len(ga) and (ga == ga[0]).all() and (gb == ga[0]).all():
-            return None
-        found = within(a.vecs, b.vecs, eps) & (ga[:, None] != gb[None, :])
-        return _forest_in_block(*np.nonzero(found), ga, gb)
-
     def linked(tiles: DataFrame) -> DataFrame:
         open_ = _undecided(tiles, len(dims))
-        pairs = _near_pairs(open_, open_, eps, len(dims)).filter("a_tile <= b_tile")
-        return map_pairs(pairs, tiles, tiles, link, "u long, v long")
+        return meet_strips(open_, open_, lambda a, b: _links_in_strips(a, b, eps), "u long, v long", half=True)
 
     def merged(core: DataFrame, roots: DataFrame) -> DataFrame:
         found = core.join(roots.withColumnRenamed("id", "node"), "node", "left")
@@ -191,17 +201,21 @@ def dbscan(
         settled = _grid_tiles(core, "rep", "v", ("node",), dims, side, rows)
     numbers = consecutive(core.select("node").distinct(), ["node"], out)
 
-    def lowest(a: Block, b: Block) -> pd.DataFrame | None:
-        inside = within(a.vecs, b.vecs, eps)
-        hit = inside.any(axis=1)
-        if not hit.any():
-            return None
-        node = b.extra("node", np.int64)
-        least = np.where(inside, node[None, :], np.iinfo(np.int64).max).min(axis=1)
-        return pd.DataFrame({"rep": a.ids[hit], "node": least[hit]})
-
-    border = map_pairs(_near_pairs(sparse, settled, eps, len(dims)), sparse, settled, lowest, "rep long, node long")
-    border = border.groupBy("rep").agg(F.min("node").alias("node")).join(core.select("rep"), "rep", "left_anti")
+    def lowest(left: list[Block], right: list[Block]) -> pd.DataFrame:
+        out = []
+        for a in left:
+            least = np.full(len(a.ids), np.iinfo(np.int64).max)
+            for batch in _within_reach(a, right, eps):
+                node = np.concatenate([b.extra("node", np.int64) for b in batch])
+                inside = within(a.vecs, np.concatenate([b.vecs for b in batch]), eps)
+                least = np.minimum(least, np.where(inside, node[None, :], np.iinfo(np.int64).max).min(axis=1))
+            hit = least < np.iinfo(np.int64).max
+            out.append(pd.DataFrame({"rep": a.ids[hit], "node": least[hit]}))
+        return pd.concat(out, ignore_index=True)
+
+    loose = _grid_tiles(placed.join(core.select("rep"), "rep", "left_anti"), "rep", "v", ("copies",), dims, side, rows)
+    border = meet_strips(loose, settled, lowest, "rep long, node long")
+    border = border.groupBy("rep").agg(F.min("node").alias("node"))
     labels = (
         core.select("rep", "node").unionByName(border).join(numbers, "node")
     ).select("rep", out)
