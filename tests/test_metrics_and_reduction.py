@@ -110,3 +110,17 @@ def test_spectral_layout_finds_leading_eigenvectors(spark):
     top = vectors[:, np.argsort(values)[::-1][:3]]
     inside = top @ (top.T @ got)
     assert np.linalg.norm(inside - got) < 0.05 * np.linalg.norm(got)
+
+
+def test_report_query_works_over_all_points(spark, tmp_path):
+    """More points than a sample would hold: the silhouette of the report is that over all of them."""
+    from themeloom.plans import catalog
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(2300, 3)) + rng.integers(0, 2, 2300)[:, None]
+    rows = [(i, x.tolist(), int(i % 3)) for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, "a text", "src0")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.metric: r.value for r in catalog.QUERIES["evaluation_report"](spark, str(tmp_path)).collect()}
+    v, t = v.astype(np.float32).astype(float), np.arange(2300) % 3
+    assert got["silhouette"] == pytest.approx(plain_silhouette(v, t), abs=1e-6) and "silhouette_error" not in got

@@ -520,7 +520,7 @@ def balance(spark, path):
 
 @query
 def evaluation_report(spark, path):
-    return metrics.as_report(metrics.evaluate(_both(spark, path))).withColumn("value", r6("value"))
+    return metrics.as_report(metrics.evaluate(_both(spark, path), exact=True)).withColumn("value", r6("value"))
 
 
 @query
