@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from themeloom.functions.vectors import as_doubles, distance, mean_vectors, norm, normalize, sum_vectors
 from themeloom.operators.reports import topic_sizes
 from themeloom.operators.selection import assigned, shuffle_key
-from themeloom.operators.tiles import TILE_ROWS, Block, block_distances, map_pairs, meet_all, pack
+from themeloom.operators.tiles import TILE_ROWS, Block, block_distances, map_pairs, meet_all, meet_strips, pack
 from themeloom.session import cut_lineage
 
 
@@ -47,7 +47,7 @@ def silhouette_samples(
     """``<key, topic, copies, a, b, s>`` per distinct vector of a topic, exactly.
 
     The measure is defined over all pairs, so its work is quadratic; what moves is one sum per
-    (point, tile). Copies inside a topic are one weighted point. See ``silhouette_squared``
+    (point, topic, strip) and a tile per strip. Copies inside a topic are one weighted point. See ``silhouette_squared``
     for the linear variant.
     """
     rows = tile_rows or TILE_ROWS
@@ -55,19 +55,18 @@ def silhouette_samples(
     packed = held.groupBy(topic, "_v").agg(F.min(key).alias(key), F.count(F.lit(1)).cast("double").alias("copies"))
     packed = cut_lineage(packed)
     tiles = _tile_points(packed, [topic], key, "_v", ("copies",), rows)
-    lanes = max(1, min(4096, tiles.count()))
-
-    def sums(a: Block, b: Block) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                key: a.ids,
-                "other": np.full(len(a.ids), b.value(topic), np.int32),
-                "part": block_distances(a.vecs, b.vecs) @ b.extra("copies"),
-            }
-        )
 
-    pairs = meet_all(tiles, tiles, lanes)
-    parts = map_pairs(pairs, tiles, tiles, sums, f"{key} long, other int, part double")
+    def sums(left: list[Block], right: list[Block]) -> pd.DataFrame:
+        out = []
+        for a in left:
+            found: dict[int, np.ndarray] = {}
+            for b in right:
+                part = block_distances(a.vecs, b.vecs) @ b.extra("copies")
+                found[b.value(topic)] = found[b.value(topic)] + part if b.value(topic) in found else part
+            out.extend(pd.DataFrame({key: a.ids, "other": np.full(len(a.ids), t, np.int32), "part": x}) for t, x in found.items())
+        return pd.concat(out, ignore_index=True)
+
+    parts = meet_strips(tiles, tiles, sums, f"{key} long, other int, part double")
     sizes = topic_sizes(held, topic).select(F.col(topic).alias("other"), "n")
     far = parts.groupBy(key, "other").agg(F.sum("part").alias("part")).join(sizes, "other")
     own = packed.select(key, topic, "copies")
