@@ -345,3 +345,10 @@ def test_silhouette_over_strips(spark, small_strips):
     far = means.min(axis=1)
     got = metrics.silhouette(rows, tile_rows=4).first()[0]
     assert got == pytest.approx(np.mean((far - own) / np.maximum(far, own)), abs=1e-9)
+
+
+def test_spanning_tree_over_strips(spark, small_strips):
+    v = blobs(11, (40, 50), 3)
+    tree = density.spanning_tree(table(spark, v), 3, tile_rows=6)[0].collect()
+    want = spanning(pairwise(v), cores(pairwise(v), 3))
+    assert len(tree) == len(v) - 1 and sum(r.w for r in tree) == pytest.approx(sum(w for _, _, w in want))

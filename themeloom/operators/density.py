@@ -265,9 +265,10 @@ def _pair_tree(a: Block, b: Block) -> pd.DataFrame | None:
 def _tree_edges(grid: CellTiles) -> DataFrame:
     """Edges that contain a minimum spanning tree of all points.
 
-    The union of the trees of all tile pairs contains one. A pair is skipped when every edge
-    across it is at least as heavy as the path its points already have through: own tile tree,
-    the tile's lead point, the cell's lead point and the spanning tree of cell leads.
+    The union of the trees of all tile pairs contains one; strips of tiles meet and return one
+    forest each. A pair is skipped when every edge across it is at least as heavy as the path its
+    points already have through: own tile tree, the tile's lead point, the cell's lead point and
+    the spanning tree of cell leads.
     """
     tiles = grid.tiles
     same = tiles.select(F.col("tile").alias("a_tile"), F.col("tile").alias("b_tile"))
@@ -302,22 +303,33 @@ def _tree_edges(grid: CellTiles) -> DataFrame:
     )
     hop = F.greatest(distance(F.col("lead"), F.col("cl")), "lead_core", "cl_core")
     heads = heads.join(cell_leads, "cell").withColumn("top", F.greatest("top", hop)).drop("lead", "lead_core", "cl", "cl_core")
-    tops = {r["cell"]: r["t"] for r in heads.groupBy("cell").agg(F.max("top").alias("t")).collect()}
-    top = np.array([tops[c] for c in grid.cells], dtype=float)
-    gaps = grid.gaps() * (1 - 1e-9)
-    needed = gaps < np.maximum(path, np.maximum(top[:, None], top[None, :]))
-    cells = grid.cell_pairs(needed, {"path": path, "cell_gap": gaps})
-    a = heads.select(*[F.col(c).alias(f"a_{c}") for c in heads.columns])
-    b = heads.select(*[F.col(c).alias(f"b_{c}") for c in heads.columns])
-    gap = distance(F.col("a_center"), F.col("b_center")) - F.col("a_radius") - F.col("b_radius")
-    floor = F.greatest(gap * (1 - 1e-9), "cell_gap", "a_low", "b_low")
-    pairs = (
-        a.join(cells, "a_cell")
-        .join(b, "b_cell")
-        .filter(F.col("a_tile") < F.col("b_tile"))
-        .filter(floor < F.greatest("a_top", "path", "b_top"))
-    )
-    return own.unionByName(map_pairs(pairs, tiles, tiles, _pair_tree, TREE))
+    tiles = cut_lineage(tiles.join(heads.select("tile", "low", "top"), "tile"))
+    gaps, place = grid.gaps() * (1 - 1e-9), {int(c): i for i, c in enumerate(grid.cells)}
+
+    def needed(a: Block, others: list[Block], near: np.ndarray) -> np.ndarray:
+        here, there = place[a.value("cell")], [place[b.value("cell")] for b in others]
+        low, top = (np.array([b.value(x) for b in others]) for x in ("low", "top"))
+        floor = np.maximum.reduce([near, gaps[here, there], np.full(len(others), a.value("low")), low])
+        return floor < np.maximum.reduce([path[here, there], np.full(len(others), a.value("top")), top])
+
+    def across(left: list[Block], right: list[Block]) -> pd.DataFrame | None:
+        twins = {a.value("tile") for a in left} == {b.value("tile") for b in right}
+        found = []
+        for a in left:
+            others = [b for b in right if not twins or a.value("tile") < b.value("tile")]
+            if others:
+                meeting = [b for b, use in zip(others, needed(a, others, gaps_to(a, others))) if use]
+                found += [_pair_tree(*sorted((a, b), key=lambda x: x.value("tile"))) for b in meeting]
+        return _forest(pd.concat(found, ignore_index=True)) if found else None
+
+    return own.unionByName(meet_strips(tiles, tiles, across, TREE, half=True))
+
+
+def _forest(edges: pd.DataFrame) -> pd.DataFrame:
+    """The minimum spanning forest of some edges, by (w, u, v)."""
+    edges = edges.drop_duplicates().sort_values(["w", "u", "v"])
+    sets = DisjointSets()
+    return edges[[sets.union(u, v) for u, v in zip(edges["u"].tolist(), edges["v"].tolist())]]
 
 
 def _bottlenecks(vecs: np.ndarray, core: np.ndarray) -> np.ndarray:
