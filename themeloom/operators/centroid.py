@@ -34,18 +34,15 @@ def kmeans_fit(
     parallelism: int = 4,
 ) -> tuple[KMeansModel, float]:
     """The best of several seeded runs, some at a time, and its inertia (sum of squared distances)."""
-    held = points.select(array_to_vector(as_doubles(F.col(vector))).alias("features")).persist()
+    held = points.select(array_to_vector(as_doubles(F.col(vector))).alias("features"))
 
+    # a run keeps the vectors themselves; over a stored table it would decode them anew in every step
     def one(run: int) -> tuple[float, int, KMeansModel]:
         model = KMeans(k=n_clusters, seed=seed + run, maxIter=max_iter, featuresCol="features").fit(held)
         return model.summary.trainingCost, run, model
 
-    try:
-        held.count()
-        with ThreadPoolExecutor(min(parallelism, restarts)) as pool:
-            runs = list(pool.map(inheritable_thread_target(held.sparkSession)(one), range(restarts)))
-    finally:
-        held.unpersist()
+    with ThreadPoolExecutor(min(parallelism, restarts)) as pool:
+        runs = list(pool.map(inheritable_thread_target(held.sparkSession)(one), range(restarts)))
     cost, _, best = min(runs, key=lambda r: r[:2])
     return best, cost
 
