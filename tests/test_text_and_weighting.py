@@ -105,3 +105,13 @@ def test_ranking_trims_before_the_shuffle(spark, docs):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "WindowGroupLimit" in plan
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_hash_vectors_hold_a_slice_of_words_at_a_time(spark, monkeypatch):
+    from themeloom.operators import embedding
+
+    texts = ["one two three four five six seven", "", "seven two", None, "three " * 40, "nine"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = embedding.hash_vectors(df).orderBy("doc_id").collect()
+    monkeypatch.setattr(embedding, "SLICE", 3)
+    assert embedding.hash_vectors(df).orderBy("doc_id").collect() == whole

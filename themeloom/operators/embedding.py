@@ -17,12 +17,14 @@ from themeloom.functions.text import first_words, tokens
 from themeloom.functions.vectors import as_doubles, normalize
 
 WIDTH = 64
+#: Words that are turned into vectors at once.
+SLICE = 65_536
 
 
 class _WordVectors:
     """Signed sums of the character 3-grams of words, each word worked out once per task."""
 
-    def __init__(self, width: int, limit: int = 200_000):
+    def __init__(self, width: int, limit: int = 100_000):
         self.width, self.limit, self.held = width, limit, {}
         # grams are few beside words: each is hashed once
         self.gram = lru_cache(limit)(lambda gram: _placed(gram, width))
@@ -30,7 +32,7 @@ class _WordVectors:
     def of(self, word: str) -> np.ndarray:
         found = self.held.get(word)
         if found is None:
-            found = np.zeros(self.width)
+            found = np.zeros(self.width, np.int32)
             framed = f"<{word}>"
             for i in range(len(framed) - 2):
                 place, sign = self.gram(framed[i : i + 3])
@@ -60,14 +62,18 @@ def hash_vectors(
         words = _WordVectors(width)
         for batch in batches:
             lists = batch.column(1).fill_null([])
-            parts = lists.flatten().dictionary_encode()
-            matrix = np.array([words.of(w) for w in parts.dictionary.to_pylist()]).reshape(-1, width)
-            at, sums = parts.indices.to_numpy(), np.zeros((len(batch), width))
-            ends = np.cumsum(lists.value_lengths().to_numpy())
-            for row, end in enumerate(ends):
-                start = ends[row - 1] if row else 0
-                for low in range(start, end, 10_000):
-                    sums[row] += matrix[at[low : min(end, low + 10_000)]].sum(0)
+            flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+            sums = np.zeros((len(batch), width))
+            # a slice of words at a time: what is held does not follow the length of the texts
+            for low in range(0, len(flat), SLICE):
+                parts = flat.slice(low, SLICE).dictionary_encode()
+                matrix, at = np.array([words.of(w) for w in parts.dictionary.to_pylist()]), parts.indices.to_numpy()
+                first, last = np.searchsorted(ends, [low, low + len(at) - 1], side="right")
+                for row in range(first, last + 1):
+                    start = max(ends[row - 1] if row else 0, low) - low
+                    end = min(ends[row] - low, len(at))
+                    for i in range(start, end, 10_000):
+                        sums[row] += matrix[at[i : min(end, i + 10_000)]].sum(0)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * width, pa.int32()), pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, out])
 
