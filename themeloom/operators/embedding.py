@@ -18,13 +18,13 @@ from themeloom.functions.vectors import as_doubles, normalize
 
 WIDTH = 64
 #: Words that are turned into vectors at once.
-SLICE = 65_536
+SLICE = 262_144
 
 
 class _WordVectors:
     """Signed sums of the character 3-grams of words, each word worked out once per task."""
 
-    def __init__(self, width: int, limit: int = 100_000):
+    def __init__(self, width: int, limit: int = 200_000):
         self.width, self.limit, self.held = width, limit, {}
         # grams are few beside words: each is hashed once
         self.gram = lru_cache(limit)(lambda gram: _placed(gram, width))
