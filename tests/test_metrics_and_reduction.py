@@ -112,6 +112,25 @@ def test_spectral_layout_finds_leading_eigenvectors(spark):
     assert np.linalg.norm(inside - got) < 0.05 * np.linalg.norm(got)
 
 
+def test_spectral_layout_in_many_strips_writes_once_a_restart(spark, monkeypatch):
+    """Strips of a few points, named by texts: the leading eigenvectors, without a table for every step."""
+    rng = np.random.default_rng(2)
+    place = np.concatenate([rng.normal(size=(20, 2)) + c for c in (0, 3, 9)])
+    apart = ((place[:, None] - place[None]) ** 2).sum(2)
+    w = np.where((apart < 4) | (np.abs(np.subtract.outer(range(60), range(60))) == 1), np.exp(-apart / 2) + 0.05, 0.0) * (1 - np.eye(60))
+    rows = [(f"p{i:02d}", f"p{j:02d}", float(w[i, j])) for i in range(60) for j in range(i) if w[i, j]]
+    written = []
+    monkeypatch.setattr(reduction, "cut_lineage", lambda df, cut=reduction.cut_lineage: written.append(1) or cut(df))
+    monkeypatch.setattr(reduction, "POINTS_LOW", 16)
+    laid = reduction.spectral_layout(spark.createDataFrame(rows, "u string, v string, w double"), 2, restarts=2, tolerance=1.0)
+    got = {r["id"]: r["reduced"] for r in laid.collect()}
+    assert len(written) < 9 and sorted(got) == [f"p{i:02d}" for i in range(60)]
+    s = w / np.sqrt(np.outer(w.sum(1), w.sum(1)))
+    top = np.linalg.eigh(s)[1][:, -3:]
+    found = np.array([got[i] for i in sorted(got)])
+    assert np.linalg.norm(top @ (top.T @ found) - found) < 0.05 * np.linalg.norm(found)
+
+
 def test_report_query_works_over_all_points(spark, tmp_path):
     """More points than a sample would hold: the silhouette of the report is that over all of them."""
     from themeloom.plans import catalog
