@@ -184,6 +184,19 @@ def test_gamma_functions():
     assert np.allclose(lda.digamma(x[1:]), [(math.lgamma(v + step * v) - math.lgamma(v - step * v)) / (2 * step * v) for v in x[1:]], rtol=1e-5, atol=1e-5)
 
 
+def test_lda_shares_do_not_depend_on_the_batch():
+    """A document at rest leaves, so its shares are those that it has when fitted alone."""
+    rng = np.random.default_rng(5)
+    logs = np.log(rng.dirichlet(np.full(40, 0.3), 4)).T
+    lists = [np.sort(rng.choice(40, size, replace=False)) for size in (2, 30, 0, 5, 40)]
+    counts = [rng.integers(1, 20, len(x)).astype(float) for x in lists]
+    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    gamma, parts, bound = lda.fit_shares(np.concatenate(lists).astype(int), np.concatenate(counts), doc, np.ones((5, 4)), logs, 0.25)
+    alone = [lda.fit_shares(x.astype(int), c, np.zeros(len(x), int), np.ones((1, 4)), logs, 0.25) for x, c in zip(lists, counts)]
+    assert np.allclose(gamma, np.concatenate([a[0] for a in alone]), rtol=1e-12)
+    assert np.allclose(parts, np.concatenate([a[1] for a in alone]), rtol=1e-12) and bound == pytest.approx(sum(a[2] for a in alone))
+
+
 def test_lda_finds_planted_topics(spark):
     rng = np.random.default_rng(3)
     vocab = [[f"{a}{a}{b}" for b in "abcdefghijkl"] for a in "xyz"]

@@ -69,23 +69,30 @@ def fit_shares(terms: np.ndarray, counts: np.ndarray, doc: np.ndarray, gamma: np
     Returns the shares, the topics' part of every cell, and the documents' part of the bound.
     """
     weights = np.exp(topic_logs)[terms]
-    has = np.unique(doc)
-    starts = np.searchsorted(doc, has)
+    has, sizes = np.unique(doc, return_counts=True)
     open_ = np.zeros(len(gamma), bool)
     open_[has] = True
     gamma[~open_] = alpha
     logs = digamma(gamma) - digamma(gamma.sum(1))[:, None]
-    for _ in range(STEPS):
-        shares = np.exp(logs)
-        norm = np.einsum("ij,ij->i", weights, shares[doc]) + 1e-300
-        sums = np.add.reduceat(weights * (counts / norm)[:, None], starts) if len(doc) else np.empty((0, gamma.shape[1]))
-        new = alpha + shares[has] * sums
-        change = np.abs(new - gamma[has]).mean(1)
-        gamma[has] = new
-        logs[has] = digamma(new) - digamma(new.sum(1))[:, None]
+    # the documents still fitted, the cells of each, and their place among them
+    at, cells, n, place = has, weights, counts, np.repeat(np.arange(len(has)), sizes)
+    for _ in range(STEPS if len(has) else 0):
+        shares = np.exp(logs[at])
+        norm = np.einsum("ij,ij->i", cells, shares[place]) + 1e-300
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        sums = np.add.reduceat(cells * (n / norm)[:, None], starts)
+        new = alpha + shares * sums
+        change = np.abs(new - gamma[at]).mean(1)
+        gamma[at] = new
+        logs[at] = digamma(new) - digamma(new.sum(1))[:, None]
         # documents at rest leave; the others go on
-        if (change < REST * np.maximum(1.0, new.mean(1))).all():
+        on = change >= REST * np.maximum(1.0, new.mean(1))
+        if not on.any():
             break
+        if not on.all():
+            kept = np.repeat(on, sizes)
+            at, sizes, cells, n = at[on], sizes[on], cells[kept], n[kept]
+            place = np.repeat(np.arange(len(at)), sizes)
     shares = np.exp(logs)
     norm = np.einsum("ij,ij->i", weights, shares[doc]) + 1e-300
     parts = weights * shares[doc] * (counts / norm)[:, None]
@@ -139,7 +146,8 @@ def _round(docs: DataFrame, key: str, topics: np.ndarray, alpha: float, first: b
             doc = np.repeat(np.arange(len(batch)), np.diff(batch.column("terms").offsets.to_numpy()))
             start = np.ones((len(batch), k)) if first else batch.column("gamma").flatten().to_numpy().reshape(-1, k).copy()
             gamma, parts, bound = fit_shares(terms, counts, doc, start, logs, alpha)
-            np.add.at(sums, terms, parts)
+            for j in range(k):
+                sums[:, j] += np.bincount(terms, parts[:, j], width)
             total += bound
             n = len(batch)
             made = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(gamma.ravel()))

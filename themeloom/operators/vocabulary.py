@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from themeloom.operators.weighting import explode_terms
 from themeloom.session import cut_lineage
 
-#: Terms in a summary at first; a task holds at most twice as many of them, and a batch's own.
+#: Terms in a summary at first; a task holds at most twice as many of them, and READ_AHEAD values.
 CAPACITY = 20_000
+#: Values that a task reads before it merges them into its summary.
+READ_AHEAD = 500_000
 #: Summaries of tasks meet in so many groups first.
 GROUPS = 64
 
@@ -49,12 +51,25 @@ def sketch(terms: DataFrame, capacity: int, column: str = "term") -> DataFrame:
         from pyspark import TaskContext
 
         held, taken = (np.empty(0, object), np.empty(0, np.int64)), 0
-        for batch in batches:
-            found = pc.value_counts(batch.column(0).drop_null())
+        waiting, size = [], 0
+
+        def take() -> None:
+            nonlocal held, taken
+            found = pc.value_counts(pa.chunked_array(waiting, pa.string()))
             part = found.field("values").to_numpy(zero_copy_only=False).astype(object), found.field("counts").to_numpy()
-            if len(part[0]):
-                *held, cut = merged([tuple(held), part], capacity)
-                taken += cut
+            *held, cut = merged([tuple(held), part], capacity)
+            taken += cut
+
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            if len(column):
+                waiting.append(column)
+                size += len(column)
+            if size >= READ_AHEAD:
+                take()
+                waiting, size = [], 0
+        if waiting:
+            take()
         # an empty term carries what was taken from all
         names = pa.array([*held[0], None], pa.string())
         yield pa.RecordBatch.from_arrays(
