@@ -519,3 +519,21 @@ def test_scaled_vectors_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links int")
     got = sorted(map(tuple, embedding_dedup.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (None, 2, 1, False), (3, 0, 3, True), (None, 0, None, False)], key=str)
+
+
+def test_quality_fit_makes_no_second_table_of_counts():
+    """The driver holds the counts of the labelled documents once."""
+    import tracemalloc
+
+    from themeloom.llm import quality_classifier as quality
+
+    rng = np.random.default_rng(0)
+    counts, labels = rng.poisson(0.3, (4000, quality.TERMS)).astype(float), np.arange(4000) % 2.0
+    first = quality.weighed(counts[:300], np.ones(quality.TERMS))
+    assert np.array_equal(first, quality.weigh(counts[:300].copy(), np.ones(quality.TERMS)))
+    size = counts.nbytes
+    tracemalloc.start()
+    model = quality.fit(counts, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.8 * size and model.axes.base is None and model.vectors.shape == (4000, quality.LATENT)

@@ -38,6 +38,10 @@ BINS, REMEMBERED = 1024, 200_000
 #: How much the words count beside the form.
 WORDS_SHARE = 0.3
 TERMS = FORM + BINS
+#: Rows of counts that are weighed at a time.
+ROWS = 256
+#: Partitions of the labelled rows, which come to the driver one at a time.
+PARTS = 8
 
 
 def class_table() -> np.ndarray:
@@ -95,10 +99,18 @@ def class_table_held() -> np.ndarray:
 
 def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF, the form of length one and the words of WORDS_SHARE; a block without terms stays zero."""
-    x = np.log1p(counts) * idf
-    for block in (slice(0, FORM), slice(FORM, TERMS)):
-        x[:, block] /= np.maximum(np.linalg.norm(x[:, block], axis=1), 1e-12)[:, None]
-    x[:, FORM:] *= WORDS_SHARE
+    return weigh(np.array(counts, np.float64), idf)
+
+
+def weigh(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """``weighed`` in place, some rows at a time, so that no second table of this size is made."""
+    for low in range(0, len(x), ROWS):
+        part = x[low : low + ROWS]
+        np.log1p(part, out=part)
+        part *= idf
+        for block in (slice(0, FORM), slice(FORM, TERMS)):
+            part[:, block] /= np.maximum(np.linalg.norm(part[:, block], axis=1), 1e-12)[:, None]
+        part[:, FORM:] *= WORDS_SHARE
     return x
 
 
@@ -111,7 +123,11 @@ class Model:
     prior: float
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        z = weighed(counts, self.idf) @ self.axes
+        return self.placed(weighed(counts, self.idf))
+
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        """Latent vectors of weighed rows."""
+        z = x @ self.axes
         return (z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]).astype(np.float32)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
@@ -128,16 +144,18 @@ class Model:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
-    """Latent vectors of labelled documents; without any, a model that answers one half."""
+    """Latent vectors of labelled documents; without any, a model that answers one half. ``counts`` (doubles) are weighed in place."""
     if not len(labels):
         return Model(np.ones(TERMS), np.zeros((TERMS, 0)), np.zeros((0, 0), np.float32), labels, 0.5)
-    idf = np.log((1 + len(labels)) / (1 + (counts > 0).sum(0))) + 1
+    met = sum((counts[low : low + ROWS] > 0).sum(0) for low in range(0, len(counts), ROWS))
+    idf = np.log((1 + len(labels)) / (1 + met)) + 1
     # one repeated word tells as much as many pairs of letters
     idf[CLASSES * CLASSES : CLASSES * CLASSES + 2] *= WORD_WEIGHT
-    x = weighed(counts, idf)
-    values, vectors = np.linalg.eigh(x.T @ x)
-    model = Model(idf, vectors[:, ::-1][:, : min(LATENT, len(labels))], np.zeros((0, 0)), labels, float(labels.mean()))
-    model.vectors = model.latent(counts)
+    x = weigh(counts, idf)
+    # a copy of the axes alone, not a view that keeps all vectors
+    axes = np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : min(LATENT, len(labels))])
+    model = Model(idf, axes, np.zeros((0, 0)), labels, float(labels.mean()))
+    model.vectors = model.placed(x)
     return model
 
 
@@ -171,10 +189,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # at most 2 * SAMPLE ids
     rows = rows.join(F.broadcast(picked), "doc_id").mapInArrow(count, "doc_id long, counts binary")
     # repeated rows of an id count once
-    rows = sorted({(r.doc_id, bytes(r.counts)) for r in rows.groupBy("doc_id").agg(F.min("counts").alias("counts")).collect()})
-    pairs = [(c, y) for d, c in rows for y in sorted(label_of[d])]
-    counts = np.array([np.frombuffer(c, "<f4") for c, _ in pairs], np.float64).reshape(-1, TERMS)
-    return fit(counts, np.array([y for _, y in pairs], float))
+    rows = rows.groupBy("doc_id").agg(F.min("counts").alias("counts"))
+    # a row for each label of an id, by id; rows come a partition at a time and are kept nowhere else
+    place, kept = {}, []
+    for d in sorted(label_of):
+        place[d] = len(kept)
+        kept += [(d, y) for y in sorted(label_of[d])]
+    counts, seen = np.zeros((len(kept), TERMS)), np.zeros(len(kept), bool)
+    for r in rows.coalesce(PARTS).toLocalIterator():
+        at = slice(place[r.doc_id], place[r.doc_id] + len(label_of[r.doc_id]))
+        counts[at], seen[at] = np.frombuffer(r.counts, "<f4"), True
+    labels_of_rows = np.array([y for _, y in kept], float)
+    return fit(counts, labels_of_rows) if seen.all() else fit(counts[seen], labels_of_rows[seen])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
