@@ -93,6 +93,39 @@ def test_ward_by_contraction_equals_plain_ward(spark, local):
     assert {(r.a, r.b) for r in tree} == {(a, b) for a, b, _ in want}
 
 
+def test_ward_search_compares_with_few_tiles(monkeypatch):
+    """One heavy cluster a tile is far from all others; only it may look beyond its own tile, not its light neighbours."""
+    rng = np.random.default_rng(11)
+    many, rows = 12, 40
+    vecs = rng.normal(size=(many, rows, 2)) + np.arange(many)[:, None, None] * [100.0, 0.0]
+    vecs[:, 0] += [0.0, 40.0]
+    size = np.ones((many, rows))
+    size[:, 0] = 50.0
+    ids = np.arange(many * rows).reshape(many, rows)
+    blocks = []
+    for i in range(many):
+        center = vecs[i].mean(axis=0)
+        row = {"tile": int(ids[i, 0]), "ids": ids[i].tobytes(), "vecs": vecs[i].tobytes(), "size": size[i].tobytes(), "search": np.ones(rows).tobytes()}
+        row |= {"center": center, "radius": float(np.sqrt(((vecs[i] - center) ** 2).sum(1)).max()), "light": 1.0}
+        here = contraction.Block({f"b_{k}": v for k, v in row.items()}, "b")
+        _, other, near = contraction._nearest_rows(ids[i], vecs[i], size[i], here)
+        blocks.append(row | {"near": near.tobytes(), "other": other.tobytes()})
+    met, plain = [], contraction.block_squares
+    monkeypatch.setattr(contraction, "block_squares", lambda a, b: met.append(len(a) * len(b)) or plain(a, b))
+    sides = [[contraction.Block({f"{side}_{k}": v for k, v in row.items()}, side) for row in blocks] for side in "ab"]
+    parts = [contraction._nearest_in_strips(sides[0], sides[1][low : low + 4]) for low in (0, 4, 8)]
+    got = {}
+    for part in parts:
+        for r in part.itertuples():
+            got[r.id] = min(got.get(r.id, (np.inf, -1)), (r.growth, r.other))
+    v, n = vecs.reshape(-1, 2), size.reshape(-1)
+    growth = ((v[:, None] - v[None]) ** 2).sum(2) * n[:, None] * n[None] / (n[:, None] + n[None])
+    np.fill_diagonal(growth, np.inf)
+    assert [got[i][1] for i in range(len(v))] == growth.argmin(axis=1).tolist()
+    # all pairs of different tiles would be (many - 1) * many * rows ** 2
+    assert sum(met) < 0.1 * many * (many - 1) * rows**2
+
+
 def test_ward_of_many_points_equals_one_task(spark):
     rng = np.random.default_rng(9)
     v = rng.normal(size=(2600, 2)) + rng.integers(0, 9, (2600, 1)) * 6

@@ -8,18 +8,22 @@ task goes on to the root. The tree is that of plain Ward; labels follow from its
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from themeloom.functions.vectors import distance
 from themeloom.operators.graph import connected_components, consecutive, in_one_task
-from themeloom.operators.tiles import Block, block_squares, cell_tiles, collapse_copies, map_pairs, meet_all
+from themeloom.operators.tiles import Block, block_squares, cell_tiles, collapse_copies, gaps_to, meet_strips, pair_distances
 from themeloom.session import cut_lineage
 
 #: Clusters that one task merges to the end, at most.
 LOCAL_CLUSTERS = 2000
+#: Tasks that search inside the tiles, at most.
+SEARCH_TASKS = 256
 
 NEAREST = "id long, other long, growth double"
 MERGES = "round int, place long, a long, b long, height double"
@@ -63,12 +67,8 @@ def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[:, None] * b[None, :] / (a[:, None] + b[None, :])
 
 
-def _nearest_in_block(a: Block, b: Block) -> pd.DataFrame | None:
-    """The nearest cluster of ``b`` by growth for each cluster of ``a`` that searches, ties by the smallest pair of ids."""
-    at = np.flatnonzero(a.extra("search") > 0)
-    if not len(at):
-        return None
-    ids, vecs, size = a.ids[at], a.vecs[at], a.extra("size")[at]
+def _nearest_rows(ids: np.ndarray, vecs: np.ndarray, size: np.ndarray, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, other, growth``: the nearest cluster of ``b`` for each row that has one, ties by the smallest pair of ids."""
     squares, slack = block_squares(vecs, b.vecs)
     joint = _joint(size, b.extra("size"))
     growth = squares * joint
@@ -77,52 +77,92 @@ def _nearest_in_block(a: Block, b: Block) -> pd.DataFrame | None:
     # all that rounding may have put behind the edge stay until the exact distance decides
     rows, cols = np.nonzero((growth <= edge[:, None] + 2 * slack * joint.max()) & np.isfinite(growth))
     if not len(rows):
-        return None
+        return rows, np.empty(0, np.int64), np.empty(0)
     exact = ((vecs[rows] - b.vecs[cols]) ** 2).sum(1) * joint[rows, cols]
     order = np.lexsort((np.maximum(ids[rows], b.ids[cols]), np.minimum(ids[rows], b.ids[cols]), exact, rows))
     first = order[np.r_[True, np.diff(rows[order]) > 0]]
-    return pd.DataFrame({"id": ids[rows[first]], "other": b.ids[cols[first]], "growth": exact[first]})
+    return rows[first], b.ids[cols[first]], exact[first]
+
+
+def _bounded(tiles: DataFrame) -> DataFrame:
+    """Tiles with ``light``, their least size, ``searching``, how many of their clusters search, and of each cluster that does
+    ``near`` and ``other``: the nearest one inside the tile (infinite and -1 if there is none)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = {"light": [], "searching": [], "near": [], "other": []}
+            for row in batch.to_dict("records"):
+                a = Block({f"a_{c}": v for c, v in row.items()}, "a")
+                at = np.flatnonzero(a.extra("search") > 0)
+                near, other = np.full(len(a.ids), np.inf), np.full(len(a.ids), -1, np.int64)
+                if len(at):
+                    rows, ids, growth = _nearest_rows(a.ids[at], a.vecs[at], a.extra("size")[at], a)
+                    near[at[rows]], other[at[rows]] = growth, ids
+                for name, value in (("light", float(a.extra("size").min())), ("searching", len(at)), ("near", near.tobytes()), ("other", other.tobytes())):
+                    out[name].append(value)
+            yield batch.assign(**out)
+
+    added = StructType.fromDDL("light double, searching long, near binary, other binary")
+    # small tables of tiles lie in a file or two
+    dealt = tiles.repartition(max(1, min(SEARCH_TASKS, tiles.count())), "tile")
+    return cut_lineage(dealt.mapInPandas(work, StructType(tiles.schema.fields + added.fields)))
+
+
+def _nearest_in_strips(left: list[Block], right: list[Block]) -> pd.DataFrame | None:
+    """The nearest cluster among the right tiles for each searching one of the left tiles, as far as it is nearer than the one in
+    its own tile; with its own tile among the right ones, for all that have one.
+
+    A cluster meets the tiles only that can offer a lesser growth, which is at least the square of its gap to the
+    tile times its joint weight with the lightest cluster there.
+    """
+    out = []
+    lights = np.array([b.value("light") for b in right])
+    for a in left:
+        at = np.flatnonzero(a.extra("search") > 0)
+        ids, vecs, size = a.ids[at], a.vecs[at], a.extra("size")[at]
+        near, other = a.extra("near")[at].copy(), a.extra("other", np.int64)[at].copy()
+        changed = np.full(len(at), any(b.value("tile") == a.value("tile") for b in right))
+        gap = gaps_to(a, right)
+        for i in np.argsort(gap, kind="stable"):
+            b = right[i]
+            if b.value("tile") == a.value("tile"):
+                continue
+            least = _joint(size, lights[i : i + 1])[:, 0]
+            rows = np.flatnonzero(max(gap[i], 0.0) ** 2 * least <= near * (1 + 1e-9))
+            if not len(rows):
+                continue
+            apart = pair_distances(vecs[rows], np.asarray(b.value("center"), dtype=np.float64)[None, :])
+            own = np.maximum(apart - b.value("radius") - 1e-9 * (1.0 + apart + b.value("radius")), 0.0)
+            rows = rows[own**2 * least[rows] <= near[rows] * (1 + 1e-9)]
+            if not len(rows):
+                continue
+            found, there, growth = _nearest_rows(ids[rows], vecs[rows], size[rows], b)
+            rows = rows[found]
+            low, high = np.minimum(ids[rows], there), np.maximum(ids[rows], there)
+            held_low, held_high = np.minimum(ids[rows], other[rows]), np.maximum(ids[rows], other[rows])
+            earlier = (low < held_low) | ((low == held_low) & (high < held_high))
+            better = (growth < near[rows]) | ((growth == near[rows]) & earlier)
+            rows = rows[better]
+            near[rows], other[rows], changed[rows] = growth[better], there[better], True
+        changed &= np.isfinite(near)
+        out.append(pd.DataFrame({"id": ids[changed], "other": other[changed], "growth": near[changed]}))
+    return pd.concat(out, ignore_index=True) if out else None
 
 
 def nearest_clusters(clusters: DataFrame, tile_rows: int | None = None) -> DataFrame:
     """``<id, other, growth>`` for the rows of ``clusters <id, center, size, search>`` with ``search > 0``.
 
-    Clusters are packed into tiles; a search inside each tile bounds what other tiles can still offer, and tiles
-    beyond the bound are left out: the growth between two tiles is at least the square of their gap times the joint weight of
-    their lightest clusters.
+    Clusters are packed into tiles; a search inside each tile bounds what other tiles can still offer each of its clusters. Then
+    strips of tiles meet, and a cluster is compared with those tiles only that its bound does not rule out.
     """
-    tiles = cell_tiles(clusters, "id", "center", ("size", "search"), tile_rows=tile_rows).tiles
-    same = tiles.select(F.col("tile").alias("a_tile"), F.col("tile").alias("b_tile"))
-    local = cut_lineage(map_pairs(same, tiles, tiles, _with_tile, "a_tile long, " + NEAREST))
-
-    def lightest(a: Block, b: Block) -> pd.DataFrame:
-        searching = int((a.extra("search") > 0).sum())
-        return pd.DataFrame({"tile": [a.value("tile")], "light": [float(a.extra("size").min())], "searching": [searching]})
-
-    heads = map_pairs(same, tiles, tiles, lightest, "tile long, light double, searching long")
-    bounds = local.groupBy(F.col("a_tile").alias("tile")).agg(F.max("growth").alias("bound"), F.count(F.lit(1)).alias("found"))
-    heads = heads.join(bounds, "tile", "left").join(tiles.select("tile", "center", "radius"), "tile")
-    # a tile in which some search found nothing has no bound
-    bound = F.when(F.col("found") == F.col("searching"), F.col("bound")).otherwise(float("inf"))
-    heads = cut_lineage(heads.withColumn("bound", bound))
-    left = heads.filter("searching > 0").select(*[F.col(c).alias(f"a_{c}") for c in ("tile", "center", "radius", "light", "bound")])
-    right = heads.select(*[F.col(c).alias(f"b_{c}") for c in ("tile", "center", "radius", "light")])
-    gap = F.greatest(distance(F.col("a_center"), F.col("b_center")) - F.col("a_radius") - F.col("b_radius"), F.lit(0.0))
-    joint = F.col("a_light") * F.col("b_light") / (F.col("a_light") + F.col("b_light"))
-    pairs = meet_all(left.select(F.col("a_tile").alias("tile")), right.select(F.col("b_tile").alias("tile")), max(1, min(4096, tiles.count())))
-    pairs = pairs.join(left, "a_tile").join(right, "b_tile").filter("a_tile <> b_tile").filter(gap * gap * joint <= F.col("a_bound") * (1 + 1e-9))
-    others = map_pairs(pairs, tiles, tiles, _nearest_in_block, NEAREST)
+    tiles = _bounded(cell_tiles(clusters, "id", "center", ("size", "search"), tile_rows=tile_rows).tiles)
+    found = meet_strips(tiles.filter("searching > 0"), tiles, _nearest_in_strips, NEAREST)
     best = F.min(F.struct("growth", F.least("id", "other").alias("low"), F.greatest("id", "other").alias("high")))
-    found = local.drop("a_tile").unionByName(others).groupBy("id").agg(best.alias("b"))
+    found = found.groupBy("id").agg(best.alias("b"))
     other = F.when(F.col("b.low") == F.col("id"), F.col("b.high")).otherwise(F.col("b.low"))
     return found.select("id", other.alias("other"), F.col("b.growth").alias("growth"))
 
 
-def _with_tile(a: Block, b: Block) -> pd.DataFrame | None:
-    found = _nearest_in_block(a, b)
-    return None if found is None else found.assign(a_tile=a.value("tile"))[["a_tile", "id", "other", "growth"]]
-
-
 def _joined(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
     """``clusters`` after the merges of ``pairs <a, b>``: the new centre is the weighted mean, under the smaller id."""
     home = clusters.join(pairs.select(F.col("b").alias("id"), "a"), "id", "left").withColumn("id", F.coalesce("a", "id"))
