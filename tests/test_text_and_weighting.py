@@ -1,5 +1,7 @@
 import math
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,25 @@ def test_hash_vectors_hold_a_slice_of_words_at_a_time(spark, monkeypatch):
     whole = embedding.hash_vectors(df).orderBy("doc_id").collect()
     monkeypatch.setattr(embedding, "SLICE", 3)
     assert embedding.hash_vectors(df).orderBy("doc_id").collect() == whole
+
+
+def test_ngrams_are_counted_in_chunks_before_the_shuffle(spark, monkeypatch):
+    rows = [(1, 0, "alpha beta gamma alpha beta"), (2, 0, "alpha beta"), (3, 5, "alpha"), (4, 5, ""), (5, 7, None), (6, -1, "beta beta"), (7, None, "gamma"), (8, 0, "beta gamma alpha beta")]
+    docs = spark.createDataFrame(rows, "doc_id long, topic int, text string").coalesce(1)
+    for low, high in ((1, 2), (2, 2), (1, 3), (2, 3)):
+        want = weighting.explode_terms(docs.filter("topic >= 0"), "text", ("topic",), (), (low, high), outer=True)
+        want = want.groupBy("topic", "term").agg(F.count("term").alias("n")).collect()
+        # also where a document is a chunk of its own
+        for chunk in (1 << 20, 1):
+            monkeypatch.setattr(weighting, "CHUNK_WORDS", chunk)
+            got = weighting.count_terms(docs, stop=(), ngram_range=(low, high))
+            assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want))
+    words = pa.array([["a", "b"], ["a", "b", "a", "b"], None, ["b"]], pa.list_(pa.string()))
+    table = weighting.ngram_table(pa.array(["x", "x", "y", "y"]).dictionary_encode(), words, 1, 2)
+    assert sorted(map(tuple, (r.values() for r in table.to_pylist())), key=str) == sorted(
+        [("x", "a", 3), ("x", "b", 3), ("x", "a b", 3), ("x", "b a", 1), ("y", None, 0), ("y", "b", 1)], key=str
+    )
+    # frequent n-grams reach the shuffle once a chunk, and no partial sums of single occurrences stand before it
+    plan = weighting.count_terms(docs, ngram_range=(1, 2))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange") :]
+    assert "HashAggregate" not in below and "Generate" not in below

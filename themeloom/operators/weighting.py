@@ -5,13 +5,22 @@ The topic x term matrix is a long table ``<topic, term, ...>``; it is never pivo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from themeloom.functions.text import drop_stop_words, ngrams, stop_words, tokens
 from themeloom.operators.selection import assigned
 from themeloom.session import cut_lineage
 
+#: Words whose n-grams are counted together before the shuffle, about; one document at least.
+CHUNK_WORDS = 1 << 20
+
 
 def explode_terms(
     docs: DataFrame,
@@ -49,10 +58,68 @@ def count_terms(
     ngram_range: tuple[int, int] = (1, 1),
 ) -> DataFrame:
     """``<topic, term, n>``. A topic without words keeps one row with a null term and n = 0."""
+    if ngram_range[1] > 1:
+        return _count_ngrams(docs, text, topic, stop, ngram_range)
     terms = explode_terms(assigned(docs, topic), text, (topic,), stop, ngram_range, outer=True)
     return terms.groupBy(topic, "term").agg(F.count("term").alias("n"))
 
 
+def ngram_table(topics: pa.DictionaryArray, words: pa.ListArray, low: int, high: int) -> pa.RecordBatch:
+    """``topic, term, n`` of some documents, given the topic and the words of each; a null term with n = 0 for those without one.
+
+    Words and topics are numbers here, and only distinct n-grams are spelt out.
+    """
+    size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = words.flatten().dictionary_encode()
+    word, spelt = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+    home = topics.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # words from each place to the end of its document
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(word))
+    none = np.unique(home[size < low])
+    found = [(none, pa.nulls(len(none), spelt.type), np.zeros(len(none), np.int64))]
+    topic_of = np.repeat(home, size)
+    code = topic_of.copy()
+    for length in range(1, high + 1):
+        at = np.flatnonzero(left >= length)
+        # a topic's n-gram is the one that is shorter by a word, and the next word
+        _, first, code[at], n = np.unique(code[at] * max(1, len(spelt)) + word[at + length - 1], return_index=True, return_inverse=True, return_counts=True)
+        if length >= low:
+            start = at[first]
+            parts = [spelt.take(pa.array(word[start + k])) for k in range(length)]
+            found.append((topic_of[start], pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0], n))
+    topic, term, n = zip(*found)
+    columns = [topics.dictionary.take(pa.array(np.concatenate(topic))), pa.concat_arrays(term), pa.array(np.concatenate(n), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["topic", "term", "n"])
+
+
+def _count_ngrams(docs: DataFrame, text: str, topic: str, stop: tuple[str, ...] | None, ngram_range: tuple[int, int]) -> DataFrame:
+    """``count_terms`` where most terms are n-grams that occur once: counting them before the shuffle in a table of all terms
+    that a task has seen costs more than it saves, so they are counted over about CHUNK_WORDS words at a time, which is
+    enough for a frequent one to come as one row for each of these."""
+    low, high = ngram_range
+    if low < 1 or high < low:
+        raise ValueError(f"bad n-gram range: ({low}, {high})")
+    words = drop_stop_words(tokens(text), stop_words() if stop is None else stop)
+    held = assigned(docs, topic).select(topic, words.alias("words"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topics, lists = pc.dictionary_encode(batch.column(0), null_encoding="encode"), batch.column(1)
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:
+                done = upto[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(upto, done + CHUNK_WORDS, "right")))
+                table = ngram_table(topics.slice(first, last - first), lists.slice(first, last - first), low, high)
+                yield table.rename_columns([topic, "term", "n"])
+                first = last
+
+    schema = StructType([held.schema[topic], StructField("term", StringType()), StructField("n", LongType())])
+    counts = held.mapInArrow(count, schema)
+    # dealt out before they are added up, so no task adds up twice
+    return counts.repartition(topic, "term").groupBy(topic, "term").agg(F.sum("n").alias("n"))
+
+
 def counted_terms(
     docs: DataFrame,
     text: str = "text",
