@@ -352,3 +352,17 @@ def test_spanning_tree_over_strips(spark, small_strips):
     tree = density.spanning_tree(table(spark, v), 3, tile_rows=6)[0].collect()
     want = spanning(pairwise(v), cores(pairwise(v), 3))
     assert len(tree) == len(v) - 1 and sum(r.w for r in tree) == pytest.approx(sum(w for _, _, w in want))
+
+
+def test_neighbours_reach_the_ranking_once_a_strip(spark):
+    """However many tiles there are, a strip returns at most k neighbours a point, which bounds what a task of the ranking holds."""
+    v = blobs(8, [150, 150], noise=0)
+    distinct = table(spark, v).withColumnRenamed("doc_id", "rep")
+    grid = tiles.cell_tiles(distinct, "rep", "reduced", tile_rows=15)
+    assert grid.tiles.count() >= 20
+    held = neighbors._bounded(grid.tiles, 5)
+    found = tiles.meet_strips(held, grid.tiles, lambda a, b: neighbors._nearest_in_strips(a, b, 5), neighbors.EDGES)
+    assert found.count() <= tiles._strips(grid.tiles) * 5 * len(v)
+    near = {(r.src, r.dst) for r in neighbors._nearest_distinct(grid, 5).collect()}
+    d = pairwise(v) + np.diag(np.full(len(v), np.inf))
+    assert near == {(i, int(j)) for i in range(len(v)) for j in np.argsort(d[i])[:5]}
