@@ -212,6 +212,38 @@ def test_scores_against_a_plain_loop():
     assert score_texts(w, v, text, np.array([75]), 2)[0] == pytest.approx(total, rel=1e-9)
 
 
+def test_attention_batches_with_and_without_first_windows():
+    """Gradients of a batch are the sums over its windows, whichever of them have an output from their first place on."""
+    rng = np.random.default_rng(4)
+    v = Vocabulary(rng.integers(0, 60, 200))
+    w = {k: x.astype(np.float64) for k, x in start(v.prior).items()}
+    ids, sizes = rng.integers(0, 200, 410), np.array([300, 1, 40, 3, 66])
+    target, before, _ = windows(ids, sizes, 2)
+    row, kind = np.append(v.row[ids], v.row[2]), v.kind[ids]
+    real = target >= 0
+    whole = gradients(w, row[before], np.where(real, kind[target], 0), real)
+    parts = [gradients(w, row[before[i : i + 1]], np.where(real, kind[target], 0)[i : i + 1], real[i : i + 1]) for i in range(len(real))]
+    for name in w:
+        assert np.allclose(sum(p[name] * r.sum() for p, r in zip(parts, real)) / real.sum(), whole[name], rtol=1e-9, atol=1e-14)
+
+
+def test_lm_cuts_each_text_to_ids_once(spark, monkeypatch):
+    """The model learns from the ids that it scores, which are the library's, and scoring reads no text."""
+    from tokenizers import Tokenizer
+
+    kept = {}
+    plain = lm_scoring.stored
+    monkeypatch.setattr(lm_scoring, "stored", lambda df, name="step": kept.setdefault(name, plain(df, name)))
+    texts = ["Some WORDS, and 12 more", "", None, "h\u0331 H\u0331 \u0130x caf\u00e9's don't", "a\x1cb c"] * 3
+    out = lm_scoring.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORD)
+    assert out.count() == len(texts)
+    held = Tokenizer.from_file(WORD)
+    held.encode_special_tokens = True
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in kept["encoded"].collect()}
+    assert got == {i: [*held.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert "text" not in kept["scored"].columns and set(kept) == {"word-counts", "encoded", "train-ids", "scored"}
+
+
 def test_attention_context():
     sizes = np.array([100, 1, 33, 32])
     target, before, text = windows(np.zeros(166, np.int64), sizes, 2)

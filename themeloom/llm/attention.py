@@ -8,6 +8,8 @@ distribution over all ids.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 WIDTH, WINDOW, STRIDE = 16, 32, 24
@@ -40,24 +42,88 @@ def start(prior: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
     return w | {"b": prior.astype(np.float32)}
 
 
+class Room:
+    """Arrays that are used again from batch to batch, by name: memory that is asked for anew costs more than the arithmetic on it."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size or self.held[name].dtype != dtype:
+            self.held[name] = np.empty(size, dtype)
+        return self.held[name][:size].reshape(shape)
+
+
 _EARLIER = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Places of a later window that were scored in the window before: they are read, and have no output.
+LEAD = WINDOW - STRIDE
+
+
+def _blocks(wide: int, whole: np.ndarray | None) -> list[tuple[np.ndarray | slice, int, int]]:
+    """Windows, first and last place of the places with an output: all from LEAD on, and those before in the windows marked ``whole``."""
+    if whole is None or wide <= LEAD or whole.all():
+        return [(slice(None), 0, wide)]
+    rest = [(slice(None), LEAD, wide)]
+    return rest + [(np.flatnonzero(whole), 0, LEAD)] if whole.any() else rest
+
+
+def _flat(m: np.ndarray) -> np.ndarray:
+    return m.reshape(-1, m.shape[-1])
+
+
+def _placed(values: np.ndarray, blocks: list) -> np.ndarray:
+    """One value a place of the blocks, in their order."""
+    parts = [values[at, low:high].reshape(-1) for at, low, high in blocks]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _cross(a: np.ndarray, b: np.ndarray, rows: int = 128) -> np.ndarray:
+    """``a.T @ b`` of two tall matrices, some rows at a time: one product of all rows is slower."""
+    cut = len(a) // rows * rows
+    out = a[cut:].T @ b[cut:]
+    if cut:
+        out += (a[:cut].reshape(-1, rows, a.shape[1]).transpose(0, 2, 1) @ b[:cut].reshape(-1, rows, b.shape[1])).sum(0)
+    return out
 
 
-def forward(w: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
-    """All values for windows of embedding rows, at most WINDOW wide; padding at the end changes nothing before it."""
-    wide = rows.shape[1]
-    x = w["e"][rows] + w["p"][:wide]
+def forward(w: dict[str, np.ndarray], rows: np.ndarray, whole: np.ndarray | None = None, room: Room | None = None) -> dict:
+    """All values for windows of embedding rows, at most WINDOW wide; padding at the end changes nothing before it.
+
+    ``h`` has an output for every place; with ``whole``, for the places of the blocks only, one after another, and 1 as a last column.
+    """
+    room, kind = room or Room(), w["e"].dtype
+    many, wide = rows.shape
+    x = np.take(w["e"], rows, axis=0, out=room("x", (many, wide, WIDTH), kind), mode="clip")
+    x += w["p"][:wide]
     # one product of two plain matrices is several times faster than one a window
-    qkv = (x.reshape(-1, WIDTH) @ np.concatenate([w["q"], w["k"], w["v"]], axis=1)).reshape(*x.shape[:2], 3, WIDTH)
-    q, k, v = (np.ascontiguousarray(qkv[:, :, i]) for i in range(3))
-    s = (q * np.float32(1 / np.sqrt(WIDTH))) @ k.transpose(0, 2, 1)
-    # bounded instead of shifted by the largest, which saves two passes
-    np.clip(s, -40, 40, out=s)
-    np.exp(s, out=s)
-    s *= _EARLIER[:wide, :wide]
-    s /= s.sum(2, keepdims=True)
-    c = s @ v
-    return {"x": x, "q": q, "k": k, "v": v, "a": s, "c": c, "h": x + (c.reshape(-1, WIDTH) @ w["o"]).reshape(x.shape)}
+    k = np.matmul(_flat(x), w["k"], out=room("k", (many * wide, WIDTH), kind)).reshape(x.shape)
+    # a last column of ones gives the sum of the weights
+    v = room("v", (many, wide, WIDTH + 1), kind)
+    v[:, :, WIDTH] = 1
+    np.matmul(_flat(x), w["v"], out=_flat(v)[:, :WIDTH])
+    blocks = _blocks(wide, whole)
+    places = [(many if isinstance(at, slice) else len(at)) * (high - low) for at, low, high in blocks]
+    y, c = (room(n, (sum(places), WIDTH), kind) for n in "yc")
+    done, parts = 0, []
+    for i, ((at, low, high), n) in enumerate(zip(blocks, places, strict=True)):
+        own = y[done : done + n].reshape(-1, high - low, WIDTH)
+        own[:] = x[at, low:high]
+        # WIDTH is a power of four, so the scale changes no digit
+        q = np.matmul(_flat(own), w["q"] * kind.type(1 / np.sqrt(WIDTH)), out=room(f"q{i}", (n, WIDTH), kind)).reshape(own.shape)
+        s = np.matmul(q, k[at, :high].transpose(0, 2, 1), out=room(f"s{i}", (*q.shape[:2], high), kind))
+        # bounded instead of shifted by the largest, which saves two passes
+        np.clip(s, -40, 40, out=s)
+        np.exp(s, out=s)
+        s *= _EARLIER[low:high, :high]
+        mixed = np.matmul(s, v[at, :high], out=room(f"m{i}", (*q.shape[:2], WIDTH + 1), kind))
+        np.divide(mixed[:, :, :WIDTH], mixed[:, :, WIDTH:], out=c[done : done + n].reshape(q.shape))
+        parts.append((at, low, high, done, done + n, q, s, 1 / mixed[:, :, WIDTH:]))
+        done += n
+    h = room("h", (done, WIDTH + 1), kind)
+    h[:, WIDTH] = 1
+    np.add(y, np.matmul(c, w["o"], out=room("co", c.shape, kind)), out=h[:, :WIDTH])
+    return {"x": x, "y": y, "k": k, "v": v, "c": c, "blocks": blocks, "parts": parts, "h": h[:, :WIDTH].reshape(x.shape) if whole is None else h}
 
 
 def logits(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
@@ -66,57 +132,104 @@ def logits(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
     return np.clip(z, -60, 60, out=z).reshape(*h.shape[:-1], -1)
 
 
-def gradients(w: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss over real places."""
-    f = forward(w, rows)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
+def _chances(w: dict[str, np.ndarray], h: np.ndarray, kinds: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``exp`` of the logits of outputs with a last column of ones, their sums, and the logit of each one's own class."""
+    z = np.matmul(h, np.concatenate([w["u"], w["b"][None]]), out=room("z", (len(h), CLASSES), h.dtype))
+    np.clip(z, -60, 60, out=z)
+    own = z[np.arange(len(h)), kinds]
+    np.exp(z, out=z)
+    return z, z @ np.ones(CLASSES, z.dtype), own
+
+
+def gradients(w: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, real: np.ndarray, room: Room | None = None, g: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss over real places, into ``g`` if given."""
+    room, kind = room or Room(), w["e"].dtype
+    g = {n: np.empty_like(d) for n, d in w.items()} if g is None else g
+    real = real.astype(bool)
+    f = forward(w, rows, real[:, :LEAD].any(1), room)
+    x, y, k, v, c = (f[n] for n in "xykvc")
     # only places that count have an output
-    at = np.flatnonzero(real)
-    h = flat(f["h"])[at]
-    dz = logits(w, h)
-    np.exp(dz, out=dz)
-    dz /= dz.sum(-1, keepdims=True) * dz.dtype.type(max(1, len(at)))
-    dz[np.arange(len(at)), kinds.reshape(-1)[at]] -= dz.dtype.type(1 / max(1, len(at)))
-    g = {"u": h.T @ dz, "b": dz.sum(0)}
-    dh = np.zeros_like(f["h"])
-    flat(dh)[at] = dz @ w["u"].T
-    g["o"] = flat(f["c"]).T @ flat(dh)
-    dc = (flat(dh) @ w["o"].T).reshape(dh.shape)
-    da = dc @ f["v"].transpose(0, 2, 1)
-    dv = f["a"].transpose(0, 2, 1) @ dc
-    # the weighted mean of da, place by place, is the product of output and its gradient
-    ds = f["a"] * (da - np.einsum("ijk,ijk->ij", dc, f["c"])[:, :, None])
-    ds *= ds.dtype.type(1 / np.sqrt(WIDTH))
-    parts = np.concatenate([ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"], dv], axis=2)
-    qkv = np.concatenate([w["q"], w["k"], w["v"]], axis=1)
-    turned = flat(f["x"]).T @ flat(parts)
-    g["q"], g["k"], g["v"] = turned[:, :WIDTH], turned[:, WIDTH : 2 * WIDTH], turned[:, 2 * WIDTH :]
-    dx = flat(dh) + flat(parts) @ qkv.T
-    g["p"] = np.zeros_like(w["p"])
-    g["p"][: rows.shape[1]] = dx.reshape(dh.shape).sum(0)
-    order = np.argsort(rows, axis=None, kind="stable")
-    held = rows.reshape(-1)[order]
+    at = np.flatnonzero(_placed(real, f["blocks"]))
+    some = len(at) < len(y)
+    h = np.take(f["h"], at, axis=0, out=room("hs", (len(at), WIDTH + 1), kind), mode="clip") if some else f["h"]
+    own = _placed(kinds, f["blocks"])[at]
+    z, sums, _ = _chances(w, h, own, room)
+    # the gradient of the logits is z, less the sum at the own class, over the sum and the number of places
+    z[np.arange(len(at)), own] -= sums
+    scale = (1 / (sums * kind.type(max(1, len(at)))))[:, None]
+    turned = _cross(np.multiply(h, scale, out=room("hr", h.shape, kind)), z)
+    g["u"][:], g["b"][:] = turned[:WIDTH], turned[WIDTH]
+    dh = np.matmul(z, w["u"].T, out=room("dhs", (len(at), WIDTH), kind))
+    dh *= scale
+    if some:
+        full = room("dh", y.shape, kind)
+        full[:] = 0
+        full[at] = dh
+        dh = full
+    g["o"][:] = _cross(c, dh)
+    dc = np.matmul(dh, w["o"].T, out=room("dc", c.shape, kind))
+    # the weighted mean of the gradients of the weights, place by place, is the product of output and its gradient
+    mean = np.einsum("ij,ij->i", dc, c)
+    dk, dv, dq = room("dk", k.shape, kind), room("dv", k.shape, kind), room("dq", y.shape, kind)
+    for i, (chosen, low, high, first, last, q, s, over) in enumerate(f["parts"]):
+        e = room(f"e{i}", (len(s), high - low, WIDTH + 1), kind)
+        np.multiply(dc[first:last].reshape(q.shape), over, out=e[:, :, :WIDTH])
+        np.multiply(mean[first:last].reshape(*q.shape[:2], 1), -over, out=e[:, :, WIDTH:])
+        ds = np.matmul(e, v[chosen, :high].transpose(0, 2, 1), out=room(f"ds{i}", s.shape, kind))
+        ds *= s
+        np.matmul(ds, k[chosen, :high], out=dq[first:last].reshape(q.shape))
+        if not i:
+            np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+            np.matmul(s.transpose(0, 2, 1), e[:, :, :WIDTH], out=dv)
+        else:
+            dk[chosen, :high] += ds.transpose(0, 2, 1) @ q
+            dv[chosen, :high] += s.transpose(0, 2, 1) @ e[:, :, :WIDTH]
+    small = kind.type(1 / np.sqrt(WIDTH))
+    g["q"][:] = _cross(y, dq) * small
+    g["k"][:], g["v"][:] = _cross(_flat(x), _flat(dk)), _cross(_flat(x), _flat(dv))
+    dx = np.matmul(_flat(dk), w["k"].T, out=room("dx", (rows.size, WIDTH), kind))
+    dx += np.matmul(_flat(dv), w["v"].T, out=room("dxv", dx.shape, kind))
+    dh += np.matmul(dq, w["q"].T * small, out=room("dy", y.shape, kind))
+    placed = dx.reshape(x.shape)
+    for chosen, low, high, first, last, *_ in f["parts"]:
+        placed[chosen, low:high] += dh[first:last].reshape(-1, high - low, WIDTH)
+    g["p"][:] = 0
+    g["p"][: rows.shape[1]] = (np.ones(len(rows), kind) @ dx.reshape(len(rows), -1)).reshape(-1, WIDTH)
+    # numbers of two bytes are sorted by their digits
+    narrow = rows.reshape(-1).astype(np.min_scalar_type(len(w["e"])))
+    order = np.argsort(narrow, kind="stable")
+    held = narrow[order]
     first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    g["e"] = np.zeros_like(w["e"])
-    g["e"][held[first]] = np.add.reduceat(dx[order], first)
+    g["e"][:] = 0
+    g["e"][held[first]] = np.add.reduceat(np.take(dx, order, axis=0, out=room("dxs", dx.shape, kind), mode="clip"), first)
     return g
 
 
 class Adam:
+    """Steps of all weights at once, which lie in one array."""
+
     def __init__(self, rate: float = 0.01):
-        self.rate, self.t, self.m, self.s = rate, 0, {}, {}
+        self.rate, self.t, self.m, self.s = rate, 0, None, None
 
-    def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+    def step(self, w: np.ndarray, g: np.ndarray) -> None:
+        """Moves ``w`` by its gradient ``g``, whose memory is used up."""
+        if self.m is None:
+            self.m, self.s, self.room = np.zeros_like(w), np.zeros_like(w), np.empty_like(w)
         self.t += 1
-        for n, d in g.items():
-            if n not in self.m:
-                self.m[n], self.s[n] = np.zeros_like(w[n]), np.zeros_like(w[n])
-            m, s = self.m[n], self.s[n]
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * d
-            s *= np.float32(0.99)
-            s += np.float32(0.01) * d * d
-            w[n] -= np.float32(self.rate / (1 - 0.9**self.t)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**self.t))) + np.float32(1e-8))
+        m, s, held = self.m, self.s, self.room
+        np.multiply(g, g, out=held)
+        held *= np.float32(0.01)
+        s *= np.float32(0.99)
+        s += held
+        g *= np.float32(0.1)
+        m *= np.float32(0.9)
+        m += g
+        np.multiply(s, np.float32(1 / (1 - 0.99**self.t)), out=held)
+        np.sqrt(held, out=held)
+        held += np.float32(1e-8)
+        np.divide(m, held, out=held)
+        held *= np.float32(self.rate / (1 - 0.9**self.t))
+        w -= held
 
 
 def windows(ids: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,29 +270,44 @@ def _score(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, si
     row, kind, within = vocabulary.row[ids], vocabulary.kind[ids], vocabulary.within[ids]
     # one row more, for the start of a text
     row = np.append(row, vocabulary.row[begin])
-    out = np.zeros(len(sizes))
+    out, room = np.zeros(len(sizes)), Room()
     for low in range(0, len(text), chunk):
         t = target[low : low + chunk]
-        h = forward(w, row[before[low : low + chunk]])["h"]
-        real = t >= 0
-        places = t[real]
-        z = logits(w, h[real])
-        value = z[np.arange(len(places)), kind[places]]
-        np.exp(z, out=z)
-        value = value - np.log(z.sum(1)) + within[places]
-        out += np.bincount(np.repeat(text[low : low + chunk], real.sum(1)), value, len(sizes))
+        f = forward(w, row[before[low : low + chunk]], (t[:, :LEAD] >= 0).any(1), room)
+        places = _placed(t, f["blocks"])
+        at = np.flatnonzero(places >= 0)
+        places = places[at]
+        h = f["h"] if len(at) == len(f["h"]) else f["h"][at]
+        _, sums, own = _chances(w, h, kind[places], room)
+        of = _placed(np.broadcast_to(text[low : low + chunk, None], t.shape), f["blocks"])[at]
+        out += np.bincount(of, own - np.log(sums) + within[places], len(sizes))
     return out
 
 
 def train_texts(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, begin: int, adam: Adam, batch: int = 128) -> None:
     """One pass of gradient steps over all windows of the texts, in a fixed mixed order."""
     target, before, text = windows(ids, sizes, begin)
-    row, kind = vocabulary.row[ids], vocabulary.kind[ids]
+    row, kind = np.append(vocabulary.row[ids], vocabulary.row[begin]), np.append(vocabulary.kind[ids], 0)
     order = np.random.default_rng(len(text)).permutation(len(text))
+    # all weights, and all gradients, in one array each
+    flat = np.concatenate([w[n].ravel() for n in sorted(w)])
+    step, room = np.empty_like(flat), Room()
+    own, g = _views(flat, w), _views(step, w)
     for low in range(0, len(order), batch):
-        t, b = target[order[low : low + batch]], before[order[low : low + batch]]
-        rows = np.where(b < 0, vocabulary.row[begin], row[b])
-        adam.step(w, gradients(w, rows, np.where(t < 0, 0, kind[t]), t >= 0))
+        some = order[low : low + batch]
+        t = target[some]
+        gradients(own, row[before[some]], kind[t], t >= 0, room, g)
+        adam.step(flat, step)
+    for n in w:
+        w[n][:] = own[n]
+
+
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for n in sorted(like):
+        out[n] = flat[at : at + like[n].size].reshape(like[n].shape)
+        at += like[n].size
+    return out
 
 
 def to_bytes(w: dict[str, np.ndarray]) -> bytes:
@@ -187,8 +315,4 @@ def to_bytes(w: dict[str, np.ndarray]) -> bytes:
 
 
 def from_bytes(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for n in sorted(like):
-        out[n] = np.frombuffer(raw, "<f4", like[n].size, at).reshape(like[n].shape).copy()
-        at += out[n].nbytes
-    return out
+    return _views(np.frombuffer(raw, "<f4").copy(), like)

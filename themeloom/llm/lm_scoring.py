@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.llm.common import hold_out, python_ready, read, stored
-from themeloom.llm.token_files import token_rows
 
 #: Ids that one model trains on between averagings, about; rounds of training and averaging.
 PORTION, ROUNDS = 1 << 19, 2
@@ -25,6 +24,8 @@ PORTION, ROUNDS = 1 << 19, 2
 SUMS = 16
 #: At most so many of the most frequent words have their counts in every task; rarer ones meet their counts in a join.
 FREQUENT_WORDS = 200_000
+#: Bytes of text that are cut to words, and ids that are scored, at a time, about: what a task holds follows them or one text.
+TEXT_BYTES, SCORED_IDS = 2_000_000, 1 << 19
 ALPHA = 0.1
 END = 2
 
@@ -35,17 +36,19 @@ def word_lists(texts: pa.Array) -> pa.ListArray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word``, ``n`` over all texts; counted within each batch, then over all of them."""
+    """``word``, ``n`` over all texts; counted within each portion of a batch, then over all of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from themeloom.llm.lm_scoring import word_lists
-        from themeloom.llm.word_ids import filled
+        from themeloom.llm.word_ids import filled, portions
 
         for batch in batches:
-            found = pc.value_counts(word_lists(filled(batch.column(0))).flatten())
-            words, n = found.field("values"), found.field("counts")
-            real = pc.not_equal(words, "")
-            yield pa.RecordBatch.from_arrays([words.filter(real), n.filter(real)], names=["word", "n"])
+            texts = filled(batch.column(0))
+            for low, high in portions(texts):
+                found = pc.value_counts(word_lists(texts.slice(low, high - low)).flatten())
+                words, n = found.field("values"), found.field("counts")
+                real = pc.not_equal(words, "")
+                yield pa.RecordBatch.from_arrays([words.filter(real), n.filter(real)], names=["word", "n"])
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -94,14 +97,15 @@ def portions_of(rows: DataFrame, n_ids: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([sizes]), pa.array([b"".join(held)])], names=["portion", "sizes", "ids"])
 
         for batch in batches:
-            for portion, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            # row by row, so that a batch is not held twice
+            for portion, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 # many equal rows fall into one portion, which is cut then
                 if held and (portion != now or n >= 2 * PORTION):
                     yield packed()
                     held, n = [], 0
                 now = portion
-                held.append(ids)
-                n += len(ids) // 4
+                held.append(ids.as_py())
+                n += len(held[-1]) // 4
         if held:
             yield packed()
 
@@ -120,15 +124,17 @@ def trained(portions: DataFrame, id_counts: np.ndarray, rounds: int = ROUNDS) ->
 
         def train(batches: Iterator[pa.RecordBatch], raw=raw, rate=0.01 / (1 + number)) -> Iterator[pa.RecordBatch]:
             from themeloom.llm.attention import Adam, Vocabulary, from_bytes, start, train_texts
+            from themeloom.llm.word_ids import forget
 
+            forget()
             vocabulary, total, seen, last = Vocabulary(id_counts), 0.0, 0, 0
             for batch in batches:
-                for portion, sizes, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for portion, sizes, ids in zip(*batch.columns, strict=True):
                     own = from_bytes(raw, start(vocabulary.prior))
-                    ids = np.frombuffer(ids, "<u4").astype(np.int64)
-                    train_texts(own, vocabulary, ids, np.frombuffer(sizes, "<u4").astype(np.int64), END, Adam(rate))
+                    ids = np.frombuffer(ids.as_buffer(), "<u4").astype(np.int64)
+                    train_texts(own, vocabulary, ids, np.frombuffer(sizes.as_buffer(), "<u4").astype(np.int64), END, Adam(rate))
                     total = total + len(ids) * np.concatenate([own[k].ravel() for k in sorted(own)]).astype(np.float64)
-                    seen, last = seen + len(ids), portion
+                    seen, last = seen + len(ids), portion.as_py()
             if seen:
                 yield pa.RecordBatch.from_pydict({"part": [last % SUMS], "total": [total.tobytes()], "n": [seen]})
 
@@ -167,37 +173,35 @@ def score_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     n_train, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
     log_total = float(np.log10(n_train + ALPHA * (distinct + 1)))
     top = counts.filter(F.col("n") >= frequent_from(counts)).collect()
-    top_words, top_logs = [r.word for r in top], np.log10(np.array([r.n for r in top], float) + ALPHA)
+    top_words, top_logs = pa.array([r.word for r in top], pa.string()), np.log10(np.array([r.n for r in top], float) + ALPHA)
     id_counts = np.zeros(max(Tokenizer.from_file(tokenizer).get_vocab_size(), END + 1), np.int64)
     for r in subword_counts(counts, tokenizer).collect():
         id_counts[r.id] = r.n
     id_counts[END] += ends
-    raw = trained(stored(portions_of(token_rows(learn, tokenizer, END), int(id_counts.sum())), "train-ids"), id_counts)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from themeloom.llm.attention import Vocabulary, from_bytes, score_texts, start
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from themeloom.llm.lm_scoring import word_lists
         from themeloom.llm.word_ids import encoder, filled, portions
 
-        held, vocabulary = encoder(tokenizer), Vocabulary(id_counts)
-        weights = from_bytes(raw, start(vocabulary.prior))
-        place = {w: i for i, w in enumerate(top_words)}
-        place[""] = -2
+        held = encoder(tokenizer)
         logs = np.append(top_logs, [0.0, 0.0])
         for batch in batches:
             texts = filled(batch.column("text"))
-            for low, high in portions(texts, 4_000_000):
+            for low, high in portions(texts, TEXT_BYTES):
                 some = texts.slice(low, high - low)
                 lists = word_lists(some)
                 parts = lists.flatten().dictionary_encode()
-                # words end where the tokenizer cuts, so the ids of a text are those of its words
-                ids, sizes = held.joined(held.part_numbers(parts), np.diff(lists.offsets.to_numpy()).astype(np.int64), END)
-                at = np.array([place.get(w, -1) for w in parts.dictionary.to_pylist()], np.int64)[parts.indices.to_numpy()]
+                ids, sizes = held.encode(some, END)
+                at = pc.fill_null(pc.index_in(parts.dictionary, value_set=top_words), -1).to_numpy().astype(np.int64)
+                at[pc.equal(parts.dictionary, "").to_numpy(zero_copy_only=False)] = -2
+                at = at[parts.indices.to_numpy()]
                 text_of = np.repeat(np.arange(high - low), np.diff(lists.offsets.to_numpy()))
                 per_text = lambda values: np.bincount(text_of, values, high - low)  # noqa: B023, E731
                 rare = np.flatnonzero(at == -1)
                 cuts = np.searchsorted(text_of[rare], np.arange(high - low + 1))
                 rare_words = parts.dictionary.take(parts.indices.take(pa.array(rare)))
+                ends = np.cumsum(sizes)
+                ids = ids.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row").slice(low, high - low),
@@ -205,24 +209,47 @@ def score_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
                         pa.array(per_text(at != -2).astype(np.int64) + 1),
                         pa.array(per_text(at >= 0).astype(np.int64)),
                         pa.array(per_text(np.where(at >= 0, logs[at], 0.0))),
-                        pa.array(score_texts(weights, vocabulary, ids.astype(np.int64), sizes, END)),
+                        pa.array([ids[x:y].tobytes() for x, y in zip(ends - sizes, ends, strict=True)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rare_words),
                     ],
-                    names=["row", "doc_id", "n_tokens", "n_known", "logs", "score", "rare"],
+                    names=["row", "doc_id", "n_tokens", "n_known", "logs", "ids", "rare"],
                 )
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scored = stored(
-        numbered.mapInArrow(score, "row long, doc_id long, n_tokens long, n_known long, logs double, score double, rare array<string>"),
-        "scored",
+    # every text is cut to words and ids once; the model learns from the ids and scores them
+    encoded = stored(
+        numbered.mapInArrow(encode, "row long, doc_id long, n_tokens long, n_known long, logs double, ids binary, rare array<string>"),
+        "encoded",
     )
+    learned = encoded.filter(hold_out("doc_id") != 0).select("doc_id", "ids")
+    raw = trained(stored(portions_of(learned, int(id_counts.sum())), "train-ids"), id_counts)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from themeloom.llm.attention import Vocabulary, from_bytes, score_texts, start
+        from themeloom.llm.word_ids import forget
+
+        forget()
+        vocabulary = Vocabulary(id_counts)
+        weights = from_bytes(raw, start(vocabulary.prior))
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("ids")).to_numpy().astype(np.int64) // 4
+            low = 0
+            while low < len(sizes):
+                high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), SCORED_IDS, "right")))
+                ids = np.frombuffer(b"".join(batch.column("ids").slice(low, high - low).to_pylist()), "<u4")
+                found = score_texts(weights, vocabulary, ids.astype(np.int64), sizes[low:high], END)
+                kept = [batch.column(name).slice(low, high - low) for name in ("row", "doc_id", "n_tokens", "n_known", "logs")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], names=["row", "doc_id", "n_tokens", "n_known", "logs", "score"])
+                low = high
+
+    scored = stored(encoded.drop("rare").mapInArrow(score, "row long, doc_id long, n_tokens long, n_known long, logs double, score double"), "scored")
     # words out of the most frequent ones are rare by their own count, so no key of this join is hot
-    rare = scored.select("row", F.explode("rare").alias("word"))
+    rare = encoded.select("row", F.explode("rare").alias("word"))
     known = rare.join(counts, "word").groupBy("row").agg(
         F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + ALPHA)).alias("rare_logs")
     )
     end_known, end_log = int(ends > 0), float(np.log10(ends + ALPHA))
-    out = scored.drop("rare").join(known, "row", "left").withColumn("n_known", F.col("n_known") + F.coalesce("rare_known", F.lit(0)))
+    out = scored.join(known, "row", "left").withColumn("n_known", F.col("n_known") + F.coalesce("rare_known", F.lit(0)))
     unknown = F.col("n_tokens") - 1 - F.col("n_known")
     base = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) + unknown * float(np.log10(ALPHA)) + end_log - F.col("n_tokens") * log_total
     return out.select(

@@ -151,6 +151,11 @@ def encoder(path: str, limit: int = 250_000) -> WordEncoder:
     return _HELD[path, limit]
 
 
+def forget() -> None:
+    """Give back what this worker's encoders hold, for tasks that need no more of them."""
+    _HELD.clear()
+
+
 def portions(texts: pa.Array, size: int = 8_000_000):
     """Ranges of rows with about ``size`` bytes of text each (one row at least)."""
     held = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
