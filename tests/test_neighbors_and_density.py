@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -366,3 +367,32 @@ def test_neighbours_reach_the_ranking_once_a_strip(spark):
     near = {(r.src, r.dst) for r in neighbors._nearest_distinct(grid, 5).collect()}
     d = pairwise(v) + np.diag(np.full(len(v), np.inf))
     assert near == {(i, int(j)) for i in range(len(v)) for j in np.argsort(d[i])[:5]}
+
+
+def test_near_pairs_at_any_scale():
+    rng = np.random.default_rng(6)
+    for width, scale, apart in ((3, 1.0, 0.0), (64, 1.0, 0.0), (3, 1e-6, 1e3), (64, 1e-25, 0.0)):
+        a, b = (rng.random((700, width)) * scale + apart for _ in range(2))
+        squares = ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)
+        edge = np.quantile(squares, 0.01, axis=1)
+        rows, cols = tiles.near_pairs(a, b, edge)
+        hit = np.zeros(squares.shape, bool)
+        hit[rows, cols] = True
+        assert hit[squares <= edge[:, None]].all() and hit.mean() < 0.05
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 15])
+def test_tree_from_a_first_one(spark, small_strips, limit):
+    """Strips return only edges that are lighter than the first tree's path, also where its lighter edges were contracted, and none
+    where it is minimal."""
+    v = blobs(12, (50, 40), 5)
+    want = spanning(pairwise(v), np.zeros(len(v)))
+    nodes = table(spark, v).select(F.col("doc_id").alias("rep"), F.col("reduced").alias("v"), F.lit(0.0).alias("core"))
+    tree = density._tree(nodes, spark.createDataFrame([], density.TREE), 8, 3, limit).collect()
+    assert len(tree) == len(v) - 1 and sum(r.w for r in tree) == pytest.approx(sum(w for _, _, w in want))
+    order, gaps, floor = density._leaf_order(spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in want], density.TREE), limit)
+    place = dict(tuple(r) for r in order.collect())
+    row = {f"a_{c}": x for c, x in (("ids", np.arange(len(v)).tobytes()), ("vecs", v.astype(float).tobytes()), ("core", np.zeros(len(v)).tobytes()))}
+    row |= {"a_tile": 0, "a_center": v.mean(0), "a_radius": 1e9, "a_pos": np.array([place[i] for i in range(len(v))], np.int64).tobytes()}
+    found = density._lighter_edges([tiles.Block(row, "a")], [tiles.Block(row, "a")], gaps, floor)
+    assert found is None if limit > len(v) else (len(gaps) <= limit and (found["w"] < floor).all())

@@ -23,10 +23,13 @@ from themeloom.operators.tiles import (
     batches_of,
     cell_tiles,
     collapse_copies,
+    floors_to,
     gaps_to,
-    map_pairs,
     meet_strips,
+    near_pairs,
     pack,
+    pair_distances,
+    spread_tiles,
     within,
 )
 from themeloom.session import cut_lineage
@@ -227,6 +230,8 @@ def dbscan(
 # ---------------------------------------------------------------------------------------------
 
 TREE = "u long, v long, w double"
+#: Neighbours of a point that the first tree may use where no core distance asks for them.
+TREE_NEIGHBORS = 4
 
 
 def _prim(ids: np.ndarray, vecs: np.ndarray, core: np.ndarray) -> pd.DataFrame | None:
@@ -252,77 +257,220 @@ def _prim(ids: np.ndarray, vecs: np.ndarray, core: np.ndarray) -> pd.DataFrame |
     return pd.DataFrame({"u": out.min(axis=1), "v": out.max(axis=1), "w": weight})
 
 
-def _pair_tree(a: Block, b: Block) -> pd.DataFrame | None:
-    if a.value("tile") == b.value("tile"):
-        return _prim(a.ids, a.vecs, a.extra("core"))
-    return _prim(
-        np.concatenate([a.ids, b.ids]),
-        np.concatenate([a.vecs, b.vecs]),
-        np.concatenate([a.extra("core"), b.extra("core")]),
-    )
+def _first_tree(grid: CellTiles, near: DataFrame) -> tuple[DataFrame, bool]:
+    """Edges that join all points: the tree of each tile, the edges to near neighbours (``near <u, v, w>``), and those between each tile's lead
+    point and its cell's, and between cells. Also whether there is more than one tile."""
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                a = Block({f"a_{c}": v for c, v in row.items()}, "a")
+                tree = _prim(a.ids, a.vecs, a.extra("core"))
+                if tree is not None:
+                    yield tree
+
+    own = cut_lineage(spread_tiles(grid.tiles.select("tile", "ids", "vecs", "core")).mapInPandas(grow, TREE))
+
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            blocks = [Block({f"a_{c}": v for c, v in row.items()}, "a") for row in batch.to_dict("records")]
+            yield pd.DataFrame(
+                {
+                    "tile": [a.ids[0] for a in blocks],
+                    "cell": [a.value("cell") for a in blocks],
+                    "lead": [a.vecs[0] for a in blocks],
+                    "lead_core": [a.extra("core")[0] for a in blocks],
+                }
+            )
+
+    heads = cut_lineage(grid.tiles.select("cell", "ids", "vecs", "core").mapInPandas(head, "tile long, cell int, lead array<double>, lead_core double"))
+    first = F.min(F.struct("tile", "lead", "lead_core")).alias("f")
+    # at most MAX_CELLS of them
+    cells = heads.groupBy("cell").agg(first).select("cell", "f.*").orderBy("cell")
+    leads = cells.collect()
+    ids = np.array([r["tile"] for r in leads], np.int64)
+    trunk = _prim(ids, np.array([r["lead"] for r in leads], dtype=float), np.array([r["lead_core"] for r in leads], dtype=float))
+    found = own.unionByName(near)
+    if trunk is not None:
+        found = found.unionByName(grid.tiles.sparkSession.createDataFrame(trunk, TREE))
+    ends = cells.select("cell", F.col("tile").alias("u"), F.col("lead").alias("cl"), F.col("lead_core").alias("cl_core"))
+    hop = F.greatest(distance(F.col("lead"), F.col("cl")), "lead_core", "cl_core").alias("w")
+    hops = heads.join(F.broadcast(ends), "cell").filter("tile != u").select("u", F.col("tile").alias("v"), hop)
+    return found.unionByName(hops), heads.count() > 1
 
 
-def _tree_edges(grid: CellTiles) -> DataFrame:
-    """Edges that contain a minimum spanning tree of all points.
+#: Joins of the first tree that one task puts in order; the lighter ones are contracted before.
+ORDER_EDGES = 1 << 20
 
-    The union of the trees of all tile pairs contains one; strips of tiles meet and return one
-    forest each. A pair is skipped when every edge across it is at least as heavy as the path its
-    points already have through: own tile tree, the tile's lead point, the cell's lead point and
-    the spanning tree of cell leads.
+
+def _leaf_order(tree: DataFrame, limit: int) -> tuple[DataFrame, np.ndarray, float]:
+    """``<rep, pos>``, the heaviest edge between the places ``i`` and ``i + 1`` for all ``i``, and the floor.
+
+    The heaviest edge on the tree path between two points is at most the largest of the numbers between their places, or the floor if
+    they share one. Beyond ``limit`` edges, points joined by lighter ones share a place.
     """
-    tiles = grid.tiles
-    same = tiles.select(F.col("tile").alias("a_tile"), F.col("tile").alias("b_tile"))
-    own = cut_lineage(map_pairs(same, tiles, tiles, _pair_tree, TREE))
+    ids = tree.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+    floor, heavy, roots = 0.0, tree, ids.select("rep", F.col("rep").alias("root"))
+    if tree.count() > limit:
+        floor = tree.orderBy(F.desc("w")).limit(limit).agg(F.min("w")).first()[0]
+        light, heavy = tree.filter(F.col("w") <= floor), tree.filter(F.col("w") > floor)
+        roots = ids.join(connected_components(light).withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
+        roots = cut_lineage(roots)
+        ru, rv = (roots.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
+        heavy = heavy.join(ru, "u").join(rv, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"), "w")
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Components are lists of points; an edge joins the lists of its ends, and stands between them."""
+        pdf = pdf.sort_values("w", kind="stable")
+        names, at = np.unique(pdf[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+        at, weight = at.reshape(-1, 2).tolist(), pdf["w"].tolist()
+        home, size = list(range(len(names))), [1] * len(names)
+        first, last = list(range(len(names))), list(range(len(names)))
+        after, gap = [-1] * len(names), [0.0] * len(names)
+
+        def find(x: int) -> int:
+            while home[x] != x:
+                home[x] = home[home[x]]
+                x = home[x]
+            return x
+
+        for (u, v), w in zip(at, weight):
+            u, v = find(u), find(v)
+            after[last[u]], gap[last[u]] = first[v], w
+            head, tail = first[u], last[v]
+            if size[u] < size[v]:
+                u, v = v, u
+            home[v], size[u], first[u], last[u] = u, size[u] + size[v], head, tail
+        x, row, out = first[find(0)], 0, np.empty(len(names), np.int64)
+        gaps = np.empty(len(names))
+        while x >= 0:
+            out[row], gaps[row] = x, gap[x]
+            x, row = after[x], row + 1
+        return pd.DataFrame({"root": names[out], "pos": np.arange(len(names)), "gap": gaps})
+
+    placed = cut_lineage(in_one_task(heavy.select("u", "v", "w"), order, "root long, pos long, gap double"))
+    gaps = placed.select("pos", "gap").toPandas().sort_values("pos")["gap"].to_numpy()[:-1]
+    # without any heavier edge all share one place
+    return roots.join(placed.select("root", "pos"), "root", "left").select("rep", F.coalesce("pos", F.lit(0)).alias("pos")), gaps, floor
+
+
+class _Paths:
+    """Bounds of the heaviest edge on the path between points, by their places; only the places given count."""
+
+    def __init__(self, places: np.ndarray, gaps: np.ndarray, floor: float):
+        self.places, self.floor = np.unique(places), floor
+        between = np.maximum.reduceat(gaps, self.places[:-1]) if len(self.places) > 1 else np.empty(0)
+        if len(between):  # the last of them must not reach beyond its place
+            between[-1] = gaps[self.places[-2] : self.places[-1]].max()
+        self.levels = [between]
+        while len(self.levels[-1]) > 1 << (len(self.levels) - 1):
+            held, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.maximum(held[:-step], held[step:]))
+
+    def rank(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.places, places)
+
+    def from_one(self, rank: int) -> np.ndarray:
+        """The bound from one rank to every other."""
+        between = self.levels[0]
+        return np.maximum(np.r_[np.maximum.accumulate(between[:rank][::-1])[::-1], 0.0, np.maximum.accumulate(between[rank:])], self.floor)
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        out = np.full(len(a), self.floor)
+        span = high - low
+        level = np.frexp(np.maximum(span, 1))[1] - 1
+        for k in np.unique(level[span > 0]):
+            at = np.flatnonzero((level == k) & (span > 0))
+            out[at] = np.maximum(out[at], np.maximum(self.levels[k][low[at]], self.levels[k][high[at] - (1 << k)]))
+        return out
 
-    def head(a: Block, b: Block) -> pd.DataFrame:
-        core = a.extra("core")
-        tree = _pair_tree(a, b)
-        return pd.DataFrame(
-            {
-                "tile": [a.value("tile")],
-                "cell": [a.value("cell")],
-                "center": [a.row["a_center"]],
-                "radius": [a.value("radius")],
-                "low": [core.min()],
-                "top": [0.0 if tree is None else tree["w"].max()],
-                "lead": [a.vecs[0]],
-                "lead_core": [core[0]],
-            }
-        )
 
-    kinds = "tile long, cell int, center array<double>, radius double, low double, top double, lead array<double>, lead_core double"
-    heads = cut_lineage(map_pairs(same, tiles, tiles, head, kinds))
-    first = F.min(F.struct("tile", "lead", "lead_core")).alias("f")
-    leads = heads.groupBy("cell").agg(first).orderBy("cell").select("cell", "f.lead", "f.lead_core").collect()
-    vecs = np.array([r["lead"] for r in leads], dtype=float)
-    core = np.array([r["lead_core"] for r in leads], dtype=float)
-    path = _bottlenecks(vecs, core)
-    cell_leads = tiles.sparkSession.createDataFrame(
-        [(int(r["cell"]), list(r["lead"]), float(r["lead_core"])) for r in leads],
-        "cell int, cl array<double>, cl_core double",
-    )
-    hop = F.greatest(distance(F.col("lead"), F.col("cl")), "lead_core", "cl_core")
-    heads = heads.join(cell_leads, "cell").withColumn("top", F.greatest("top", hop)).drop("lead", "lead_core", "cl", "cl_core")
-    tiles = cut_lineage(tiles.join(heads.select("tile", "low", "top"), "tile"))
-    gaps, place = grid.gaps() * (1 - 1e-9), {int(c): i for i, c in enumerate(grid.cells)}
-
-    def needed(a: Block, others: list[Block], near: np.ndarray) -> np.ndarray:
-        here, there = place[a.value("cell")], [place[b.value("cell")] for b in others]
-        low, top = (np.array([b.value(x) for b in others]) for x in ("low", "top"))
-        floor = np.maximum.reduce([near, gaps[here, there], np.full(len(others), a.value("low")), low])
-        return floor < np.maximum.reduce([path[here, there], np.full(len(others), a.value("top")), top])
-
-    def across(left: list[Block], right: list[Block]) -> pd.DataFrame | None:
-        twins = {a.value("tile") for a in left} == {b.value("tile") for b in right}
-        found = []
-        for a in left:
-            others = [b for b in right if not twins or a.value("tile") < b.value("tile")]
-            if others:
-                meeting = [b for b, use in zip(others, needed(a, others, gaps_to(a, others))) if use]
-                found += [_pair_tree(*sorted((a, b), key=lambda x: x.value("tile"))) for b in meeting]
-        return _forest(pd.concat(found, ignore_index=True)) if found else None
+def _parties(ranks: np.ndarray, paths: _Paths, least: int = 64, most: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups of a tile's points, and the bounds from one of each group to every rank.
 
-    return own.unionByName(meet_strips(tiles, tiles, across, TREE, half=True))
+    Points that are far from the one chosen and much nearer to each other form a group of their own, or all pairs within would pass for
+    as far apart as that.
+    """
+    left = np.arange(len(ranks))
+    for turn in range(most):
+        if not len(left):
+            return
+        far = paths.from_one(int(np.sort(ranks[left])[len(left) // 2]))
+        bound = far[ranks[left]]
+        stay = np.ones(len(left), bool)
+        if turn < most - 1:
+            values, at, n = np.unique(bound, return_inverse=True, return_counts=True)
+            for i in np.flatnonzero((n >= least) & (values > values[0])):
+                party = ranks[left[at == i]]
+                if np.median(paths.from_one(int(np.sort(party)[len(party) // 2]))[party]) < 0.8 * values[i]:
+                    stay[at == i] = False
+        yield left[stay], far
+        left = left[~stay]
+
+
+def _lighter_edges(left: list[Block], right: list[Block], gaps: np.ndarray, floor: float) -> pd.DataFrame | None:
+    """Edges between tiles of two strips that are lighter than the path their ends have in the first tree.
+
+    With ``far``, the heaviest edge on the path to a chosen point, the path between two others is at most the larger of both. So one end of
+    such an edge has a ``far`` above its own core distance, and the other end lies within that.
+    """
+    twins = {a.value("tile") for a in left} == {b.value("tile") for b in right}
+    blocks = left if twins else left + right
+    paths = _Paths(np.concatenate([b.extra("pos", np.int64) for b in blocks]), gaps, floor)
+    # by the object, since the same tile comes as another one on the other side
+    rank = {id(b): paths.rank(b.extra("pos", np.int64)) for b in left + right}
+    found = []
+
+    def keep(a: Block, rows: np.ndarray, b: Block, cols: np.ndarray) -> None:
+        for low in range(0, len(rows), 100_000):
+            r, c = rows[low : low + 100_000], cols[low : low + 100_000]
+            top = paths.between(rank[id(a)][r], rank[id(b)][c])
+            w = np.maximum(np.maximum(pair_distances(a.vecs[r], b.vecs[c]), a.extra("core")[r]), b.extra("core")[c])
+            use = (w < top) & (a.ids[r] != b.ids[c])
+            if use.any():
+                u, v = a.ids[r[use]], b.ids[c[use]]
+                found.append(pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "w": w[use]}))
+
+    for a in left:
+        others = [b for b in right if not twins or a.value("tile") <= b.value("tile")]
+        core = a.extra("core")
+        floors = floors_to(a.vecs, others)
+        nearest = floors.min(0)
+        for party, far in _parties(rank[id(a)], paths):
+            top = far[rank[id(a)][party]]
+            for i, b in enumerate(others):
+                b_top, b_core = far[rank[id(b)]], b.extra("core")
+                # a point's edge may be as heavy as its own bound, or as that of the other end
+                rows = np.flatnonzero((top > core[party]) & (floors[party, i] < top) & (b_core.min() < top))
+                if len(rows):
+                    r, c = near_pairs(a.vecs[party[rows]], b.vecs, top[rows] ** 2)
+                    keep(a, party[rows[r]], b, c)
+                cols = np.flatnonzero((b_top > b_core) & (nearest[i] < b_top) & (core[party].min() < b_top))
+                if len(cols):
+                    cols = cols[(floors_to(b.vecs[cols], [a]) < b_top[cols, None])[:, 0]]
+                if len(cols):
+                    c, r = near_pairs(b.vecs[cols], a.vecs[party], b_top[cols] ** 2)
+                    keep(a, party[r], b, cols[c])
+    return _forest(pd.concat(found, ignore_index=True)) if found else None
+
+
+def _tree(nodes: DataFrame, near: DataFrame, tile_rows: int | None, max_cells: int | None, limit: int) -> DataFrame:
+    """A minimum spanning tree of ``nodes <rep, v, core>``.
+
+    A first tree is as light as near neighbours and the tiles' own trees make it. An edge that is no lighter than the heaviest one on its ends'
+    path there is not needed, so strips of tiles meet once and return only edges that are lighter: few, and none where the first tree is minimal.
+    """
+    grid = cell_tiles(nodes, "rep", "v", ("core",), tile_rows, max_cells)
+    edges, several = _first_tree(grid, near)
+    if not several:
+        return cut_lineage(minimum_forest(edges))
+    first = cut_lineage(minimum_forest(edges))
+    order, gaps, floor = _leaf_order(first, limit)
+    placed = cut_lineage(nodes.select("rep", "v", "core").join(order, "rep"))
+    tiles = cell_tiles(placed, "rep", "v", ("core", "pos"), tile_rows, max_cells).tiles
+    lighter = cut_lineage(meet_strips(tiles, tiles, lambda a, b: _lighter_edges(a, b, gaps, floor), TREE, half=True))
+    return cut_lineage(minimum_forest(first.unionByName(lighter))) if lighter.head(1) else first
 
 
 def _forest(edges: pd.DataFrame) -> pd.DataFrame:
@@ -332,25 +480,6 @@ def _forest(edges: pd.DataFrame) -> pd.DataFrame:
     return edges[[sets.union(u, v) for u, v in zip(edges["u"].tolist(), edges["v"].tolist())]]
 
 
-def _bottlenecks(vecs: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Largest edge on the tree path between any two cell leads."""
-    m = len(vecs)
-    out = np.zeros((m, m))
-    tree = _prim(np.arange(m), vecs, core)
-    if tree is None:
-        return out
-    groups = {i: [i] for i in range(m)}
-    home = list(range(m))
-    for u, v, w in tree.sort_values("w").itertuples(index=False):
-        a, b = groups[home[u]], groups.pop(home[v])
-        out[np.ix_(a, b)] = w
-        out[np.ix_(b, a)] = w
-        for x in b:
-            home[x] = home[u]
-        a.extend(b)
-    return out
-
-
 def spanning_tree(
     points: DataFrame,
     min_samples: int = 0,
@@ -366,9 +495,11 @@ def spanning_tree(
     """
     members, distinct = collapse_copies(points, key, vector)
     members, distinct = cut_lineage(members), cut_lineage(distinct.withColumnRenamed(vector, "v"))
-    if min_samples:
+    near = None
+    if min_samples or distinct.count() > (tile_rows or TILE_ROWS):
         grid = cell_tiles(distinct, "rep", "v", tile_rows=tile_rows, max_cells=max_cells)
-        near = _nearest_distinct(grid, min_samples)
+        near = cut_lineage(_nearest_distinct(grid, min_samples or TREE_NEIGHBORS))
+    if min_samples:
         weights = distinct.select(F.col("rep").alias("dst"), F.col("copies"))
         home = distinct.select(
             F.col("rep").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(0.0).alias("dist"), (F.col("copies") - 1).alias("copies")
@@ -383,8 +514,13 @@ def spanning_tree(
         nodes = cut_lineage(distinct.join(core, "rep"))
     else:
         nodes = cut_lineage(distinct.withColumn("core", F.lit(0.0)))
-    grid = cell_tiles(nodes, "rep", "v", ("core",), tile_rows, max_cells)
-    tree = cut_lineage(minimum_forest(_tree_edges(grid)))
+    if near is None or nodes.count() <= (tile_rows or TILE_ROWS):
+        edges = nodes.sparkSession.createDataFrame([], TREE)
+    else:
+        cu, cv = (nodes.select(F.col("rep").alias(c), F.col("core").alias(f"c{c}")) for c in "uv")
+        both = near.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.min("dist").alias("dist"))
+        edges = both.join(cu, "u").join(cv, "v").select("u", "v", F.greatest("dist", "cu", "cv").alias("w"))
+    tree = _tree(nodes, edges, tile_rows, max_cells, ORDER_EDGES)
     return tree, nodes.select("rep", "copies", "core"), members
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +18,12 @@ from themeloom.operators.tiles import (
     block_squares,
     cell_tiles,
     collapse_copies,
+    floors_to,
     gaps_to,
     meet_strips,
+    near_pairs,
     pair_distances,
+    spread_tiles,
 )
 from themeloom.session import cut_lineage
 
@@ -60,20 +64,19 @@ class _Nearest:
         self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def meet(self, ids: np.ndarray, vecs: np.ndarray) -> None:
-        origin = vecs.mean(axis=0)
-        a, b = self.a.vecs - origin, vecs - origin
-        left, right = (a * a).sum(1), (b * b).sum(1)
-        slack = 8.0 * (a.shape[1] + 4) * np.finfo(float).eps * (left.max() + right.max())
-        squares = a @ (-2.0 * b).T
-        squares += right[None, :]
-        edge = self.bound**2 * (1 + 1e-12) + slack - left
+    def meet(self, ids: np.ndarray, vecs: np.ndarray, some: np.ndarray | None = None) -> None:
+        """``some``: the places of the points that meet them (all if not given)."""
         open_ = np.flatnonzero(~np.isfinite(self.bound))
+        if some is None or len(open_):
+            some = np.arange(len(self.a.ids))
+        edge = self.bound[some] ** 2
         if len(open_):
             # one more than k, since the point itself may be among them; what rounding may have put behind the edge stays
             width = min(self.k + 1, len(ids))
-            edge[open_] = np.partition(squares[open_], width - 1, axis=1)[:, width - 1] + 2 * slack
-        rows, cols = np.nonzero(squares <= edge[:, None])
+            squares, slack = block_squares(self.a.vecs[open_], vecs)
+            edge[open_] = np.partition(squares, width - 1, axis=1)[:, width - 1] + 2 * slack
+        rows, cols = near_pairs(self.a.vecs[some], vecs, edge)
+        rows = some[rows]
         other = self.a.ids[rows] != ids[cols]
         rows, cols = rows[other], cols[other]
         exact = np.empty(len(rows))
@@ -119,7 +122,7 @@ def _bounded(tiles: DataFrame, k: int) -> DataFrame:
                 out.append({"tile": row["tile"], "kth": found.bound.tobytes()})
             yield pd.DataFrame(out)
 
-    return cut_lineage(tiles.join(tiles.select("tile", "ids", "vecs").mapInPandas(work, "tile long, kth binary"), "tile"))
+    return cut_lineage(tiles.join(spread_tiles(tiles.select("tile", "ids", "vecs")).mapInPandas(work, "tile long, kth binary"), "tile"))
 
 
 def _nearest_in_strips(left: list[Block], right: list[Block], k: int) -> pd.DataFrame:
@@ -127,13 +130,15 @@ def _nearest_in_strips(left: list[Block], right: list[Block], k: int) -> pd.Data
     out = []
     for a in left:
         found = _Nearest(a, k, a.extra("kth"))
-        gap = gaps_to(a, right)
-        order = np.argsort(gap, kind="stable")
-        for batch in batches_of([right[i] for i in order[gap[order] <= found.bound.max()]], BATCH_ROWS):
-            # bounds have shrunk since, and the tiles come by rising gaps
-            if gaps_to(a, batch[:1])[0] > found.bound.max():
-                break
-            found.meet(np.concatenate([b.ids for b in batch]), np.concatenate([b.vecs for b in batch]))
+        floors = floors_to(a.vecs, right)
+        reach = (floors <= found.bound[:, None]).any(0)
+        order = np.argsort(gaps_to(a, right), kind="stable")
+        place = {id(b): i for i, b in enumerate(right)}
+        for batch in batches_of([right[i] for i in order if reach[i]], BATCH_ROWS):
+            # bounds have shrunk since; only points whose own ball comes near take part
+            some = np.flatnonzero((floors[:, [place[id(b)] for b in batch]] <= found.bound[:, None]).any(1))
+            if len(some):
+                found.meet(np.concatenate([b.ids for b in batch]), np.concatenate([b.vecs for b in batch]), some)
         out.append(found.edges())
     return pd.concat(out, ignore_index=True)
 
@@ -225,32 +230,35 @@ def fuzzy_edges(graph: DataFrame, rounds: int = 64) -> DataFrame:
 
     Per point, the nearest positive distance ``rho`` is subtracted and a bandwidth ``sigma``
     is solved so that the strengths sum to log2(k); both directions combine as a + b - ab.
-    The bisection runs inside one array expression per point.
+    The bisection runs over all points of a batch at once.
     """
     near = graph.groupBy("src").agg(
-        F.collect_list(F.struct("dist", "dst")).alias("near"),
+        F.collect_list(F.struct("dist", F.col("dst").cast("long").alias("dst"))).alias("near"),
         F.coalesce(F.min(F.when(F.col("dist") > 0, F.col("dist"))), F.lit(0.0)).alias("rho"),
         F.avg("dist").alias("mean"),
     )
-    gaps = F.transform("near", lambda e: F.greatest(e["dist"] - F.col("rho"), F.lit(0.0)))
-
-    def halve(state, _):
-        mass = F.aggregate(
-            "gaps", F.lit(0.0), lambda acc, g: acc + F.when(g > 0, F.exp(-g / state["mid"])).otherwise(1.0)
-        )
-        over = mass > F.log2(F.size("gaps").cast("double"))
-        low = F.when(over, state["low"]).otherwise(state["mid"])
-        high = F.when(over, state["mid"]).otherwise(state["high"])
-        mid = F.when(high.isNull(), state["mid"] * 2).otherwise((low + high) / 2)
-        return F.struct(low.alias("low"), high.alias("high"), mid.alias("mid"))
-
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("mid"))
-    weighed = (
-        near.withColumn("gaps", gaps)
-        .withColumn("solved", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)["mid"])
-        .withColumn("sigma", F.greatest("solved", F.col("mean") * 1e-3, F.lit(1e-300)))
-        .select("src", "rho", "sigma", F.explode("near").alias("e"))
-    )
+    kinds = "src long, rho double, sigma double, dst long, dist double"
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists, rho, mean = batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            size, flat = lists.value_lengths().to_numpy(), lists.flatten()
+            dist = flat.field("dist").to_numpy()
+            row, starts = np.repeat(np.arange(len(size)), size), np.r_[0, np.cumsum(size)[:-1]]
+            gaps, want = np.maximum(dist - rho[row], 0.0), np.log2(size)
+            low, high, mid = np.zeros(len(size)), np.full(len(size), np.inf), np.ones(len(size))
+            for _ in range(rounds):
+                over = np.add.reduceat(np.exp(-gaps / mid[row]), starts) > want
+                low, high = np.where(over, low, mid), np.where(over, mid, high)
+                mid = np.where(np.isinf(high), mid * 2, (low + high) / 2)
+            sigma = np.maximum(np.maximum(mid, mean * 1e-3), 1e-300)
+            columns = [batch.column(0).take(pa.array(row)), pa.array(rho[row]), pa.array(sigma[row]), flat.field("dst"), flat.field("dist")]
+            yield pa.RecordBatch.from_arrays(columns, names=["src", "rho", "sigma", "dst", "dist"])
+
+    weighed = near.select(F.col("src").cast("long"), "near", "rho", "mean").mapInArrow(solve, kinds)
+    weighed = weighed.select("src", "rho", "sigma", F.struct("dist", "dst").alias("e"))
     strength = F.when(F.col("e.dist") <= F.col("rho"), F.lit(1.0)).otherwise(
         F.exp(-(F.col("e.dist") - F.col("rho")) / F.col("sigma"))
     )

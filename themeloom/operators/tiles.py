@@ -81,6 +81,49 @@ def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     return inside
 
 
+#: Rows of the left block that meet the right one at once.
+NEAR_ROWS = 512
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of all pairs whose squared distance is at most the row's ``edge``, and of a few that rounding may put there.
+
+    Single precision where its rounding is small beside the edges; the caller decides by ``pair_distances``.
+    """
+    origin = b.mean(axis=0)
+    a, b = a - origin, b - origin
+    left, right = (a * a).sum(1), (b * b).sum(1)
+    size, width = left.max(initial=0.0) + right.max(initial=0.0), a.shape[1]
+    single, double = (8.0 * (width + 4) * float(np.finfo(kind).eps) * size for kind in (np.float32, np.float64))
+    kind, slack = (np.float32, single) if 1e-30 < size < 1e30 and single <= 0.02 * np.median(edge) else (np.float64, double)
+    # one product makes |b|^2 - 2ab + |a|^2
+    x = np.hstack([a, np.ones((len(a), 1)), left[:, None]]).astype(kind)
+    y = np.ascontiguousarray(np.hstack([-2.0 * b, right[:, None], np.ones((len(b), 1))]).astype(kind).T)
+    limit = (edge * (1 + 1e-12) + slack).astype(kind)[:, None]
+    found = []
+    for low in range(0, len(x), NEAR_ROWS):
+        hit = np.flatnonzero(x[low : low + NEAR_ROWS] @ y <= limit[low : low + NEAR_ROWS])
+        if len(hit):
+            found.append(hit + low * len(b))
+    at = np.concatenate(found) if found else np.empty(0, np.int64)
+    return at // max(len(b), 1), at % max(len(b), 1)
+
+
+def floors_to(points: np.ndarray, others: list[Block]) -> np.ndarray:
+    """Lower bounds of the distances between points and the points of other tiles, a row a point."""
+    centers = np.array([b.value("center") for b in others], dtype=np.float64)
+    radius = np.array([b.value("radius") for b in others])
+    squares, slack = block_squares(points, centers)
+    apart = np.sqrt(np.maximum(squares - slack, 0.0))
+    return apart - radius - 1e-9 * (1.0 + apart + radius)
+
+
+def spread_tiles(tiles: DataFrame) -> DataFrame:
+    """Tiles dealt out for work that takes long for each."""
+    n = tiles.count()
+    return tiles.repartition(max(1, min(n, max(64, n // 8))), "tile")
+
+
 def pack(df: DataFrame, tile: list[str], key: str, vector: str, extras: tuple[str, ...] = ()) -> DataFrame:
     """One row per group of the ``tile`` columns: packed keys, vectors and extra numbers (bigint
     or double, the former with their range), plus centre and radius. Groups must be bounded by
