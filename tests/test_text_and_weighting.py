@@ -139,3 +139,20 @@ def test_ngrams_are_counted_in_chunks_before_the_shuffle(spark, monkeypatch):
     plan = weighting.count_terms(docs, ngram_range=(1, 2))._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange") :]
     assert "HashAggregate" not in below and "Generate" not in below
+
+
+def test_words_are_hashed_together():
+    """Many words at once have the vectors that their grams give one by one."""
+    import numpy as np
+
+    from themeloom.operators import embedding
+
+    words = ["apple", "été", "a", "", "日本語x", "𝔸b_1", "apple"]
+    want = np.zeros((len(words), 16))
+    for row, word in zip(want, words):
+        framed = f"<{word}>"
+        for i in range(len(framed) - 2):
+            place, sign = embedding._placed(framed[i : i + 3], 16)
+            row[place] += sign
+    assert (embedding._WordVectors(16).of(words) == want).all()
+    assert embedding._WordVectors(16).of([]).shape == (0, 16)

@@ -22,25 +22,24 @@ SLICE = 262_144
 
 
 class _WordVectors:
-    """Signed sums of the character 3-grams of words, each word worked out once per task."""
+    """Signed sums of the character 3-grams of words. Grams are few beside words: each is hashed once per task."""
 
     def __init__(self, width: int, limit: int = 200_000):
-        self.width, self.limit, self.held = width, limit, {}
-        # grams are few beside words: each is hashed once
-        self.gram = lru_cache(limit)(lambda gram: _placed(gram, width))
-
-    def of(self, word: str) -> np.ndarray:
-        found = self.held.get(word)
-        if found is None:
-            found = np.zeros(self.width, np.int32)
-            framed = f"<{word}>"
-            for i in range(len(framed) - 2):
-                place, sign = self.gram(framed[i : i + 3])
-                found[place] += sign
-            if len(self.held) >= self.limit:
-                self.held.clear()
-            self.held[word] = found
-        return found
+        self.width, self.gram = width, lru_cache(limit)(lambda gram: _placed(gram, width))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """A row for each word."""
+        if not words:
+            return np.zeros((0, self.width))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        # a word between its angle brackets has as many grams as letters
+        letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), size)
+        at = np.arange(len(word)) + 2 * word
+        grams, which = np.unique((letters[at] << 42) | (letters[at + 1] << 21) | letters[at + 2], return_inverse=True)
+        low = (1 << 21) - 1
+        held = np.array([self.gram(chr(g >> 42) + chr((g >> 21) & low) + chr(g & low)) for g in grams.tolist()], np.int64).reshape(-1, 2)[which]
+        return np.bincount(word * self.width + held[:, 0], held[:, 1], len(words) * self.width).reshape(-1, self.width)
 
 
 def _placed(gram: str, width: int) -> tuple[int, int]:
@@ -67,7 +66,7 @@ def hash_vectors(
             # a slice of words at a time: what is held does not follow the length of the texts
             for low in range(0, len(flat), SLICE):
                 parts = flat.slice(low, SLICE).dictionary_encode()
-                matrix, at = np.array([words.of(w) for w in parts.dictionary.to_pylist()]), parts.indices.to_numpy()
+                matrix, at = words.of(parts.dictionary.to_pylist()), parts.indices.to_numpy()
                 first, last = np.searchsorted(ends, [low, low + len(at) - 1], side="right")
                 for row in range(first, last + 1):
                     start = max(ends[row - 1] if row else 0, low) - low
