@@ -425,3 +425,23 @@ def test_a_failed_feather_write_leaves_nothing(spark, tmp_path):
     assert sources.load_documents(spark, path).count() == 5 and not os.path.exists(f"{path}/{feather.PENDING}")
     with pytest.raises(FileNotFoundError):
         sources.load_documents(spark, f"{tmp_path}/none.feather")
+
+
+def test_shares_in_pieces_and_documents_with_one_key(spark, monkeypatch):
+    """The fit works on some cells at a time; rows of one key are one document, and one without a key has no terms."""
+    rng = np.random.default_rng(5)
+    doc = np.repeat(np.arange(30), rng.integers(1, 9, 30))
+    terms, counts, logs = rng.integers(0, 40, len(doc)), rng.integers(1, 5, len(doc)).astype(float), np.log(rng.random((40, 3)))
+    found = []
+    for cells in (4, 10**6):
+        monkeypatch.setattr(lda, "FIT_CELLS", cells)
+        found.append(lda.fit_shares(terms, counts, doc, np.ones((32, 3)), logs, 0.3))
+    for small, whole in zip(*found):
+        assert np.allclose(small, whole, rtol=1e-12)
+    assert np.allclose(found[0][0].sum(1) - 0.9, np.bincount(doc, counts, 32))
+    rows = [(1, "beta gamma beta"), (2, "delta"), (1, "alpha beta other"), (None, "beta"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in lda.document_terms(docs, ["alpha", "beta", "gamma"], stop=()).collect()}
+    assert got == {1: ([0, 1, 2], [1.0, 3.0, 1.0]), 2: ([], []), None: ([], []), 3: ([], [])}
+    lists = docs.selectExpr("split(coalesce(text, ''), ' ') AS term")
+    assert {r.term: r.low for r in vocabulary.sketch(lists, 50).collect() if r.term} == {"beta": 4, "gamma": 1, "delta": 1, "alpha": 1, "other": 1}

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.functions.text import drop_stop_words, stop_words, tokens
 from themeloom.operators.vocabulary import bounded_vocabulary
-from themeloom.operators.weighting import explode_terms
 from themeloom.session import cut_lineage
 
 #: Terms times topics, at most: every task holds one number for each (16 MB).
@@ -28,22 +29,20 @@ REST, STEPS = 1e-4, 200
 
 def digamma(x: np.ndarray) -> np.ndarray:
     """The derivative of the logarithm of the gamma function, for positive numbers."""
-    x, out = np.array(x, np.float64), np.zeros(np.shape(x))
-    for _ in range(6):
-        small = x < 6
-        out[small] -= 1 / x[small]
-        x[small] += 1
+    x = np.asarray(x, np.float64)
+    # moved up by six, where the series holds
+    out = -(1 / x + 1 / (x + 1) + 1 / (x + 2) + 1 / (x + 3) + 1 / (x + 4) + 1 / (x + 5))
+    x = x + 6
     y = 1 / (x * x)
     return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """The logarithm of the gamma function, for positive numbers."""
-    x, out = np.array(x, np.float64), np.zeros(np.shape(x))
-    for _ in range(8):
-        small = x < 8
-        out[small] -= np.log(x[small])
-        x[small] += 1
+    x = np.asarray(x, np.float64)
+    # moved up by eight, where the series holds
+    out = -np.log(x * (x + 1) * (x + 2) * (x + 3)) - np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    x = x + 8
     y = 1 / (x * x)
     return out + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
 
@@ -53,14 +52,63 @@ def document_terms(docs: DataFrame, vocabulary: list[str], key: str = "doc_id",
 
     Rows that repeat a key are one document.
     """
-    spark = docs.sparkSession
-    places = spark.createDataFrame(pd.DataFrame({"term": vocabulary, "place": np.arange(len(vocabulary), dtype=np.int32)}), "term string, place int")
-    cells = explode_terms(docs, text, (key,), stop).join(F.broadcast(places), "term").groupBy(key, "place").agg(F.count(F.lit(1)).alias("n"))
+    words = drop_stop_words(tokens(text), stop_words() if stop is None else stop)
+    kind, listed, width = docs.schema[key].dataType.simpleString(), pa.array(vocabulary, pa.string()), len(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.index_in(lists.flatten(), value_set=listed)
+            known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+            place = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cells, n = np.unique((np.repeat(np.arange(len(size)), size) * width + place)[known], return_counts=True)
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(cells // width, minlength=len(size)))], pa.int32())
+            arrays = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((cells % width).astype(np.int32), n.astype(np.float64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, "terms", "counts"])
+
+    rows = cut_lineage(docs.select(key, words.alias("words")).mapInArrow(count, f"`{key}` {kind}, terms array<int>, counts array<double>"))
+    more = cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).select(key))
+    if not more.head(1):
+        return rows
     # a document holds each term of the vocabulary once at most
+    cells = rows.join(more, key).select(key, F.explode(F.arrays_zip("terms", "counts")).alias("c"))
+    cells = cells.groupBy(key, F.col("c.terms").alias("place")).agg(F.sum("c.counts").alias("n"))
     lists = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("cells"))
-    whole = docs.select(key).distinct().join(lists, key, "left")
-    place, n = F.transform("cells", lambda c: c["place"]), F.transform("cells", lambda c: c["n"].cast("double"))
-    return cut_lineage(whole.select(key, F.coalesce(place, F.array().cast("array<int>")).alias("terms"), F.coalesce(n, F.array().cast("array<double>")).alias("counts")))
+    place, n = F.transform("cells", lambda c: c["place"]), F.transform("cells", lambda c: c["n"])
+    joined = more.join(lists, key, "left").select(
+        key, F.coalesce(place, F.array().cast("array<int>")).alias("terms"), F.coalesce(n, F.array().cast("array<double>")).alias("counts")
+    )
+    return cut_lineage(rows.filter(F.col(key).isNotNull()).join(more, key, "left_anti").unionByName(joined))
+
+
+#: Cells that are fitted together, about: what a step touches stays in a core's cache.
+FIT_CELLS = 1 << 14
+
+
+def _fit_some(weights: np.ndarray, counts: np.ndarray, sizes: np.ndarray, gamma: np.ndarray, alpha: float) -> np.ndarray:
+    """The shares of documents that all have cells; ``weights`` and ``gamma`` have a row for each topic."""
+    out, at = gamma.copy(), np.arange(len(sizes))
+    shares = np.exp(digamma(gamma) - digamma(gamma.sum(0)))
+    live = np.ones(len(sizes), bool)
+    for _ in range(STEPS):
+        norm = np.full(len(counts), 1e-300)
+        for w, s in zip(weights, shares):
+            norm += w * np.repeat(s, sizes)
+        ratio, starts = counts / norm, np.r_[0, np.cumsum(sizes)[:-1]]
+        new = alpha + shares * np.array([np.add.reduceat(w * ratio, starts) for w in weights])
+        # documents at rest leave; the others go on
+        change = np.abs(new - gamma).mean(0)
+        out[:, at[live]] = new[:, live]
+        live &= change >= REST * np.maximum(1.0, new.mean(0))
+        if not live.any():
+            break
+        gamma, shares = new, np.exp(digamma(new) - digamma(new.sum(0)))
+        if live.mean() < 0.75:
+            kept = np.repeat(live, sizes)
+            weights, counts = weights[:, kept], counts[kept]
+            sizes, at, gamma, shares, live = sizes[live], at[live], gamma[:, live], shares[:, live], np.ones(int(live.sum()), bool)
+    return out
 
 
 def fit_shares(terms: np.ndarray, counts: np.ndarray, doc: np.ndarray, gamma: np.ndarray, topic_logs: np.ndarray, alpha: float):
@@ -68,34 +116,26 @@ def fit_shares(terms: np.ndarray, counts: np.ndarray, doc: np.ndarray, gamma: np
 
     Returns the shares, the topics' part of every cell, and the documents' part of the bound.
     """
-    weights = np.exp(topic_logs)[terms]
+    weights = np.ascontiguousarray(np.exp(topic_logs).T)[:, terms]
     has, sizes = np.unique(doc, return_counts=True)
-    open_ = np.zeros(len(gamma), bool)
-    open_[has] = True
-    gamma[~open_] = alpha
-    logs = digamma(gamma) - digamma(gamma.sum(1))[:, None]
-    # the documents still fitted, the cells of each, and their place among them
-    at, cells, n, place = has, weights, counts, np.repeat(np.arange(len(has)), sizes)
-    for _ in range(STEPS if len(has) else 0):
-        shares = np.exp(logs[at])
-        norm = np.einsum("ij,ij->i", cells, shares[place]) + 1e-300
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        sums = np.add.reduceat(cells * (n / norm)[:, None], starts)
-        new = alpha + shares * sums
-        change = np.abs(new - gamma[at]).mean(1)
-        gamma[at] = new
-        logs[at] = digamma(new) - digamma(new.sum(1))[:, None]
-        # documents at rest leave; the others go on
-        on = change >= REST * np.maximum(1.0, new.mean(1))
-        if not on.any():
-            break
-        if not on.all():
-            kept = np.repeat(on, sizes)
-            at, sizes, cells, n = at[on], sizes[on], cells[kept], n[kept]
-            place = np.repeat(np.arange(len(at)), sizes)
-    shares = np.exp(logs)
-    norm = np.einsum("ij,ij->i", weights, shares[doc]) + 1e-300
-    parts = weights * shares[doc] * (counts / norm)[:, None]
+    without = np.ones(len(gamma), bool)
+    without[has] = False
+    gamma[without] = alpha
+    ends = np.cumsum(sizes)
+    logs, norm, parts = np.empty(gamma.shape), np.empty(len(counts)), np.empty(weights.shape)
+    logs[without] = digamma(gamma[without]) - digamma(gamma[without].sum(1))[:, None]
+    first = 0
+    while first < len(has):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + FIT_CELLS, "right")))
+        cells, docs, n = slice(done, ends[last - 1]), has[first:last], sizes[first:last]
+        gamma[docs] = _fit_some(weights[:, cells], counts[cells], n, gamma[docs].T, alpha).T
+        logs[docs] = digamma(gamma[docs]) - digamma(gamma[docs].sum(1))[:, None]
+        held = weights[:, cells] * np.repeat(np.exp(logs[docs]).T, n, axis=1)
+        norm[cells] = held.sum(0) + 1e-300
+        parts[:, cells] = held * (counts[cells] / norm[cells])
+        first = last
+    parts = parts.T
     k = gamma.shape[1]
     bound = float((counts * np.log(norm)).sum())
     bound += float(((alpha - gamma) * logs).sum() + log_gamma(gamma).sum() - log_gamma(gamma.sum(1)).sum())
